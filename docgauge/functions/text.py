@@ -143,18 +143,31 @@ def split_literal(line: Column, delimiter: Column) -> Column:
     return F.split(line, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
 
 
+_MARKS = "".join("\\" + c for c in rules.SYLLABLE_STRIP)
+
+
 def syllables(word: Column) -> Column:
     """Vowel groups of a word, silent final ``e`` removed, at least one."""
-    marks = "".join("\\" + c for c in rules.SYLLABLE_STRIP)
-    bare = F.regexp_replace(F.lower(word), f"^[{marks}]+|[{marks}]+$", "")
+    return text_syllables(F.regexp_replace(word, r"\s", ""))
+
+
+def text_syllables(text: Column) -> Column:
+    """Syllables of all whitespace tokens of a text, counted over the whole text.
+
+    A token has as many syllables as vowel groups, one less for a final ``e``
+    after another group, and at least one. So the sum is: vowel groups + tokens
+    without a vowel (tokens of marks only included) - final ``e`` of tokens
+    with several groups.
+    """
+    marks = rf"[{_MARKS}]*"
+    low = F.lower(text)
+    bare = F.regexp_replace(low, rx(rf"(?:^{marks}|{marks}\s+){marks}|{marks}$"), " ")
+    silent_e = r"[aeiouy]++[^aeiouy\s]++(?:[aeiouy]++[^aeiouy\s]++)*+[aeiouy]++(?<=e)(?!\S)"
+    with_vowel = r"(?<!\S)[^aeiouy\s]*+[aeiouy]\S*+"
     return bind(
         bare,
-        lambda w: F.when(F.length(w) <= 2, 1).otherwise(
-            bind(
-                F.regexp_count(w, F.lit("[aeiouy]+")),
-                lambda n: F.greatest(F.lit(1), n - flag((n > 1) & w.endswith("e"))),
-            )
-        ),
+        lambda t: hits(t, "[aeiouy]+") + F.greatest(token_count(low), flag(F.length(low) == 0))
+        - hits(t, with_vowel) - hits(t, silent_e),
     )
 
 

@@ -6,19 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docgauge import rules
-from docgauge.functions.text import literal_map, lower_text, strip
+from docgauge.functions.text import bind, literal_map, lower_text, strip
 
 
 def detect_type(text: Column, filename: Column) -> Column:
     """JSON by extension, else the first keyword list with a plain substring hit."""
-    low = lower_text(text)
+
+    def by_keyword(low: Column) -> Column:
+        out = F.lit("unknown")
+        for kind, words in reversed(rules.TYPE_KEYWORDS):
+            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+            out = F.when(hit, kind).otherwise(out)
+        return out
+
     name = F.lower(F.coalesce(filename, F.lit("")))
-    out = F.lit("unknown")
-    for kind, words in reversed(rules.TYPE_KEYWORDS):
-        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-        out = F.when(hit, kind).otherwise(out)
     by_extension = F.contains(name, F.lit(".")) & (F.substring_index(name, ".", -1) == "json")
-    return F.when(by_extension, "json").otherwise(out)
+    return F.when(by_extension, "json").otherwise(bind(lower_text(text), by_keyword))
 
 
 def resolve_type(supplied: Column, text: Column, filename: Column) -> Column:

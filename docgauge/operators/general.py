@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docgauge import rules
 from docgauge.functions.scoring import finding, metric
 from docgauge.functions.text import (
-    any_of, bind, flag, has, hits, latin_words, lower_text, percent, stripped_parts, syllables, token_count, tokens, rx,
+    any_of, bind, flag, has, hits, latin_words, lower_text, percent, rx, stripped_parts, text_syllables, token_count,
 )
 
 
@@ -49,31 +49,27 @@ def structure_quality(text: Column) -> Column:
 def readability(text: Column) -> Column:
     """Flesch reading ease from whitespace words, sentence ends and vowel groups."""
     text = _text(text)
+    facts = F.struct(
+        token_count(text).alias("words"),
+        F.greatest(F.size(stripped_parts(text, rx(r"[.!?]+\s+"))), F.lit(1)).alias("sentences"),
+        text_syllables(text).alias("syllables"),
+    )
 
-    def judged(words: Column) -> Column:
-        facts = F.struct(
-            F.size(words).alias("words"),
-            F.greatest(F.size(stripped_parts(text, rx(r"[.!?]+\s+"))), F.lit(1)).alias("sentences"),
-            F.aggregate(words, F.lit(0), lambda acc, w: acc + syllables(w)).alias("syllables"),
-        )
-
-        def scored(f: Column) -> Column:
-            length, weight = f["words"] / f["sentences"], f["syllables"] / f["words"]
-            return bind(
-                F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * length - 84.6 * weight)),
-                lambda s: finding(s, F.format_string(
-                    "Flesch score: %.0f (%s). Avg sentence: %.0f words, avg syllables: %.1f.",
-                    s,
-                    F.when(s >= 60, "Easy to read").when(s >= 30, "Moderately readable").otherwise("Difficult to read"),
-                    length, weight,
-                )),
-            )
-
+    def scored(f: Column) -> Column:
+        length, weight = f["words"] / f["sentences"], f["syllables"] / F.nullif(f["words"], F.lit(0))
         return F.when(
-            F.size(words) < 10, finding(F.lit(50.0), F.lit("Insufficient text for readability analysis"))
-        ).otherwise(bind(facts, scored))
+            f["words"] < 10, finding(F.lit(50.0), F.lit("Insufficient text for readability analysis"))
+        ).otherwise(bind(
+            F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * length - 84.6 * weight)),
+            lambda s: finding(s, F.format_string(
+                "Flesch score: %.0f (%s). Avg sentence: %.0f words, avg syllables: %.1f.",
+                s,
+                F.when(s >= 60, "Easy to read").when(s >= 30, "Moderately readable").otherwise("Difficult to read"),
+                length, weight,
+            )),
+        ))
 
-    return metric("general", "Readability Score", bind(tokens(text), judged))
+    return metric("general", "Readability Score", bind(facts, scored))
 
 
 def section_completeness(text: Column) -> Column:

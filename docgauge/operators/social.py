@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docgauge import rules
 from docgauge.functions.scoring import finding, metric
 from docgauge.functions.text import (
-    bind, content_lines, flag, hits, latin_words, percent, stripped_parts, token_count, total,
+    any_of, bind, content_lines, flag, hits, latin_words, percent, stripped_parts, token_count, total,
 )
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
@@ -59,7 +59,7 @@ def language_consistency(text: Column, lang_share: Column | None = None) -> Colu
     def judged(words: Column) -> Column:
         n = F.size(words)
         shouted = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z]{2,}$")))
-        slang = bind(F.lower(text), lambda low: total(hits(low, p) for p in rules.SLANG_PATTERNS))
+        slang = hits(F.lower(text), any_of(rules.SLANG_PATTERNS))
         facts = F.struct(
             n.alias("n"),
             (slang / F.greatest(n, F.lit(1))).alias("slang"),

@@ -79,6 +79,17 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.select("path", "filename", "size", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer input splits than the cluster has cores.
+
+    Text rules cost far more than reading, and one small file is one split. A
+    scan with enough splits, which is every large one, is returned unchanged
+    and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return file_rows(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
 
