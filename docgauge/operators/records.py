@@ -339,7 +339,8 @@ CHILDREN = f"""CASE WHEN {_sql(SQL_OBJECT, "n.value")} THEN
 CONTAINER = f"({_sql(SQL_OBJECT, 'n.value')} OR {_sql(SQL_ARRAY, 'n.value')})"
 LEAF_TEXT = """CASE WHEN schema_of_variant(n.value) IS NULL OR schema_of_variant(n.value) = 'VOID' THEN 'None'
   WHEN schema_of_variant(n.value) = 'BOOLEAN' THEN initcap(cast(n.value AS string))
-  ELSE cast(n.value AS string) END"""
+  WHEN schema_of_variant(n.value) = 'STRING' THEN cast(n.value AS string)
+  ELSE coalesce(trim(n.text), cast(n.value AS string)) END"""
 LINE_TYPE = "array<struct<path:array<int>,line:string>>"
 
 

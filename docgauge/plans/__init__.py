@@ -1,0 +1,9 @@
+"""Plans: the full evaluation and the catalogue of queries."""
+
+
+def load():
+    """The catalogue with every query module imported."""
+    from docgauge.plans import catalog
+    import docgauge.plans.text_queries  # noqa: F401
+
+    return catalog
