@@ -1,9 +1,9 @@
 """JSON metrics: schema compliance, types, cross-field logic, drift.
 
 Document grain: the payload is one VARIANT per row and every metric is a
-column expression. Nested payloads are walked one level at a time inside the
-row (the containers of level k give the containers of level k+1), so no row is
-multiplied and nothing is shuffled. Record grain (``profile_records``): the
+column expression. Nested payloads are walked one level per projection inside
+the row (the containers of level k give the containers of level k+1), so no row
+is multiplied and nothing is shuffled. Record grain (``profile_records``): the
 records are table rows; they are first reduced to their distinct shapes per
 group, which keeps a group holding a large share of the rows cheap.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docgauge import rules
 from docgauge.functions import values as V
 from docgauge.functions.scoring import clamp_score, finding, metric, share, status_of
-from docgauge.functions.text import bind, flag, non_blank
+from docgauge.functions.text import bind, flag, non_blank, total
 
 MAX_DEPTH = 10
 EMPTY_VARIANTS = "array<variant>"
@@ -108,12 +108,7 @@ def schema_compliance(payload: Column) -> Column:
     return metric("json", "Schema Compliance", F.when(payload.isNull(), _missing_payload()).otherwise(raw))
 
 
-# The walk below is written as SQL text: one parse instead of a thousand calls
-# to the JVM while the plan is built.
-SQL_OBJECT = "coalesce(startswith(schema_of_variant({v}), 'OBJECT'), false)"
-SQL_ARRAY = "coalesce(startswith(schema_of_variant({v}), 'ARRAY'), false)"
-SQL_ENTRIES = "cast({v} AS map<string,variant>)"
-SQL_ELEMENTS = "cast({v} AS array<variant>)"
+# The walks are written as SQL text over the frontier column ``f`` of one level.
 SQL_TYPE = """CASE
     WHEN schema_of_variant({v}) IS NULL OR schema_of_variant({v}) = 'VOID' THEN 'NoneType'
     WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'bool'
@@ -129,59 +124,62 @@ def _sql(template: str, v: str) -> str:
     return template.format(v=v)
 
 
+# A container as its entries or its elements; asking for both tells the kind
+# without walking the whole value.
+OPENED = "named_struct('m', try_variant_get({v}, '$', 'map<string,variant>'), 'a', try_variant_get({v}, '$', 'array<variant>'))"
+
 # checks and credit of the containers ``f`` of one level
 LEVEL_COUNTS = f"""aggregate(
   transform(f, c -> CASE
-    WHEN {_sql(SQL_OBJECT, "c")} THEN named_struct(
-      'done', size({_sql(SQL_ENTRIES, "c")}),
-      'passed', aggregate(map_values({_sql(SQL_ENTRIES, "c")}), 0D, (a, v) -> a + CASE
+    WHEN c.m IS NOT NULL THEN named_struct(
+      'done', size(c.m),
+      'passed', aggregate(map_values(c.m), 0D, (a, v) -> a + CASE
         WHEN schema_of_variant(v) = 'STRING'
          AND (trim(cast(v AS string)) RLIKE r'^-?\\d+\\.?\\d*$' OR lower(trim(cast(v AS string))) IN ('true', 'false'))
         THEN 0.5D ELSE 1D END))
-    WHEN {_sql(SQL_ARRAY, "c")} AND size({_sql(SQL_ELEMENTS, "c")}) > 1 THEN named_struct(
+    WHEN size(c.a) > 1 THEN named_struct(
       'done', 1,
-      'passed', CASE WHEN size(array_distinct(transform({_sql(SQL_ELEMENTS, "c")}, v -> {_sql(SQL_TYPE, "v")}))) <= 1
-        THEN 1D ELSE 0.5D END)
+      'passed', CASE WHEN size(array_distinct(transform(c.a, v -> {_sql(SQL_TYPE, "v")}))) <= 1 THEN 1D ELSE 0.5D END)
     ELSE {ZERO} END),
   {ZERO}, (a, c) -> named_struct('done', a.done + c.done, 'passed', a.passed + c.passed))"""
 
 # containers directly inside the containers ``f``; a list of one is not looked into
 NEXT_LEVEL = f"""filter(
-  flatten(transform(f, c -> CASE
-    WHEN {_sql(SQL_OBJECT, "c")} THEN map_values({_sql(SQL_ENTRIES, "c")})
-    WHEN {_sql(SQL_ARRAY, "c")} AND size({_sql(SQL_ELEMENTS, "c")}) > 1 THEN {_sql(SQL_ELEMENTS, "c")}
-    ELSE cast(array() AS array<variant>) END)),
-  v -> {_sql(SQL_OBJECT, "v")} OR {_sql(SQL_ARRAY, "v")})"""
-
-
-def _too_deep(depth: int, kind: str) -> str:
-    return f"cast(raise_error('JSON nested deeper than {depth} levels') AS {kind})"
-
+  transform(
+    flatten(transform(f, c -> CASE WHEN c.m IS NOT NULL THEN map_values(c.m) WHEN size(c.a) > 1 THEN c.a
+      ELSE cast(array() AS array<variant>) END)),
+    v -> {_sql(OPENED, "v")}),
+  c -> c.m IS NOT NULL OR c.a IS NOT NULL)"""
 
-def _walk(depth: int, levels: int) -> str:
-    """Sum of the level counts from frontier ``f`` down; stops at an empty level."""
-    if depth == 0:
-        return f"CASE WHEN size(f) > 0 THEN {_too_deep(levels, 'struct<done:int,passed:double>')} ELSE {ZERO} END"
-    below = f"get(transform(array({NEXT_LEVEL}), f -> {_walk(depth - 1, levels)}), 0)"
-    return f"""CASE WHEN size(f) = 0 THEN {ZERO} ELSE
-  get(transform(array(named_struct('here', {LEVEL_COUNTS}, 'below', {below})),
-    b -> named_struct('done', b.here.done + b.below.done, 'passed', b.here.passed + b.below.passed)), 0) END"""
 
+def _stop_if_deeper(df: DataFrame, depth: int) -> DataFrame:
+    """Fail loudly when containers are left after the last level."""
+    stop = F.raise_error(F.lit(f"JSON nested deeper than {depth} levels"))
+    return df.withColumn("f", F.when(F.size("f") > 0, stop.cast("string")))
 
-def walk_frontier(top: str, depth: int) -> Column:
-    return F.expr(f"get(transform(array({top}), f -> {_walk(depth, depth)}), 0)")
 
+def with_type_checks(df: DataFrame, payload: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add ``type_checks`` (struct<done, passed>) of the VARIANT column ``payload``.
 
-def type_validation(payload: str, max_depth: int = MAX_DEPTH) -> Column:
-    """Share of entries whose type fits; numbers or booleans kept as text count half.
-
-    ``payload`` names a VARIANT column.
+    Every object entry is one check; a number or boolean kept as text counts
+    half. A list of several elements is one check, half for mixed types.
     """
-    p = f"`{payload}`"
-    top = f"""CASE WHEN {_sql(SQL_OBJECT, p)} OR {_sql(SQL_ARRAY, p)} THEN array({p})
-      ELSE cast(array() AS array<variant>) END"""
+    out = df.withColumn("f", F.expr(
+        f"filter(array({_sql(OPENED, f'`{payload}`')}), c -> c.m IS NOT NULL OR c.a IS NOT NULL)"))
+    levels = [f"_level{k}" for k in range(max_depth)]
+    for level in levels:
+        out = out.withColumns({level: F.expr(LEVEL_COUNTS), "f": F.expr(NEXT_LEVEL)})
+    out = _stop_if_deeper(out, max_depth)
+    checks = F.struct(*[
+        total(F.col(f"{level}.{part}") for level in levels).alias(part) for part in ("done", "passed")
+    ])
+    return out.withColumn("type_checks", F.when(F.col("f").isNull(), checks)).drop("f", *levels)
+
+
+def type_validation(payload: Column, checks: Column) -> Column:
+    """Share of entries whose type fits, from the counts of ``with_type_checks``."""
     raw = bind(
-        walk_frontier(top, max_depth),
+        checks,
         lambda c: finding(
             share(c["passed"], c["done"]),
             F.when(c["done"] == 0, "No type issues detected").otherwise(
@@ -192,7 +190,7 @@ def type_validation(payload: str, max_depth: int = MAX_DEPTH) -> Column:
             ),
         ),
     )
-    return metric("json", "Type Validation", F.when(F.col(payload).isNull(), _missing_payload()).otherwise(raw))
+    return metric("json", "Type Validation", F.when(payload.isNull(), _missing_payload()).otherwise(raw))
 
 
 def cross_field_consistency(payload: Column) -> Column:
@@ -316,60 +314,57 @@ def schema_drift_rate(payload: Column) -> Column:
     return metric("json", "Schema Drift Rate", F.when(payload.isNull(), _missing_payload()).otherwise(raw))
 
 
-def metrics(payload: str) -> Column:
-    """All four metrics of the VARIANT column named ``payload``."""
-    value = F.col(payload)
+def metrics(payload: Column, checks: Column) -> Column:
+    """All four metrics; ``checks`` comes from ``with_type_checks``."""
     return F.array(
-        schema_compliance(value), type_validation(payload),
-        cross_field_consistency(value), schema_drift_rate(value),
+        schema_compliance(payload), type_validation(payload, checks),
+        cross_field_consistency(payload), schema_drift_rate(payload),
     )
 
 
 # ---------------------------------------------------------------- flattening
 
-# children of node ``n``: struct<prefix, path, text, value>
-CHILDREN = f"""CASE WHEN {_sql(SQL_OBJECT, "n.value")} THEN
-    transform(json_object_keys(n.text), (k, i) -> named_struct(
-      'prefix', concat(n.prefix, k, ': '), 'path', concat(n.path, array(i)),
-      'text', from_json(n.text, 'map<string,string>')[k], 'value', {_sql(SQL_ENTRIES, "n.value")}[k]))
+# A node is struct<prefix, path, text, value, m, a>; m and a as in OPENED.
+NODE_OF = """named_struct('prefix', {prefix}, 'path', {path}, 'text', {text}, 'value', {value},
+  'm', try_variant_get({value}, '$', 'map<string,variant>'), 'a', try_variant_get({value}, '$', 'array<variant>'))"""
+_CHILD = NODE_OF.format(prefix="concat(n.prefix, k, ': ')", path="concat(n.path, array(i))", text="b[k]", value="n.m[k]")
+_ELEMENT = NODE_OF.format(prefix="concat(n.prefix, '[', cast(i AS string), '] ')", path="concat(n.path, array(i))",
+                          text="get(b, i)", value="v")
+CHILDREN = f"""CASE WHEN n.m IS NOT NULL THEN
+    get(transform(array(from_json(n.text, 'map<string,string>')), b -> transform(json_object_keys(n.text), (k, i) -> {_CHILD})), 0)
   ELSE
-    transform({_sql(SQL_ELEMENTS, "n.value")}, (v, i) -> named_struct(
-      'prefix', concat(n.prefix, '[', cast(i AS string), '] '), 'path', concat(n.path, array(i)),
-      'text', get(from_json(n.text, 'array<string>'), i), 'value', v)) END"""
-CONTAINER = f"({_sql(SQL_OBJECT, 'n.value')} OR {_sql(SQL_ARRAY, 'n.value')})"
+    get(transform(array(from_json(n.text, 'array<string>')), b -> transform(n.a, (v, i) -> {_ELEMENT})), 0)
+  END"""
+CONTAINER = "(n.m IS NOT NULL OR n.a IS NOT NULL)"
 LEAF_TEXT = """CASE WHEN schema_of_variant(n.value) IS NULL OR schema_of_variant(n.value) = 'VOID' THEN 'None'
   WHEN schema_of_variant(n.value) = 'BOOLEAN' THEN initcap(cast(n.value AS string))
   WHEN schema_of_variant(n.value) = 'STRING' THEN cast(n.value AS string)
   ELSE coalesce(trim(n.text), cast(n.value AS string)) END"""
-LINE_TYPE = "array<struct<path:array<int>,line:string>>"
-
+# leaves of the frontier, and empty containers, which give an empty line
+LINES = f"""concat(
+  transform(filter(f, n -> NOT {CONTAINER}), n -> named_struct('path', n.path, 'line', concat(n.prefix, {LEAF_TEXT}))),
+  transform(filter(f, n -> {CONTAINER} AND coalesce(size(n.m), size(n.a)) = 0), n -> named_struct('path', n.path, 'line', '')))"""
+INNER = f"flatten(transform(filter(f, n -> {CONTAINER}), n -> {CHILDREN}))"
 
-def _flatten_walk(depth: int, levels: int) -> str:
-    """Lines of the nodes ``f`` and everything below them."""
-    leaves = f"transform(filter(f, n -> NOT {CONTAINER}), n -> named_struct('path', n.path, 'line', concat(n.prefix, {LEAF_TEXT})))"
-    inner = f"filter(f, n -> {CONTAINER})"
-    if depth == 0:
-        return f"CASE WHEN size({inner}) > 0 THEN {_too_deep(levels, LINE_TYPE)} ELSE {leaves} END"
-    # an empty container is an empty line
-    hollow = f"""transform(filter({inner}, n -> cast(n.value AS string) IN ('{{}}', '[]')),
-      n -> named_struct('path', n.path, 'line', ''))"""
-    below = f"get(transform(array(flatten(transform({inner}, n -> {CHILDREN}))), f -> {_flatten_walk(depth - 1, levels)}), 0)"
-    return f"CASE WHEN size({inner}) = 0 THEN {leaves} ELSE concat({leaves}, {hollow}, {below}) END"
 
+def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add ``out``: one ``path: value`` line per leaf, in source order; NULL for bad JSON.
 
-def flatten_json(raw: str, max_depth: int = MAX_DEPTH) -> Column:
-    """One ``path: value`` line per leaf, in source order; NULL for bad JSON.
-
-    ``raw`` names a JSON text column. The text is carried beside the parsed
-    value because only the text keeps the key order of the source.
+    ``raw`` names a JSON text column; rows outside ``when`` are not parsed. The
+    text is carried beside the parsed value because only the text keeps the key
+    order of the source.
     """
-    top = f"""array(named_struct('prefix', '', 'path', cast(array() AS array<int>),
-      'text', `{raw}`, 'value', try_parse_json(`{raw}`)))"""
-    lines = F.expr(f"get(transform(array({top}), f -> {_flatten_walk(max_depth, max_depth)}), 0)")
-    return F.when(
-        F.try_parse_json(F.col(raw)).isNotNull(),
-        F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n"),
-    )
+    text = F.col(raw) if when is None else F.when(when, F.col(raw))
+    top = NODE_OF.format(prefix="''", path="cast(array() AS array<int>)", text=f"`{raw}`", value="_value")
+    nodes = df.withColumn("_value", F.try_parse_json(text)).withColumn(
+        "f", F.expr(f"CASE WHEN _value IS NOT NULL THEN array({top}) END"))
+    levels = [f"_level{k}" for k in range(max_depth + 1)]
+    for level in levels:
+        nodes = nodes.withColumns({level: F.expr(LINES), "f": F.expr(INNER)})
+    nodes = _stop_if_deeper(nodes, max_depth)
+    lines = F.array_sort(F.concat(*levels))
+    joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return nodes.withColumn(out, F.when(F.col("f").isNull(), joined)).drop("f", "_value", *levels)
 
 
 # ---------------------------------------------------------------- record grain

@@ -5,5 +5,6 @@ def load():
     """The catalogue with every query module imported."""
     from docgauge.plans import catalog
     import docgauge.plans.text_queries  # noqa: F401
+    import docgauge.plans.core_queries  # noqa: F401
 
     return catalog

@@ -14,7 +14,8 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            # count_if sums to a wider integer and is NULL without rows
+            ORACLES[name] = sql.replace("count_if(", "count(*) FILTER (WHERE ")
         return fn
 
     return add

@@ -47,9 +47,10 @@ def prepare(documents: DataFrame) -> DataFrame:
     typed = base.withColumn(
         "document_type", classify.resolve_type(F.col("supplied_type"), F.col("text"), F.col("filename"))
     )
-    return typed.withColumn("family", classify.metric_family(F.col("ext"), F.col("document_type"))).withColumn(
+    routed = typed.withColumn("family", classify.metric_family(F.col("ext"), F.col("document_type"))).withColumn(
         "payload", F.when(F.col("ext") == ".json", F.try_parse_json("raw"))
     )
+    return records.with_type_checks(routed, "payload")
 
 
 def type_metrics(binding: str = "raw", detect_language: bool = True) -> Column:
@@ -60,7 +61,7 @@ def type_metrics(binding: str = "raw", detect_language: bool = True) -> Column:
     by_family = {
         "contract": contract.metrics(F.col("fields"), text),
         "invoice": invoice.metrics(F.col("fields"), F.col("line_items"), F.col("ext"), F.col("mean_conf"), F.col("blocks")),
-        "json": records.metrics("payload"),
+        "json": records.metrics(F.col("payload"), F.col("type_checks")),
         "social_media": social.metrics(text, lang),
         "tabular": tabular.metrics(source("tabular")),
         "markup": markup.metrics(source("markup")),

@@ -91,7 +91,7 @@ SELECT event_id, rtrim({flat(0, *ALL_KEYS)} || CASE event_id % 5 WHEN 1 THEN {fl
   || CASE WHEN event_id % 7 = 0 THEN {flat(2, *ALL_KEYS, 'note')} ELSE {flat(2, *ALL_KEYS)} END, chr(10)) AS text
 FROM events""")
 def json_flatten(spark, sf_dir):
-    return I.source(spark, sf_dir, I.EVENT_JSON).select("event_id", records.flatten_json("raw").alias("text"))
+    return records.with_flat_text(I.source(spark, sf_dir, I.EVENT_JSON), "raw", "text").select("event_id", "text")
 
 
 @query("json_parse", "SELECT doc_id, json_valid(text) AS is_json FROM documents UNION ALL SELECT event_id, json_valid(props) FROM events")
@@ -146,7 +146,7 @@ def table_cells_text(spark, sf_dir):
 # ---------------------------------------------------------------- text helpers
 
 @query("normalize_text", rf"""
-SELECT doc_id, {sql_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[^\S\n]+', ' ', 'g'), '(?m)^ | $', '', 'g')")} AS text
+SELECT doc_id, {sql_strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[^\S\n]+', ' ', 'g'), '(?m)^ | $', '', 'g')")} AS text
 FROM {I.sql(I.MESSY_TEXT)}""")
 def normalize_text(spark, sf_dir):
     return I.source(spark, sf_dir, I.MESSY_TEXT).select("doc_id", X.normalize_text(F.col("text")).alias("text"))

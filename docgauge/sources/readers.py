@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docgauge import rules
 from docgauge.functions import text as X
-from docgauge.operators.records import flatten_json
+from docgauge.operators.records import with_flat_text
 
 FILE_SCHEMA = "value string"
 
@@ -40,17 +40,19 @@ def csv_to_text(raw: Column) -> Column:
     return F.array_join(F.transform(lines, csv_row_text), "\n")
 
 
-def extract_text(df: DataFrame, raw: str = "raw", ext: str = "ext") -> Column:
-    """Extracted (not yet normalized) text by extension; NULL when it cannot be read."""
+def with_text(df: DataFrame, raw: str = "raw", ext: str = "ext") -> DataFrame:
+    """Add the extracted (not yet normalized) text; NULL when it cannot be read."""
     content, kind = F.col(raw), F.col(ext)
-    return (
-        F.when(kind == ".json", flatten_json(raw))
+    flat = with_flat_text(df, raw, "_flat", when=kind == ".json")
+    text = (
+        F.when(kind == ".json", F.col("_flat"))
         .when(kind == ".csv", csv_to_text(content))
         .when(kind == ".xml", X.xml_to_text(content))
         .when(kind.isin(".html", ".htm"), X.html_to_text(content))
         .when(kind == ".eml", X.mail_to_text(content))
         .when(kind == ".txt", content)
     )
+    return flat.withColumn("text", text).drop("_flat")
 
 
 def file_rows(files: DataFrame) -> DataFrame:
@@ -69,8 +71,7 @@ def file_rows(files: DataFrame) -> DataFrame:
 def to_documents(rows: DataFrame) -> DataFrame:
     """Accepted files as documents; files whose text is blank are left out."""
     accepted = rows.where(is_supported(F.col("filename")) & fits(F.col("size")))
-    text = accepted.withColumn("text", extract_text(accepted))
-    return text.where(X.non_blank(F.coalesce("text", F.lit(""))))
+    return with_text(accepted).where(X.non_blank(F.coalesce("text", F.lit(""))))
 
 
 def rejected(rows: DataFrame) -> DataFrame:
