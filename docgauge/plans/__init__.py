@@ -6,5 +6,6 @@ def load():
     from docgauge.plans import catalog
     import docgauge.plans.text_queries  # noqa: F401
     import docgauge.plans.core_queries  # noqa: F401
+    import docgauge.plans.family_queries  # noqa: F401
 
     return catalog
