@@ -92,7 +92,7 @@ def records(df: DataFrame, group: str, payload: str) -> DataFrame:
 
 def social(df: DataFrame, group: str, text: str) -> DataFrame:
     """Comment rules per group; each non-blank line of the text is a comment."""
-    lines = df.select(F.col(group), F.explode(F.split(F.col(text), "\n")).alias("line"))
+    lines = df.select(F.col(group), F.explode_outer(F.split(F.col(text), "\n")).alias("line"))
     comments = lines.select(group, F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("c")).where(non_blank(F.col("c")))
     # equal comments are merged before anything is counted per group
     merged = comments.groupBy(group, "c").agg(F.count("*").alias("n"))

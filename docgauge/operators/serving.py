@@ -14,8 +14,13 @@ PAGE_SIZE = 10
 
 
 def issues_of(evaluations: DataFrame) -> DataFrame:
-    """One row per issue with its position inside the evaluation."""
-    return evaluations.select("doc_id", F.posexplode("issues").alias("pos", "issue")).select("doc_id", "pos", "issue.*")
+    """One row per issue with its position inside the evaluation.
+
+    The outer form keeps the optimizer from adding a non-empty test on the
+    array below the generator, which would compute a derived array twice.
+    """
+    rows = evaluations.select("doc_id", F.posexplode_outer("issues").alias("pos", "issue"))
+    return rows.where("pos IS NOT NULL").select("doc_id", "pos", "issue.*")
 
 
 def evaluation_by_id(evaluations: DataFrame, issues: DataFrame, doc_id) -> DataFrame:
@@ -58,7 +63,7 @@ def _color(status: Column) -> Column:
 
 
 def metric_bars(evaluations: DataFrame) -> DataFrame:
-    return evaluations.select("doc_id", F.inline("metrics")).select(
+    return evaluations.select("doc_id", F.inline_outer("metrics")).select(
         "doc_id", "name", "score", "weight", "status", _color(F.col("status")).alias("color")
     )
 

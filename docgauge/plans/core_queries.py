@@ -21,8 +21,13 @@ def sql_share(part: str, whole: str, empty: int = 100) -> str:
     return f"CASE WHEN {whole} = 0 THEN {empty}.0 ELSE {part} / CAST({whole} AS DOUBLE) * 100.0 END"
 
 
+def sql_round(x: str) -> str:
+    """One decimal, half up on the shortest decimal form of the double."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)"
+
+
 def sql_score(raw: str) -> str:
-    return f"greatest(0.0, least(100.0, round(CAST({raw} AS DOUBLE), 1)))"
+    return f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {sql_round(raw)}))"
 
 
 # ---------------------------------------------------------------- document grain: SQL of the invoices

@@ -53,25 +53,31 @@ def prepare(documents: DataFrame) -> DataFrame:
     return records.with_type_checks(routed, "payload")
 
 
-def type_metrics(binding: str = "raw", detect_language: bool = True) -> Column:
-    """Metrics of the row's family, as an array of metric records."""
+def type_metrics(binding: str = "raw", detect_language: bool = True, families=None) -> Column:
+    """Metrics of the row's family, as an array of metric records.
+
+    ``families`` limits the plan to the families a corpus is known to hold; a
+    row of any other family stops the job.
+    """
     text = F.col("text")
     source = lambda family: F.col("raw") if binding == "raw" and family in FAMILIES_ON_RAW else text
-    lang = social.english_share(text) if detect_language else None
     by_family = {
-        "contract": contract.metrics(F.col("fields"), text),
-        "invoice": invoice.metrics(F.col("fields"), F.col("line_items"), F.col("ext"), F.col("mean_conf"), F.col("blocks")),
-        "json": records.metrics(F.col("payload"), F.col("type_checks")),
-        "social_media": social.metrics(text, lang),
-        "tabular": tabular.metrics(source("tabular")),
-        "markup": markup.metrics(source("markup")),
-        "email": mail.metrics(source("email")),
+        "contract": lambda: contract.metrics(F.col("fields"), text),
+        "invoice": lambda: invoice.metrics(
+            F.col("fields"), F.col("line_items"), F.col("ext"), F.col("mean_conf"), F.col("blocks")),
+        "json": lambda: records.metrics(F.col("payload"), F.col("type_checks")),
+        "social_media": lambda: social.metrics(text, social.english_share(text) if detect_language else None),
+        "tabular": lambda: tabular.metrics(source("tabular")),
+        "markup": lambda: markup.metrics(source("markup")),
+        "email": lambda: mail.metrics(source("email")),
+        "general": lambda: general.metrics(text),
     }
-    out = None
+    unexpected = F.raise_error(F.concat(F.lit("unexpected metric family "), F.col("family")))
+    out = unexpected.cast("array<struct<name:string,score:double,description:string,status:string,details:string,document_type:string>>")
     for family, metrics in by_family.items():
-        test = F.col("family") == family
-        out = F.when(test, metrics) if out is None else out.when(test, metrics)
-    return out.otherwise(general.metrics(text))
+        if families is None or family in families:
+            out = F.when(F.col("family") == family, metrics()).otherwise(out)
+    return out
 
 
 def _blended(name: str, missing_semantic: str, supplied: set[str]) -> Column:
@@ -83,13 +89,14 @@ def _blended(name: str, missing_semantic: str, supplied: set[str]) -> Column:
 
 
 def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_semantic: str = "skip",
-             detect_language: bool = True) -> DataFrame:
+             detect_language: bool = True, families=None) -> DataFrame:
     """Evaluate every document.
 
     ``as_of`` is the moment dates are judged from. ``binding`` selects what the
     tabular, markup and e-mail metrics look at: the file content (``raw``) or
     the extracted text (``text``). ``missing_semantic`` says whether a missing
     semantic score counts as 0 (``zero``) or leaves the score as it is (``skip``).
+    ``families`` may name the only metric families that occur.
     """
     docs = prepare(documents)
     supplied = set(docs.schema["semantic"].dataType.names) if "semantic" in documents.columns else set()
@@ -97,7 +104,7 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
         F.col("fields"), F.col("line_items"), F.col("text"), F.col("document_type"), F.lit(as_of)
     )
     scored = docs.withColumns({f"core_{n}": c for n, c in outcomes.items()}).withColumn(
-        "type_specific_metrics", type_metrics(binding, detect_language)
+        "type_specific_metrics", type_metrics(binding, detect_language, families)
     )
     blended = scored.withColumns({f"score_{n}": _blended(n, missing_semantic, supplied) for n in rules.CORE_METRICS})
     scores = {n: F.col(f"score_{n}") for n in rules.CORE_METRICS}

@@ -10,7 +10,7 @@ from docgauge.functions import values as V
 from docgauge.operators import core, insights, prototype, serving
 from docgauge.plans import inputs as I
 from docgauge.plans.catalog import query, table
-from docgauge.plans.core_queries import CORE_SQL, ISSUES_SQL, SCORES_SQL, sql_score, sql_status
+from docgauge.plans.core_queries import CORE_SQL, ISSUES_SQL, SCORES_SQL, sql_round, sql_score, sql_status
 from docgauge.plans.evaluate import evaluate, parse_semantic_payload
 from docgauge.plans.family_queries import (
     KEYWORD_RAW, LANGUAGE_RAW, OFFENSIVE_RAW, READ_RAW, SECTION_FOUND, SECTION_RAW, SPAM_RAW, flags, keyword_sql,
@@ -31,7 +31,7 @@ def core_outcomes(spark, sf_dir):
 def long_scores(outcomes):
     """doc_id, metric, score, issues: one row per metric."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.score").alias("score"), F.col(f"{m}.issues").alias("issues")) for m in METRICS])
-    return outcomes.select("doc_id", F.inline(rows))
+    return outcomes.select("doc_id", F.inline_outer(rows))
 
 
 def core_issues(outcomes):
@@ -89,13 +89,12 @@ def general_scores_sql(src: str) -> str:
     return GENERAL_SCORES.replace("SRC", src)
 
 
-@query("type_score", f"SELECT doc_id, round((structure + read + section + keyword) / 4, 1) AS type_score FROM {general_scores_sql('documents')}")
+@query("type_score", f"SELECT doc_id, {sql_round("(structure + read + section + keyword) / 4")} AS type_score FROM {general_scores_sql('documents')}")
 def type_score(spark, sf_dir):
     return _general_docs(spark, sf_dir).select("doc_id", S.type_score(F.col("m")).alias("type_score"))
 
 
-@query("type_score_weighted", f"""SELECT doc_id, round((0.0::DOUBLE + structure * 0.25::DOUBLE + read * 0.25::DOUBLE + section * 0.25::DOUBLE + keyword * 0.25::DOUBLE)
-  / (0.25::DOUBLE + 0.25::DOUBLE + 0.25::DOUBLE + 0.25::DOUBLE), 1) AS type_score FROM {general_scores_sql('documents')}""")
+@query("type_score_weighted", f"""SELECT doc_id, {sql_round("structure * 0.25::DOUBLE + read * 0.25::DOUBLE + section * 0.25::DOUBLE + keyword * 0.25::DOUBLE")} AS type_score FROM {general_scores_sql('documents')}""")
 def type_score_weighted(spark, sf_dir):
     return _general_docs(spark, sf_dir).select("doc_id", S.type_score(F.col("m"), weighted=True).alias("type_score"))
 
@@ -197,32 +196,38 @@ RISK_TEXT = f"""CASE WHEN c + w = 0 THEN '{rules.NO_RISK_TEXT}' ELSE 'Risk Level
   || ' across ' || n || ' total issue(s). Review recommendations before proceeding.' END"""
 
 
+def _core_findings():
+    """Insights of the core scores in the row, and the number of issues."""
+    no_type_metrics = F.array().cast("array<struct<name:string,score:double>>")
+    found = insights.in_row({m: F.col(f"{m}.score") for m in METRICS}, no_type_metrics, F.lit("other"))
+    return found, reduce(lambda a, b: a + b, [F.size(f"{m}.issues") for m in METRICS])
+
+
 @query("risk_summary", f"""WITH {WITH_SCORES} SELECT doc_id, {RISK_TEXT} AS risk_summary FROM (
   SELECT i.doc_id, n, count(ord) FILTER (WHERE severity = 'critical') AS c, count(ord) FILTER (WHERE severity = 'warning') AS w
   FROM {N_ISSUES} i LEFT JOIN {CORE_INSIGHTS} k ON k.doc_id = i.doc_id GROUP BY 1, 2)""")
 def risk_summary(spark, sf_dir):
-    docs = core_outcomes(spark, sf_dir)
-    found = insights.in_row({m: F.col(f"{m}.score") for m in METRICS}, F.array().cast("array<struct<name:string,score:double>>"), F.lit("other"))
-    n = reduce(lambda a, b: a + b, [F.size(f"{m}.issues") for m in METRICS])
-    return docs.select("doc_id", found.alias("i"), n.alias("n")).select("doc_id", insights.risk_summary(F.col("i"), F.col("n")).alias("risk_summary"))
+    found, n_issues = _core_findings()
+    docs = core_outcomes(spark, sf_dir).select("doc_id", found.alias("i"), n_issues.alias("n"))
+    return docs.select("doc_id", insights.risk_summary(F.col("i"), F.col("n")).alias("risk_summary"))
 
 
 @query("executive_summary", f"""WITH {WITH_SCORES} SELECT doc_id, n_insights, n, top FROM (
   SELECT i.doc_id, CAST(n AS BIGINT) AS n, count(ord) AS n_insights, coalesce(array_to_string((list(issue ORDER BY ord) FILTER (WHERE ord IS NOT NULL))[1:3], ' '), '') AS top
   FROM {N_ISSUES} i LEFT JOIN {CORE_INSIGHTS} k ON k.doc_id = i.doc_id GROUP BY 1, 2)""")
 def executive_summary(spark, sf_dir):
-    ev = evaluate(I.invoices(spark, sf_dir).withColumn("document_type", F.lit("plain")), I.AS_OF)
-    text = F.col("executive_summary")
-    return ev.select(
-        "doc_id", F.size("insights").cast("long").alias("n_insights"), F.size("issues").cast("long").alias("n"),
-        F.regexp_extract(text, r"Key findings: (.*)$", 1).alias("top"))
+    found, n_issues = _core_findings()
+    docs = core_outcomes(spark, sf_dir).select("doc_id", found.alias("i"), n_issues.alias("n"))
+    top = F.transform(F.slice("i", 1, 3), lambda x: x["issue"])
+    text = insights.executive_summary(F.lit("invoice"), F.lit(50.0), top, F.size("i"), F.col("n"))
+    return docs.select("doc_id", F.size("i").cast("long").alias("n_insights"), F.col("n").cast("long").alias("n"),
+                       F.regexp_extract(text, r"Key findings: (.*)$", 1).alias("top"))
 
 
 @query("recommendations", f"""WITH {WITH_SCORES} SELECT doc_id, recommendation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS pos FROM {CORE_INSIGHTS}""")
 def recommendations(spark, sf_dir):
-    docs = core_outcomes(spark, sf_dir)
-    found = insights.in_row({m: F.col(f"{m}.score") for m in METRICS}, F.array().cast("array<struct<name:string,score:double>>"), F.lit("other"))
-    return docs.select("doc_id", F.posexplode(insights.recommendations(found)).alias("p", "recommendation")).select(
+    found, _ = _core_findings()
+    return core_outcomes(spark, sf_dir).select("doc_id", F.posexplode_outer(insights.recommendations(found)).alias("p", "recommendation")).where("p IS NOT NULL").select(
         "doc_id", "recommendation", (F.col("p") + 1).cast("long").alias("pos"))
 
 
@@ -273,8 +278,8 @@ _CREDITS = [_credit(n) for n in ("title", "date", "name")]
 _ACC = "CASE WHEN {0} = 0 THEN 100 ELSE ({1}) / {0} * 100 END".format(
     "(" + " + ".join(f"CAST(({c}) IS NOT NULL AS INT)" for c in _CREDITS) + ")", " + ".join(f"coalesce({c}, 0)" for c in _CREDITS))
 EVAL_SQL = f"""WITH nd AS {NORMAL}, td AS {TYPED},
- ts AS (SELECT doc_id, round((structure + read + section + keyword) / 4, 1) AS type_specific_score FROM {general_scores_sql(GENERAL_DOCS)}
-   UNION ALL SELECT l.doc_id, round((lang_score + off_score + spam_score) / 3, 1) FROM
+ ts AS (SELECT doc_id, {sql_round("(structure + read + section + keyword) / 4")} AS type_specific_score FROM {general_scores_sql(GENERAL_DOCS)}
+   UNION ALL SELECT l.doc_id, {sql_round("(lang_score + off_score + spam_score) / 3")} FROM
      (SELECT doc_id, {sql_score(LANGUAGE_RAW)} AS lang_score FROM {language_sql('doc_id', SOCIAL_DOCS)}) l
      JOIN (SELECT doc_id, {sql_score(OFFENSIVE_RAW)} AS off_score FROM {offensive_sql('doc_id', SOCIAL_DOCS)}) o ON o.doc_id = l.doc_id
      JOIN (SELECT doc_id, {sql_score(SPAM_RAW)} AS spam_score FROM {spam_sql('doc_id', SOCIAL_DOCS)}) p ON p.doc_id = l.doc_id),
@@ -298,7 +303,7 @@ def evaluate_documents(spark, sf_dir):
 
 
 def invoice_evaluations(spark, sf_dir):
-    return evaluate(I.invoices(spark, sf_dir), I.AS_OF)
+    return evaluate(I.invoices(spark, sf_dir), I.AS_OF, families=("invoice",))
 
 
 FILE_NAME = "'invoice-' || doc_id || '.txt'"
