@@ -39,17 +39,19 @@ def _clean_if_empty(fields: Column, outcome: Column) -> Column:
 
 def _checks_outcome(checks: Column) -> Column:
     """Fold an array of struct<done, passed, issues> into one outcome."""
-    summed = F.aggregate(
-        checks,
-        F.struct(F.lit(0).alias("done"), F.lit(0.0).alias("passed")),
-        lambda acc, c: F.struct(
-            (acc["done"] + c["done"]).alias("done"), (acc["passed"] + c["passed"]).alias("passed")
-        ),
-    )
-    return bind(
-        F.struct(summed.alias("sum"), F.array_compact(F.flatten(F.transform(checks, lambda c: c["issues"]))).alias("issues")),
-        lambda s: _outcome(share(s["sum"]["passed"], s["sum"]["done"]), s["issues"]),
-    )
+
+    def folded(checks: Column) -> Column:
+        summed = F.aggregate(
+            checks,
+            F.struct(F.lit(0).alias("done"), F.lit(0.0).alias("passed")),
+            lambda acc, c: F.struct(
+                (acc["done"] + c["done"]).alias("done"), (acc["passed"] + c["passed"]).alias("passed")
+            ),
+        )
+        issues = F.array_compact(F.flatten(F.transform(checks, lambda c: c["issues"])))
+        return bind(summed, lambda s: _outcome(share(s["passed"], s["done"]), issues))
+
+    return bind(checks, folded)
 
 
 def _check(done, passed, *issues: Column) -> Column:
@@ -133,19 +135,20 @@ def validity(fields: Column) -> Column:
                 lambda ok: _check(
                     1,
                     flag(ok),
-                    F.when(~ok, _issue(title(e["key"]), "Invalid Format", description,
+                    F.when(~ok, _issue(title(b["key"]), "Invalid Format", description,
                                        F.when(b["kind"] == "amount", "critical").otherwise("warning"))),
                 ),
             )
 
-        return bind(
-            F.struct(_format_of(e["key"]).alias("kind"), strip(e["value"]["text"]).alias("value")), judged
-        )
+        return bind(e, judged)
 
-    entries = F.filter(
+    entries = F.transform(
         F.map_entries(fields),
-        lambda e: F.coalesce(non_blank(e["value"]["text"]), F.lit(False)) & _format_of(e["key"]).isNotNull(),
+        lambda e: F.struct(
+            e["key"].alias("key"), _format_of(e["key"]).alias("kind"), strip(e["value"]["text"]).alias("value")
+        ),
     )
+    entries = F.filter(entries, lambda e: F.coalesce(e["value"] != "", F.lit(False)) & e["kind"].isNotNull())
     return _clean_if_empty(fields, _checks_outcome(F.transform(entries, check)))
 
 
