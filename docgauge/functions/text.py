@@ -151,7 +151,7 @@ def syllables(word: Column) -> Column:
     return text_syllables(F.regexp_replace(word, r"\s", ""))
 
 
-def text_syllables(text: Column) -> Column:
+def text_syllables(text: Column, low: Column | None = None) -> Column:
     """Syllables of all whitespace tokens of a text, counted over the whole text.
 
     A token has as many syllables as vowel groups, one less for a final ``e``
@@ -160,7 +160,7 @@ def text_syllables(text: Column) -> Column:
     with several groups.
     """
     marks = rf"[{_MARKS}]*"
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     bare = F.regexp_replace(low, rx(rf"(?:^{marks}|{marks}\s+){marks}|{marks}$"), " ")
     silent_e = r"[aeiouy]++[^aeiouy\s]++(?:[aeiouy]++[^aeiouy\s]++)*+[aeiouy]++(?<=e)(?!\S)"
     with_vowel = r"(?<!\S)[^aeiouy\s]*+[aeiouy]\S*+"

@@ -9,7 +9,7 @@ from docgauge import rules
 from docgauge.functions.text import bind, literal_map, lower_text, strip
 
 
-def detect_type(text: Column, filename: Column) -> Column:
+def detect_type(text: Column, filename: Column, low: Column | None = None) -> Column:
     """JSON by extension, else the first keyword list with a plain substring hit."""
 
     def by_keyword(low: Column) -> Column:
@@ -21,13 +21,13 @@ def detect_type(text: Column, filename: Column) -> Column:
 
     name = F.lower(F.coalesce(filename, F.lit("")))
     by_extension = F.contains(name, F.lit(".")) & (F.substring_index(name, ".", -1) == "json")
-    return F.when(by_extension, "json").otherwise(bind(lower_text(text), by_keyword))
+    return F.when(by_extension, "json").otherwise(bind(lower_text(text) if low is None else low, by_keyword))
 
 
-def resolve_type(supplied: Column, text: Column, filename: Column) -> Column:
+def resolve_type(supplied: Column, text: Column, filename: Column, low: Column | None = None) -> Column:
     """Supplied type unless it is ``unknown``; an empty type is kept."""
     given = F.coalesce(supplied, F.lit("unknown"))
-    return F.when(given == "unknown", detect_type(text, filename)).otherwise(given)
+    return F.when(given == "unknown", detect_type(text, filename, low)).otherwise(given)
 
 
 def family_of(document_type: Column) -> Column:

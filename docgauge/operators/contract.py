@@ -42,15 +42,15 @@ def missing_groups(fields: Column, groups: dict[str, list[str]]) -> Column:
     return F.transform(absent, lambda r: r["v0"])
 
 
-def clause_completeness(text: Column) -> Column:
+def clause_completeness(text: Column, low: Column | None = None) -> Column:
     def judged(low: Column) -> Column:
         present = {title_text(n): has(low, any_of(p)) for n, p in rules.CLAUSES.items()}
         return found_of("standard clauses", len(present), _absent(present), 5)
 
-    return metric("contract", "Clause Completeness", bind(lower_text(text), judged))
+    return metric("contract", "Clause Completeness", bind(lower_text(text) if low is None else low, judged))
 
 
-def signature_presence(fields: Column, text: Column) -> Column:
+def signature_presence(fields: Column, text: Column, low: Column | None = None) -> Column:
     def judged(low: Column) -> Column:
         present = {title_text(n): has(low, p) for n, p in rules.SIGNATURE_INDICATORS.items()}
         present["Party Signatures"] = V.is_truthy(fields, "signatures") | present["Party Signatures"]
@@ -66,7 +66,7 @@ def signature_presence(fields: Column, text: Column) -> Column:
             ),
         )
 
-    return metric("contract", "Signature Presence", bind(lower_text(text), judged))
+    return metric("contract", "Signature Presence", bind(lower_text(text) if low is None else low, judged))
 
 
 def metadata_completeness(fields: Column) -> Column:
@@ -76,7 +76,7 @@ def metadata_completeness(fields: Column) -> Column:
     )
 
 
-def risk_clause_detection(text: Column) -> Column:
+def risk_clause_detection(text: Column, low: Column | None = None) -> Column:
     def judged(low: Column) -> Column:
         present = {n: has(low, any_of(p)) for n, p in rules.CONTRACT_RISKS.items()}
         return bind(
@@ -91,11 +91,12 @@ def risk_clause_detection(text: Column) -> Column:
             ),
         )
 
-    return metric("contract", "Risk Clause Detection", bind(lower_text(text), judged))
+    return metric("contract", "Risk Clause Detection", bind(lower_text(text) if low is None else low, judged))
 
 
-def metrics(fields: Column, text: Column) -> Column:
+def metrics(fields: Column, text: Column, low: Column | None = None) -> Column:
+    """All four; ``low`` may hold the lower-cased text when it is already known."""
     return F.array(
-        clause_completeness(text), signature_presence(fields, text),
-        metadata_completeness(fields), risk_clause_detection(text),
+        clause_completeness(text, low), signature_presence(fields, text, low),
+        metadata_completeness(fields), risk_clause_detection(text, low),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docgauge import rules, schemas
 from docgauge.functions import values as V
 from docgauge.functions.scoring import clamp_score, share
-from docgauge.functions.text import bind, flag, literal, literal_map, non_blank, rx, strip, title, title_text
+from docgauge.functions.text import bind, flag, literal, literal_map, lower_text, non_blank, rx, strip, title, title_text
 
 
 def _issue(name: Column, kind: str, description: Column, severity) -> Column:
@@ -308,11 +308,10 @@ def uniqueness(fields: Column, line_items: Column) -> Column:
 
 # ---------------------------------------------------------------- accuracy
 
-def accuracy(fields: Column, text: Column) -> Column:
+def accuracy(fields: Column, text: Column, low: Column | None = None) -> Column:
     """Values occur in the text (a shared longer word counts 0.8); amounts are plausible."""
-    searchable = F.coalesce(text, F.lit(""))
     # bound once per row: the text is lower-cased once, not once per field
-    return bind(F.lower(searchable), lambda low: _accuracy(fields, low))
+    return bind(lower_text(text) if low is None else low, lambda low: _accuracy(fields, low))
 
 
 def _accuracy(fields: Column, low: Column) -> Column:
@@ -359,13 +358,14 @@ def _accuracy(fields: Column, low: Column) -> Column:
     return _clean_if_empty(fields, _checks_outcome(F.transform(entries, check)))
 
 
-def all_core(fields: Column, line_items: Column, text: Column, document_type: Column, as_of: Column) -> dict[str, Column]:
+def all_core(fields: Column, line_items: Column, text: Column, document_type: Column, as_of: Column,
+             low: Column | None = None) -> dict[str, Column]:
     """The six outcomes by metric name, in reporting order."""
     return {
         "completeness": completeness(fields, document_type),
         "validity": validity(fields),
         "consistency": consistency(fields, line_items),
-        "accuracy": accuracy(fields, text),
+        "accuracy": accuracy(fields, text, low),
         "timeliness": timeliness(fields, as_of),
         "uniqueness": uniqueness(fields, line_items),
     }

@@ -46,13 +46,13 @@ def structure_quality(text: Column) -> Column:
     return metric("general", "Structure Quality", bind(facts, scored))
 
 
-def readability(text: Column) -> Column:
+def readability(text: Column, low: Column | None = None) -> Column:
     """Flesch reading ease from whitespace words, sentence ends and vowel groups."""
     text = _text(text)
     facts = F.struct(
         token_count(text).alias("words"),
         F.greatest(F.size(stripped_parts(text, rx(r"[.!?]+\s+"))), F.lit(1)).alias("sentences"),
-        text_syllables(text).alias("syllables"),
+        text_syllables(text, low).alias("syllables"),
     )
 
     def scored(f: Column) -> Column:
@@ -72,7 +72,7 @@ def readability(text: Column) -> Column:
     return metric("general", "Readability Score", bind(facts, scored))
 
 
-def section_completeness(text: Column) -> Column:
+def section_completeness(text: Column, low: Column | None = None) -> Column:
     text = _text(text)
 
     def judged(low: Column) -> Column:
@@ -88,7 +88,7 @@ def section_completeness(text: Column) -> Column:
             F.concat(F.lit("Found "), F.size(s).cast("string"), F.lit(" section type(s): "), F.array_join(s, ", "), F.lit(".")),
         )))
 
-    return metric("general", "Section Completeness", bind(lower_text(text), judged))
+    return metric("general", "Section Completeness", bind(lower_text(text) if low is None else low, judged))
 
 
 def word_profile(words: Column) -> Column:
@@ -122,7 +122,7 @@ def word_profile(words: Column) -> Column:
     )
 
 
-def keyword_density(text: Column) -> Column:
+def keyword_density(text: Column, low: Column | None = None) -> Column:
     def judged(words: Column) -> Column:
         content = F.filter(words, lambda w: ~w.isin(rules.STOP_WORDS))
 
@@ -151,8 +151,11 @@ def keyword_density(text: Column) -> Column:
             ).otherwise(bind(word_profile(c), scored))))
         )
 
-    return metric("general", "Keyword Density", bind(latin_words(lower_text(text), 3), judged))
+    return metric("general", "Keyword Density", bind(latin_words(lower_text(text) if low is None else low, 3), judged))
 
 
-def metrics(text: Column) -> Column:
-    return F.array(structure_quality(text), readability(text), section_completeness(text), keyword_density(text))
+def metrics(text: Column, low: Column | None = None) -> Column:
+    """All four; ``low`` may hold the lower-cased text when it is already known."""
+    return F.array(
+        structure_quality(text), readability(text, low), section_completeness(text, low), keyword_density(text, low)
+    )

@@ -47,7 +47,7 @@ def english_share(text: Column) -> Column:
     )
 
 
-def language_consistency(text: Column, lang_share: Column | None = None) -> Column:
+def language_consistency(text: Column, lang_share: Column | None = None, low: Column | None = None) -> Column:
     """Penalise non-English lines, slang and shouting.
 
     ``lang_share`` is the share of English lines: ``english_share(text)``, a
@@ -59,7 +59,7 @@ def language_consistency(text: Column, lang_share: Column | None = None) -> Colu
     def judged(words: Column) -> Column:
         n = F.size(words)
         shouted = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z]{2,}$")))
-        slang = hits(F.lower(text), any_of(rules.SLANG_PATTERNS))
+        slang = hits(F.lower(text) if low is None else low, any_of(rules.SLANG_PATTERNS))
         facts = F.struct(
             n.alias("n"),
             (slang / F.greatest(n, F.lit(1))).alias("slang"),
@@ -96,7 +96,7 @@ def language_consistency(text: Column, lang_share: Column | None = None) -> Colu
     return metric("social_media", "Language Consistency", bind(latin_words(text), judged))
 
 
-def offensive_rate(text: Column) -> Column:
+def offensive_rate(text: Column, low: Column | None = None) -> Column:
     text = F.coalesce(text, F.lit(""))
     names = list(rules.OFFENSIVE_PATTERNS)
 
@@ -121,10 +121,10 @@ def offensive_rate(text: Column) -> Column:
 
         return bind(facts, scored)
 
-    return metric("social_media", "Offensive Rate", bind(F.lower(text), judged))
+    return metric("social_media", "Offensive Rate", bind(F.lower(text) if low is None else low, judged))
 
 
-def spam_detection(text: Column) -> Column:
+def spam_detection(text: Column, low: Column | None = None) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def sentence_share(low: Column) -> Column:
@@ -175,8 +175,9 @@ def spam_detection(text: Column) -> Column:
 
         return bind(facts, scored)
 
-    return metric("social_media", "Spam Detection", bind(F.lower(text), judged))
+    return metric("social_media", "Spam Detection", bind(F.lower(text) if low is None else low, judged))
 
 
-def metrics(text: Column, lang_share: Column | None = None) -> Column:
-    return F.array(language_consistency(text, lang_share), offensive_rate(text), spam_detection(text))
+def metrics(text: Column, lang_share: Column | None = None, low: Column | None = None) -> Column:
+    """All three; ``low`` may hold the lower-cased text when it is already known."""
+    return F.array(language_consistency(text, lang_share, low), offensive_rate(text, low), spam_detection(text, low))

@@ -44,9 +44,10 @@ def prepare(documents: DataFrame) -> DataFrame:
         col("blocks", F.lit(0)).alias("blocks"),
         col("created_at", F.lit(None).cast("timestamp_ntz")).alias("created_at"),
     )
-    typed = base.withColumn(
-        "document_type", classify.resolve_type(F.col("supplied_type"), F.col("text"), F.col("filename"))
-    )
+    # lower-cased once here for every rule that searches the text
+    lowered = base.withColumn("low", F.lower("text"))
+    typed = lowered.withColumn("document_type", classify.resolve_type(
+        F.col("supplied_type"), F.col("text"), F.col("filename"), F.col("low")))
     routed = typed.withColumn("family", classify.metric_family(F.col("ext"), F.col("document_type"))).withColumn(
         "payload", F.when(F.col("ext") == ".json", F.try_parse_json("raw"))
     )
@@ -59,18 +60,18 @@ def type_metrics(binding: str = "raw", detect_language: bool = True, families=No
     ``families`` limits the plan to the families a corpus is known to hold; a
     row of any other family stops the job.
     """
-    text = F.col("text")
+    text, low = F.col("text"), F.col("low")
     source = lambda family: F.col("raw") if binding == "raw" and family in FAMILIES_ON_RAW else text
     by_family = {
-        "contract": lambda: contract.metrics(F.col("fields"), text),
+        "contract": lambda: contract.metrics(F.col("fields"), text, low),
         "invoice": lambda: invoice.metrics(
             F.col("fields"), F.col("line_items"), F.col("ext"), F.col("mean_conf"), F.col("blocks")),
         "json": lambda: records.metrics(F.col("payload"), F.col("type_checks")),
-        "social_media": lambda: social.metrics(text, social.english_share(text) if detect_language else None),
+        "social_media": lambda: social.metrics(text, social.english_share(text) if detect_language else None, low),
         "tabular": lambda: tabular.metrics(source("tabular")),
         "markup": lambda: markup.metrics(source("markup")),
         "email": lambda: mail.metrics(source("email")),
-        "general": lambda: general.metrics(text),
+        "general": lambda: general.metrics(text, low),
     }
     unexpected = F.raise_error(F.concat(F.lit("unexpected metric family "), F.col("family")))
     out = unexpected.cast("array<struct<name:string,score:double,description:string,status:string,details:string,document_type:string>>")
@@ -101,7 +102,7 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
     docs = prepare(documents)
     supplied = set(docs.schema["semantic"].dataType.names) if "semantic" in documents.columns else set()
     outcomes = core.all_core(
-        F.col("fields"), F.col("line_items"), F.col("text"), F.col("document_type"), F.lit(as_of)
+        F.col("fields"), F.col("line_items"), F.col("text"), F.col("document_type"), F.lit(as_of), F.col("low")
     )
     scored = docs.withColumns({f"core_{n}": c for n, c in outcomes.items()}).withColumn(
         "type_specific_metrics", type_metrics(binding, detect_language, families)
