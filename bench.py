@@ -13,11 +13,12 @@ from docgauge.plans import load
 from docgauge.session import local_session
 
 HEADLINE = [
-    "evaluate_documents", "evaluate_invoices", "issues_by_metric", "detect_type", "normalize_text", "html_to_text",
+    "detect_type", "normalize_text", "html_to_text",
     "core_completeness", "core_validity", "core_consistency", "core_accuracy", "core_timeliness", "core_uniqueness",
     "table_completeness", "table_sum_consistency", "table_uniqueness", "table_accuracy_ref", "contract_clauses",
     "invoice_amounts_of_orders", "json_type_validation", "json_records_profile", "social_language", "social_spam",
     "tab_type_consistency", "markup_tags", "email_body", "gen_readability", "gen_keywords", "proto_json",
+    "issues_by_metric", "evaluate_invoices", "evaluate_documents",
 ]
 
 
