@@ -4,8 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docgauge import rules
-from docgauge.functions.scoring import clamp_score, finding, metric
-from docgauge.functions.text import bind, flag, has, hits, rx, total
+from docgauge.functions.scoring import finding, metric
+from docgauge.functions.text import bind, flag, has, hits, rx
 
 # Opening tags without a slash anywhere inside (so tags with a URL are not seen),
 # closing tags, and self-closing tags.

@@ -133,7 +133,7 @@ _LINE_2 = "CASE WHEN repeated_item = 1 THEN item ELSE 5 END"
 
 @query("invoice_amounts", scored("doc_id", sql_share(
     f"({flags('total IS NOT NULL AND abs(subtotal + tax - total) < 0.01', f'item + {_LINE_2} > 0 AND abs(item + {_LINE_2} - subtotal) < 0.01')} "
-    f"+ 1 + CASE WHEN repeated_item = 1 THEN 1 ELSE 1 END)", "(CASE WHEN total IS NULL THEN 3 ELSE 4 END)"),
+    "+ 2)", "(CASE WHEN total IS NULL THEN 3 ELSE 4 END)"),
     f"""(SELECT doc_id, repeated_item, CAST(item_amount AS DOUBLE) AS item, {sql_number('subtotal', _AMOUNT)} AS subtotal,
       {sql_number('tax', _AMOUNT)} AS tax, {sql_number('total_amount', _AMOUNT)} AS total FROM inv)""", f"WITH {INV}"))
 def invoice_amounts(spark, sf_dir):
@@ -211,7 +211,6 @@ def json_cross_field(spark, sf_dir):
     return shown(_json_docs(spark, sf_dir, I.ORDER_JSON), ["o_orderkey"], records.cross_field_consistency(F.col("payload")))
 
 
-_TYPES = "list_transform(json_keys({0}), lambda k: json_type(json_extract({0}, k)))"
 
 
 @query("json_drift", scored("event_id", "greatest(0, 100 - drift / 2.0 * 100)", f"""(
@@ -224,14 +223,12 @@ def json_drift(spark, sf_dir):
 
 
 _RECORD_KIND = "CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END"
-_SAME = "(k = fk)"
 
 
 @query("json_records_profile", f"""
 SELECT user_id, count(*) AS n_records,
-  {sql_score(sql_share("coalesce(sum(CASE WHEN (k = 2) = (fk = 2) THEN 1.0 WHEN fk = 3 THEN 0.0 ELSE 0.75 END) FILTER (WHERE k <> 3 AND event_id <> first_id), 0)",
-                       "count(*) FILTER (WHERE k <> 3 AND event_id <> first_id)"))
-   .replace("WHEN (k = 2) = (fk = 2) THEN 1.0 WHEN fk = 3 THEN 0.0", "WHEN fk = 3 THEN 0.0 WHEN (k = 2) = (fk = 2) THEN 1.0")} AS schema_compliance,
+  {sql_score(sql_share("coalesce(sum(CASE WHEN fk = 3 THEN 0.0 WHEN (k = 2) = (fk = 2) THEN 1.0 ELSE 0.75 END) FILTER (WHERE k <> 3 AND event_id <> first_id), 0)",
+                       "count(*) FILTER (WHERE k <> 3 AND event_id <> first_id)"))} AS schema_compliance,
   {sql_score("CASE WHEN any_value(fk) = 3 OR count(*) = 1 THEN 100 ELSE greatest(0, 100 - sum(drift) / (count(*) - 1) * 100) END")} AS schema_drift_rate,
   {sql_status("CASE WHEN any_value(fk) = 3 OR count(*) = 1 THEN 100 ELSE greatest(0, 100 - sum(drift) / (count(*) - 1) * 100) END")} AS drift_status
 FROM (SELECT *, CASE WHEN event_id = first_id THEN 0 WHEN k = 3 OR (k = 2) <> (fk = 2) THEN 1.0 WHEN k <> fk THEN 0.5 ELSE 0 END AS drift
