@@ -11,15 +11,17 @@ Candidates are verified by exact word edit distance over the whole item.
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.llm.common import back, by_position
 
-#: Repetitions, sampled coordinates of each besides the first, and the coordinates to sample from at most.
-REPEATS, SAMPLED, COORDINATES = 16, 3, 128
+#: Starting words of an item, repetitions of each, sampled coordinates besides the first, and the coordinates to sample from at most.
+STARTS, REPEATS, SAMPLED, COORDINATES = 6, 4, 3, 128
+#: Words whose random steps a task remembers.
+REMEMBERED = 200_000
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
 #: Bytes of benchmark text that go to the tasks at once; a larger benchmark is done in blocks.
@@ -31,17 +33,38 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def embedded(words: list[str], at: int, seed: int, coordinates: tuple[int, ...]) -> tuple[str, ...]:
-    """The sampled coordinates of the CGK embedding of words[at:]; past the end: an empty word."""
-    import xxhash
+class Walk:
+    """The CGK embedding of one repetition: shared random steps by word and coordinate."""
 
-    bits_of, n, out, step = xxhash.xxh3_128_intdigest, len(words), [], 0
-    for coordinate in coordinates:
-        while step < coordinate and at < n:
-            at += bits_of(words[at], seed) >> step & 1
-            step += 1
-        out.append(words[at] if at < n else "")
-    return tuple(out)
+    def __init__(self, seed: int):
+        self.seed, self.known = seed, {}
+
+    def steps(self, word: str) -> int:
+        """A bit for each coordinate: whether the walk moves on after this word."""
+        import xxhash
+
+        bits = self.known.get(word)
+        if bits is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            bits = self.known[word] = xxhash.xxh3_128_intdigest(word, self.seed)
+        return bits
+
+    def sample(self, words: list[str], at: int, coordinates: tuple[int, ...], go_on=None) -> tuple[str, ...] | None:
+        """Coordinate 0 and the given ones of the embedding of words[at:]; past the end an empty word.
+
+        None as soon as ``go_on`` (the known beginnings of samples) has no such sample.
+        """
+        n, steps, step = len(words), self.steps, 0
+        out: tuple[str, ...] = (words[at],)
+        for coordinate in coordinates:
+            while step < coordinate and at < n:
+                at += steps(words[at]) >> step & 1
+                step += 1
+            out += (words[at] if at < n else "",)
+            if go_on is not None and out not in go_on:
+                return None
+        return out
 
 
 def distance_ends(item: list[str], text: list[str]) -> tuple[int, int]:
@@ -73,35 +96,41 @@ def distance_ends(item: list[str], text: list[str]) -> tuple[int, int]:
 class Index:
     """LSH tables of some items."""
 
-    def __init__(self, items: list[tuple], edits: float = EDITS, repeats: int = REPEATS):
+    def __init__(self, items: list[tuple], edits: float = EDITS):
         self.items = [(key, w) for key, text in items if (w := words_of(text))]
         self.edits = edits
-        self.tables: dict[tuple, list] = defaultdict(list)
+        self.tables: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
+        self.begun: dict[tuple, set] = defaultdict(set)
         self.starts: dict[str, set] = defaultdict(set)
         self.plans: dict[tuple, tuple[int, ...]] = {}
+        self.walks = [Walk(k) for k in range(STARTS * REPEATS)]
+        often = Counter(w for _, words in self.items for w in words)
         for number, (_, words) in enumerate(self.items):
-            # long words are rare, so few windows of the corpus start with one
-            offsets = sorted(range(len(words)), key=lambda k: (-len(words[k]) if len(words) - k >= 8 or k == 0 else 0, k))[:repeats]
-            for repeat, offset in enumerate(offsets):
-                plan = repeat, (len(words) - offset).bit_length()
-                self.starts[words[offset]].add(plan)
-                self.tables[plan, words[offset], embedded(words, offset, repeat, self.coordinates(plan))].append((number, offset))
+            # words that are rare in the benchmark and long: few windows of the corpus start with one
+            rare = lambda k: (len(words) - k < 6 and k > 0, often[words[k]], -len(words[k]), k)  # noqa: B023, E731
+            for nth, offset in enumerate(sorted(range(len(words)), key=rare)[:STARTS]):
+                for repeat in range(nth * REPEATS, (nth + 1) * REPEATS):
+                    plan = repeat, (len(words) - offset).bit_length()
+                    key = self.walks[repeat].sample(words, offset, self.coordinates(plan))
+                    self.starts[words[offset]].add(plan)
+                    self.tables[plan][key].append((number, offset))
+                    self.begun[plan].update(key[:k] for k in range(2, len(key) + 1))
 
     def coordinates(self, plan: tuple[int, int]) -> tuple[int, ...]:
         """Sampled coordinates of a repetition for windows of a size class."""
         if plan not in self.plans:
-            reach = min(COORDINATES, 2 << (plan[1] - 1))
-            self.plans[plan] = tuple(sorted(random.Random(f"cgk {plan}").sample(range(1, max(reach, 2)), min(SAMPLED, max(reach, 2) - 1))))
+            reach = max(2, min(COORDINATES, 2 << (plan[1] - 1)))
+            self.plans[plan] = tuple(sorted(random.Random(f"cgk {plan}").sample(range(1, reach), min(SAMPLED, reach - 1))))
         return self.plans[plan]
 
     def matches(self, text: str) -> list[tuple]:
         """(item key, first word, last word + 1, distance, item words) of each passage found, by item and place."""
         words = words_of(text)
-        starts, tables, tried, found = self.starts, self.tables, set(), {}
+        starts, tried, found = self.starts, set(), {}
         for at in [k for k, w in enumerate(words) if w in starts]:
             for plan in starts[words[at]]:
-                hits = tables.get((plan, words[at], embedded(words, at, plan[0], self.plans[plan])), ())
-                for number, offset in hits:
+                key = self.walks[plan[0]].sample(words, at, self.plans[plan], self.begun[plan])
+                for number, offset in self.tables[plan].get(key, ()):
                     if (number, at - offset) in tried:
                         continue
                     tried.add((number, at - offset))

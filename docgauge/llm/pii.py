@@ -114,6 +114,8 @@ class Stretch:
         self.text = text
         held = [text[a:b] for a, b in self.tokens]
         anchor = np.cumsum([0] + [bool(_ANCHOR.search(w)) for w in held])
+        # letters belong to an entity only beside an at sign
+        letters, signs = (np.cumsum([0] + [test(w) for w in held]) for test in (str.isalpha, "@".__eq__))
         self.segments, self.features = [], []
         for i, first in enumerate(held):
             if not (first[0].isalnum() or first in "+("):
@@ -122,7 +124,7 @@ class Stretch:
                 last = held[j - 1]
                 if any(c.isspace() and c != " " for c in last):
                     break
-                if last[-1].isalnum() and anchor[j] > anchor[i]:
+                if last[-1].isalnum() and anchor[j] > anchor[i] and (letters[j] == letters[i] or signs[j] - signs[i] == 1):
                     self.segments.append((i, j))
                     self.features.append(self._features(held, i, j))
 
@@ -147,7 +149,8 @@ class Stretch:
         elif text.count("@") == 1:
             local, _, domain = text.partition("@")
             out.append(f"mail {bool(local) and '.' in domain and ' ' not in text and not set('()') & set(text)}")
-            out.append(f"wider {before not in ' ' and before[-1] in _LOCAL or after[0] in _LOCAL and after != '.'}")
+            beyond = after if after != "." else held[j + 1] if j + 1 < len(held) else " "
+            out.append(f"wider {before[-1] in _LOCAL} {beyond[0].isalnum()}")
         return out
 
 
