@@ -56,3 +56,20 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
     return next(f.dataType.simpleString() for f in docs.schema.fields if f.name == id_col)
+
+
+def most_frequent(counts: DataFrame, count_col: str, limit: int) -> DataFrame:
+    """The rows of the highest counts, ``limit`` at most; rows of one count class are in or out together.
+
+    Classes are exact below 64 and eighths of a doubling above, so only a short
+    histogram is gathered and no task sorts or holds all rows.
+    """
+    n = F.col(count_col)
+    grade = F.when(n < 64, n).otherwise(64 + F.floor(8 * F.log2(n / 64))).cast("long")
+    total, least = 0, None
+    for row in sorted(counts.groupBy(grade.alias("g")).count().collect(), reverse=True):
+        total += row[1]
+        if total > limit:
+            break
+        least = row[0]
+    return counts.where(F.lit(False) if least is None else grade >= least)

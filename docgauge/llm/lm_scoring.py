@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import by_position
+from docgauge.llm.common import by_position, most_frequent, saved
 
 VOCABULARY = 50_000
 CELLS = 1 << 21
@@ -36,8 +36,8 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of the column ``text``, and the unigram counts of all documents (the last: unknown)."""
+def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
+    """The most frequent words of the column ``text``, ``size`` at most, in order."""
     def run(batches):
         seen = Counter()
 
@@ -53,9 +53,8 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> tuple[list[str], np.
                     yield flush()
         yield flush()
 
-    counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = counts.where(F.length("word") <= WORD_CHARS).orderBy(F.desc("n"), "word").limit(size).collect()
-    return [r[0] for r in ranked], np.array([r[1] for r in ranked], dtype=np.int64)
+    counts = saved(texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= WORD_CHARS))
+    return sorted(r[0] for r in most_frequent(counts, "n", size).collect())
 
 
 def cells_of(ids: np.ndarray, cells: int) -> np.ndarray:
@@ -143,7 +142,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     df, at = by_position(docs)
     df = df.select(F.col(at[id_col]).alias("doc_id"), F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    names, _ = vocabulary(df, size)
+    names = vocabulary(df, size)
     size = len(names)
     ranks = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
     chosen = target_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
