@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from docgauge.llm.common import by_position, most_frequent, saved
 
 VOCABULARY = 50_000
+#: A word's number as it is shuffled; the vocabulary has fewer words than it can hold.
+NUMBER = "<u2"
 CELLS = 1 << 21
 #: Cells of a block: the unit in which counts are shuffled and added.
 BLOCK = 1 << 14
@@ -71,18 +73,18 @@ def numbers(text: str, rank: dict[str, int], unknown: int) -> np.ndarray:
     return np.fromiter((rank.get(w, unknown) for w in words), np.int64, len(words))
 
 
-def bigram_counts(docs: DataFrame, ranks, size: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Cell counts and unigram counts, each for (background, target), of docs (text, target).
+def bigram_counts(docs: DataFrame, size: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Cell counts and unigram counts, each for (background, target), of docs (ids, target).
 
     A task adds up its own documents in arrays of fixed size and passes on the blocks
     that are not empty; the blocks are added on the cluster, and the sums, of fixed
     size, make the models.
     """
     def run(batches):
-        rank, table, words = ranks.value, np.zeros((2, cells), np.int64), np.zeros((2, size + 1), np.int64)
+        table, words = np.zeros((2, cells), np.int64), np.zeros((2, size + 1), np.int64)
         for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                ids = numbers(text.as_py(), rank, size)
+            for packed, target in zip(batch.column("ids"), batch.column("target").to_pylist(), strict=True):
+                ids = np.frombuffer(packed.as_py(), NUMBER).astype(np.int64)
                 at = cells_of(ids, cells) if len(ids) > 1 else ids[:0]
                 for kind in (0, 1)[: 1 + target]:
                     np.add.at(table[kind], at, 1)
@@ -146,8 +148,17 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     size = len(names)
     ranks = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
     chosen = target_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
-    marked = df.join(chosen, F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("target"))
-    table, words = bigram_counts(marked, ranks, size, cells)
+
+    def number(batches):
+        rank = ranks.value
+        for batch in batches:
+            ids = [numbers(x.as_py(), rank, size).astype(NUMBER).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    # word numbers are shuffled, not texts; the plan is the same at every size
+    numbered = df.mapInArrow(number, f"doc_id {kind}, ids binary")
+    marked = numbered.join(chosen.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select("ids", F.col("t_id").isNotNull().alias("target"))
+    table, words = bigram_counts(marked, size, cells)
     models = spark.sparkContext.broadcast((table.astype(np.float32), words.astype(np.float32)))
 
     def run(batches):
