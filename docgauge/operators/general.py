@@ -92,30 +92,33 @@ def section_completeness(text: Column, low: Column | None = None) -> Column:
 
 
 def word_profile(words: Column) -> Column:
-    """struct<total, distinct, top_count> of an array of words.
+    """struct<total, distinct, top, word> of an array of words.
 
     Sorting brings equal words together, so one pass over the runs counts them
-    without leaving the row.
+    without leaving the row. Of equally frequent words the first seen is named.
     """
     start = F.struct(
-        F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("distinct"), F.lit(0).alias("top"),
-        F.lit("").alias("top_word"),
+        F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("first"), F.lit(0).alias("distinct"), F.lit(0).alias("top"),
+        F.lit(0).alias("top_first"), F.lit("").alias("top_word"),
     )
 
-    def step(acc: Column, w: Column) -> Column:
-        same = acc["word"] == w
+    def step(acc: Column, x: Column) -> Column:
+        w, same = x["w"], acc["word"] == x["w"]
+        first = F.when(same, acc["first"]).otherwise(x["i"])
+        better = lambda run: (run > acc["top"]) | ((run == acc["top"]) & (first < acc["top_first"]))
         return bind(
             F.when(same, acc["run"] + 1).otherwise(1),
             lambda run: F.struct(
-                w.alias("word"), run.alias("run"),
+                w.alias("word"), run.alias("run"), first.alias("first"),
                 (acc["distinct"] + F.when(same, 0).otherwise(1)).alias("distinct"),
                 F.greatest(acc["top"], run).alias("top"),
-                F.when(run > acc["top"], w).otherwise(acc["top_word"]).alias("top_word"),
+                F.when(better(run), first).otherwise(acc["top_first"]).alias("top_first"),
+                F.when(better(run), w).otherwise(acc["top_word"]).alias("top_word"),
             ),
         )
 
     return bind(
-        F.aggregate(F.array_sort(words), start, step),
+        F.aggregate(F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), start, step),
         lambda a: F.struct(
             F.size(words).alias("total"), a["distinct"].alias("distinct"), a["top"].alias("top"), a["top_word"].alias("word")
         ),

@@ -16,7 +16,6 @@ from docgauge.functions import values as V
 from docgauge.functions.scoring import clamp_score, finding, metric, share, status_of
 from docgauge.functions.text import bind, flag, non_blank, total
 
-MAX_DEPTH = 10
 EMPTY_VARIANTS = "array<variant>"
 
 
@@ -152,28 +151,40 @@ NEXT_LEVEL = f"""filter(
   c -> c.m IS NOT NULL OR c.a IS NOT NULL)"""
 
 
-def _stop_if_deeper(df: DataFrame, depth: int) -> DataFrame:
-    """Fail loudly when containers are left after the last level."""
-    stop = F.raise_error(F.lit(f"JSON nested deeper than {depth} levels"))
-    return df.withColumn("f", F.when(F.size("f") > 0, stop.cast("string")))
+def nesting(text: Column) -> Column:
+    """Brackets open at once at most in a JSON text, strings left out."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-def with_type_checks(df: DataFrame, payload: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    return F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["most"])
+
+
+def depth_of(df: DataFrame, text: Column) -> int:
+    """Levels of the deepest JSON text of df (null texts have none): one scalar from one pass."""
+    return df.where(text.isNotNull()).agg(F.max(nesting(text))).first()[0] or 0
+
+
+def with_type_checks(df: DataFrame, payload: str, max_depth: int | None = None) -> DataFrame:
     """Add ``type_checks`` (struct<done, passed>) of the VARIANT column ``payload``.
 
     Every object entry is one check; a number or boolean kept as text counts
-    half. A list of several elements is one check, half for mixed types.
+    half. A list of several elements is one check, half for mixed types. The number
+    of levels is that of the data unless the caller knows it.
     """
+    max_depth = depth_of(df, F.expr(f"cast(`{payload}` AS string)")) if max_depth is None else max_depth
     out = df.withColumn("f", F.expr(
         f"filter(array({_sql(OPENED, f'`{payload}`')}), c -> c.m IS NOT NULL OR c.a IS NOT NULL)"))
-    levels = [f"_level{k}" for k in range(max_depth)]
+    levels = [f"_level{k}" for k in range(max(1, max_depth))]
     for level in levels:
         out = out.withColumns({level: F.expr(LEVEL_COUNTS), "f": F.expr(NEXT_LEVEL)})
-    out = _stop_if_deeper(out, max_depth)
     checks = F.struct(*[
         total(F.col(f"{level}.{part}") for level in levels).alias(part) for part in ("done", "passed")
     ])
-    return out.withColumn("type_checks", F.when(F.col("f").isNull(), checks)).drop("f", *levels)
+    return out.withColumn("type_checks", F.when(F.col(payload).isNotNull(), checks)).drop("f", *levels)
 
 
 def type_validation(payload: Column, checks: Column) -> Column:
@@ -347,7 +358,7 @@ LINES = f"""concat(
 INNER = f"flatten(transform(filter(f, n -> {CONTAINER}), n -> {CHILDREN}))"
 
 
-def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None, max_depth: int | None = None) -> DataFrame:
     """Add ``out``: one ``path: value`` line per leaf, in source order; NULL for bad JSON.
 
     ``raw`` names a JSON text column; rows outside ``when`` are not parsed. The
@@ -355,16 +366,16 @@ def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None
     order of the source.
     """
     text = F.col(raw) if when is None else F.when(when, F.col(raw))
+    max_depth = depth_of(df, text) if max_depth is None else max_depth
     top = NODE_OF.format(prefix="''", path="cast(array() AS array<int>)", text=f"`{raw}`", value="_value")
     nodes = df.withColumn("_value", F.try_parse_json(text)).withColumn(
         "f", F.expr(f"CASE WHEN _value IS NOT NULL THEN array({top}) END"))
     levels = [f"_level{k}" for k in range(max_depth + 1)]
     for level in levels:
         nodes = nodes.withColumns({level: F.expr(LINES), "f": F.expr(INNER)})
-    nodes = _stop_if_deeper(nodes, max_depth)
     lines = F.array_sort(F.concat(*levels))
     joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return nodes.withColumn(out, F.when(F.col("f").isNull(), joined)).drop("f", "_value", *levels)
+    return nodes.withColumn(out, F.when(F.col("_value").isNotNull(), joined)).drop("f", "_value", *levels)
 
 
 # ---------------------------------------------------------------- record grain

@@ -65,7 +65,7 @@ def _column_type_consistency(rows: Column) -> Column:
         lambda c: F.coalesce(c != "", F.lit(False)),
     )
     typed = F.size(F.filter(
-        F.sequence(F.lit(0), F.least(width, F.lit(rules.MAX_TYPED_COLUMNS)) - 1), lambda i: _one_type(column(i))
+        F.sequence(F.lit(0), width - 1), lambda i: _one_type(column(i))
     ))
     return F.when(F.size(rows) < 3, finding(F.lit(FEW_LINES), F.lit("Insufficient data to analyze"))).otherwise(
         bind(F.struct(typed.alias("typed"), width.alias("width")), lambda c: finding(

@@ -343,7 +343,7 @@ def tab_row_completeness(spark, sf_dir):
     SELECT c_custkey, width, i, count(*) FILTER (WHERE c <> '') AS n, count(*) FILTER (WHERE c <> '' AND {_IS_NUM}) AS num,
       count(*) FILTER (WHERE c <> '' AND {_IS_DATE}) AS dat
     FROM (SELECT c_custkey, width, i, coalesce(trim(r[i]), '') AS c FROM (SELECT c_custkey, len(rows[1]) AS width, unnest(rows[2:]) AS r FROM {_ROWS}),
-      range(1, 51) AS t(i) WHERE i <= width) GROUP BY 1, 2, 3) GROUP BY c_custkey)"""))
+      unnest(range(1, width + 1)) AS t(i)) GROUP BY 1, 2, 3) GROUP BY c_custkey)"""))
 def tab_type_consistency(spark, sf_dir):
     return shown(I.source(spark, sf_dir, I.CSV_TEXT), ["c_custkey"], tabular.tabular_metric(F.col("text"), "Column Type Consistency"))
 

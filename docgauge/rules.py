@@ -274,7 +274,6 @@ DATE_LIKE_PATTERNS = [
     r"\d{2}-\d{2}-\d{4}",
     r"\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)",
 ]
-MAX_TYPED_COLUMNS = 50
 
 # ---------------------------------------------------------------- fixed values: markup
 VOID_TAGS = ["br", "hr", "img", "input", "meta", "link", "area", "base",

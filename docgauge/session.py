@@ -3,8 +3,6 @@
 On a cluster the caller's session is used as it is; nothing here is required.
 """
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,8 +20,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "do
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")

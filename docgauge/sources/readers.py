@@ -1,8 +1,8 @@
 """Readers: files to the common document columns.
 
 One whole-text scan covers every text format; the extension decides, per row,
-how text is extracted. Files that are unsupported or too large go to a
-quarantine DataFrame instead of raising.
+how text is extracted. Every file has one outcome: accepted, or rejected with
+its reason; none is lost.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +13,16 @@ from docgauge.functions import text as X
 from docgauge.operators.records import with_flat_text
 
 FILE_SCHEMA = "value string"
+#: Extensions whose text is extracted here; the other supported ones need text or tokens as input.
+TEXT_EXTENSIONS = (".txt", ".csv", ".json", ".xml", ".html", ".htm", ".eml")
 
 
 def is_supported(path: Column) -> Column:
     return X.extension(path).isin(rules.SUPPORTED_EXTENSIONS)
 
 
-def fits(size: Column, limit: int = rules.MAX_FILE_BYTES) -> Column:
-    return size <= limit
+def fits(size: Column, limit: int | None = rules.MAX_FILE_BYTES) -> Column:
+    return F.lit(True) if limit is None else size <= limit
 
 
 def csv_row_text(line: Column) -> Column:
@@ -68,16 +70,31 @@ def file_rows(files: DataFrame) -> DataFrame:
     ).withColumn("ext", X.extension(F.col("filename")))
 
 
-def to_documents(rows: DataFrame) -> DataFrame:
-    """Accepted files as documents; files whose text is blank are left out."""
-    accepted = rows.where(is_supported(F.col("filename")) & fits(F.col("size")))
-    return with_text(accepted).where(X.non_blank(F.coalesce("text", F.lit(""))))
+def with_outcome(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Add ``text`` and ``outcome``: accepted, or why a file is not evaluated.
+
+    There is no size limit unless the caller gives one, in bytes.
+    """
+    kind = F.col("ext")
+    outcome = (
+        F.when(~is_supported(F.col("filename")), "unsupported type")
+        .when(~fits(F.col("size"), limit), "too large")
+        .when(~kind.isin(*TEXT_EXTENSIONS), "no decoder")
+        .when(F.col("text").isNull(), "unreadable")
+        .when(~X.non_blank(F.col("text")), "blank")
+        .otherwise("accepted")
+    )
+    return with_text(rows).withColumn("outcome", outcome)
+
+
+def to_documents(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Accepted files as documents."""
+    return with_outcome(rows, limit).where("outcome = 'accepted'").drop("outcome")
 
 
-def rejected(rows: DataFrame) -> DataFrame:
-    """Quarantine: files that are not evaluated, with the reason."""
-    reason = F.when(~is_supported(F.col("filename")), "unsupported type").when(~fits(F.col("size")), "too large")
-    return rows.select("path", "filename", "size", reason.alias("reason")).where("reason IS NOT NULL")
+def rejected(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Quarantine: every file that ``to_documents`` leaves out, with the reason."""
+    return with_outcome(rows, limit).where("outcome <> 'accepted'").select("path", "filename", "size", F.col("outcome").alias("reason"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,32 +1,49 @@
-"""Evaluation sink: an evaluations table and its issues table.
+"""Evaluation sink: evaluations, their issues and rejected files, by batch.
 
-A batch id replaces the transaction: writing the same batch again overwrites
-exactly its own partitions, so a retried job or stream batch leaves one copy.
+A batch is one folder of each table and is replaced as a whole: writing it again
+leaves nothing of the earlier attempt, whatever types or severities that had. Batch
+ids are text. Other batches are neither listed nor read when one is written.
 """
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgauge.operators.serving import issues_of
 
 
-def _write(df: DataFrame, path: str, *partitions: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+def _folder(root: str, table: str, batch_id) -> str:
+    return f"{root}/{table}/batch_id={quote(str(batch_id), safe='')}"
 
 
 def write_evaluations(evaluations: DataFrame, root: str, batch_id) -> None:
     """Write one batch; the issues are read back from the written evaluations
     so the scores are computed once."""
-    spark = evaluations.sparkSession
-    _write(evaluations.withColumn("batch_id", F.lit(str(batch_id))), f"{root}/evaluations", "batch_id", "document_type")
-    stored = read_evaluations(spark, root).where(F.col("batch_id") == str(batch_id))
-    issues = issues_of(stored).withColumn("batch_id", F.lit(str(batch_id)))
-    _write(issues, f"{root}/issues", "batch_id", "severity")
+    folder = _folder(root, "evaluations", batch_id)
+    evaluations.write.mode("overwrite").parquet(folder)
+    stored = evaluations.sparkSession.read.schema(evaluations.schema).parquet(folder)
+    issues_of(stored).write.mode("overwrite").parquet(_folder(root, "issues", batch_id))
+
+
+def write_rejected(rejected: DataFrame, root: str, batch_id) -> None:
+    rejected.write.mode("overwrite").parquet(_folder(root, "rejected", batch_id))
+
+
+def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All batches of a table, the batch id as text ("007" is not 7)."""
+    found = spark.read.parquet(f"{root}/{table}").schema
+    schema = T.StructType([T.StructField("batch_id", T.StringType()) if f.name == "batch_id" else f for f in found])
+    return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 
 def read_evaluations(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/evaluations")
+    return _read(spark, root, "evaluations")
 
 
 def read_issues(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/issues")
+    return _read(spark, root, "issues")
+
+
+def read_rejected(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, root, "rejected")

@@ -5,6 +5,9 @@ micro-batch runs the batch plan and the idempotent sink, so a batch replayed
 after a lost driver or executor overwrites its own output.
 """
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,15 +23,18 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100
     )
 
 
-def start(spark: SparkSession, path: str, root: str, as_of: str, checkpoint: str,
-          once: bool = False, **options) -> StreamingQuery:
-    """Start the ingestion query; ``once`` drains what is there and stops."""
+def start(spark: SparkSession, path: str, root: str, as_of: str | Callable[[], str] | None, checkpoint: str,
+          once: bool = False, limit: int | None = None, **options) -> StreamingQuery:
+    """Start the ingestion query; ``once`` drains what is there and stops.
+
+    ``as_of`` is a date, a function that gives the date for each batch, or None for
+    the day on which a batch is evaluated. Rejected files are written with each batch.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        sinks.write_evaluations(evaluate(batch, as_of, **options), root, batch_id)
+        day = as_of() if callable(as_of) else as_of or datetime.now(timezone.utc).date().isoformat()
+        sinks.write_evaluations(evaluate(readers.to_documents(batch, limit), day, **options), root, batch_id)
+        sinks.write_rejected(readers.rejected(batch, limit), root, batch_id)
 
-    writer = (
-        readers.to_documents(file_stream(spark, path)).writeStream
-        .foreachBatch(store).option("checkpointLocation", checkpoint)
-    )
+    writer = file_stream(spark, path).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

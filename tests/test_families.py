@@ -110,15 +110,28 @@ def test_flat_json_keeps_source_order(spark):
     assert rows == ["b: y: 1.0\nb: x: None\na: [0] True\na: [1] t\n", None]
 
 
-def test_too_deep_json_fails_loudly(spark):
-    raw = '{"a":' * 12 + "1" + "}" * 12
-    df = spark.createDataFrame([(raw,)], "raw string").withColumn("v", F.try_parse_json("raw"))
-    try:
-        records.with_type_checks(df, "v").select("type_checks").collect()
-    except Exception as e:
-        assert "nested deeper" in str(e)
-    else:
-        raise AssertionError("expected a failure")
+def test_deep_json_stands_beside_flat_json(spark):
+    deep = '{"a":' * 15 + '{"b":"1","c":[1,"]"]}' + "}" * 15
+    df = spark.createDataFrame([(deep,), ('{"a": 1}',), ("{bad",)], "raw string").withColumn("v", F.try_parse_json("raw"))
+    assert records.depth_of(df, F.col("raw")) == 17
+    checks = [r[0] for r in records.with_type_checks(df, "v").select("type_checks").collect()]
+    assert [c and (c["done"], c["passed"]) for c in checks] == [(18, 17.0), (1, 1.0), None]
+    flat = [r.flat for r in records.with_flat_text(df, "raw", "flat").select("flat").collect()]
+    assert flat[0].split("\n")[0] == "a: " * 15 + "b: 1" and flat[1:] == ["a: 1", None]
+
+
+def test_wide_tables_are_typed_whole(spark):
+    for width in (50, 60, 100):
+        line = ",".join(["7"] * width)
+        text = "\n".join([",".join(f"c{k}" for k in range(width)), line, line])
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(tabular.tabular_metric(F.col("t"), "Column Type Consistency").alias("m")).first().m.score == 100.0
+
+
+def test_first_seen_word_wins_a_tie(spark):
+    words = "zebra apple mango zebra apple mango plum".split()
+    df = spark.createDataFrame([(words,), ([],)], "w array<string>").select(general.word_profile(F.col("w")).alias("p"))
+    assert [tuple(r.p) for r in df.collect()] == [(7, 4, 2, "zebra"), (0, 0, 0, "")]
 
 
 def brute_profile(rows):

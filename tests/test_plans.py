@@ -30,6 +30,8 @@ def files():
         "mail.eml": "From: a@x.org\nTo: b@y.org\nSubject: s\nDate: today\n\nhello there",
         "blank.txt": "  \n ",
         "tool.exe": "binary",
+        "scan.pdf": "%PDF",
+        "broken.json": "{bad",
     }
     for name, text in contents.items():
         (root / name).write_text(text, encoding="utf-8")
@@ -76,7 +78,10 @@ def test_semantic_replies_join_and_fall_back(spark):
 
 def test_files_batch_and_stream_agree(spark, files):
     rows = readers.read_files(spark, files)
-    assert [(r.filename, r.reason) for r in readers.rejected(rows).collect()] == [("tool.exe", "unsupported type")]
+    reasons = {"tool.exe": "unsupported type", "scan.pdf": "no decoder", "broken.json": "unreadable", "blank.txt": "blank"}
+    assert {r.filename: r.reason for r in readers.rejected(rows).collect()} == reasons
+    assert readers.to_documents(rows).count() + len(reasons) == rows.count()
+    assert {r.filename for r in readers.rejected(rows, limit=20).collect() if r.reason == "too large"} >= {"deal.txt", "mail.eml"}
     batch = evaluate(readers.to_documents(rows), "2024-06-01")
     show = lambda df: sorted((r.filename, r.family, r.type_specific_score, r.overall_score) for r in df.collect())
     expected = show(batch)
@@ -89,11 +94,23 @@ def test_files_batch_and_stream_agree(spark, files):
     assert show(stored) == expected
     n_issues = stored.select(F.sum(F.size("issues"))).first()[0]
     assert sinks.read_issues(spark, f"{root}/out").count() == n_issues
+    assert {r.filename: r.reason for r in sinks.read_rejected(spark, f"{root}/out").collect()} == reasons
     # the same batch written again leaves one copy
     sinks.write_evaluations(batch, f"{root}/out", 0)
     assert show(sinks.read_evaluations(spark, f"{root}/out")) == expected
 
 
+def test_a_batch_is_replaced_whole_and_its_id_is_text(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = spark.createDataFrame([(1, "a.txt", "word " * 30), (2, "b.txt", "This agreement covers liability")], "doc_id int, filename string, text string")
+    sinks.write_evaluations(evaluate(docs, "2024-01-01", families=("general", "contract")), root, "007")
+    sinks.write_evaluations(evaluate(docs.where("doc_id = 2"), "2024-01-01", families=("general", "contract")), root, "7")
+    sinks.write_evaluations(evaluate(docs.where("doc_id = 2"), "2024-01-01", families=("general", "contract")), root, "007")
+    stored = sorted((r.batch_id, r.doc_id) for r in sinks.read_evaluations(spark, root).collect())
+    assert stored == [("007", 2), ("7", 2)]
+    assert {r.doc_id for r in sinks.read_issues(spark, root).collect()} <= {2}
+
+
 def test_prototype_insight_for_contracts(spark):
     from docgauge.operators import prototype
 
