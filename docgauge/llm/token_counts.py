@@ -11,7 +11,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import by_position, saved
+from docgauge.llm.common import by_position, most_frequent, saved
 from docgauge.llm.pretokens import Splitter, library
 
 #: Pre-tokens that go to all tasks: so many at most, of so many bytes each at most.
@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     df, at = by_position(docs)
     df = df.select(F.col(at[id_col]).alias("doc_id"), F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).alias("text"))
     known = saved(piece_tokens(pieces(df, path), path))
-    top = known.where(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("freq"), "piece").limit(hot).select("piece", "n").toArrow()
+    top = most_frequent(known.where(F.octet_length("piece") <= HOT_BYTES), "freq", hot).select("piece", "n").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column("piece").to_pylist(), top.column("n").to_pylist(), strict=True)))
     kind = df.schema["doc_id"].dataType.simpleString()
 
