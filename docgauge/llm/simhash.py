@@ -21,6 +21,8 @@ from docgauge.llm.common import back, by_position, saved
 BITS, RADIUS, SEED, SHINGLE = 64, 4, 42, 4
 #: Fingerprints of a bucket that are compared in one place; larger ones are covered again.
 BUCKET = 2048
+#: Distinct fingerprints that agree in all but the bits left free by the third covering, at most.
+SMALLEST = 128
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -92,6 +94,7 @@ def forest(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect all that are within radius."""
+    bucket = max(bucket, SMALLEST)
     masks = {0: 0}  # table -> bits that its buckets share
     rows, found, level = distinct.select("fp", F.lit(0).alias("table")), None, 0
     while True:

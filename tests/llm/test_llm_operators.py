@@ -335,8 +335,11 @@ def test_near_duplicates(spark, docs, texts, odd, bucket):
 
 def test_dense_group_reaches_finer_tables(spark):
     rng = random.Random(6)
-    fps = {sum(1 << 4 * b for b in rng.sample(range(16), rng.randint(0, 4))) for _ in range(220)} | {(1 << 63) | 5}
-    edges = simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long"), bucket=16)
+    first = simhash.covering_masks(list(range(64)), 4)[0]
+    free = [b for b in range(64) if not first >> b & 1][:12]  # all meet in one bucket of the first table
+    fps = {sum(1 << b for b in rng.sample(free, rng.randint(0, 6))) for _ in range(300)} | {(1 << 63) | 5}
+    assert len(fps) > simhash.SMALLEST + 20
+    edges = simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long"), bucket=2)
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in edges.collect())
     root = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     parent = {f: f for f in fps}
