@@ -7,6 +7,13 @@ from docgauge import rules
 from docgauge.functions.text import bind, literal_map, total
 
 
+def exact_sum(name: str) -> Column:
+    """Sum that does not depend on the order of rows: in decimals, where every value is one."""
+    value = F.col(name)
+    exact = value.try_cast("decimal(28,6)")
+    return F.when(F.count(value) == F.count(exact), F.coalesce(F.try_sum(exact).cast("double"), F.sum(value))).otherwise(F.sum(value))
+
+
 def clamp_score(score: Column) -> Column:
     """One decimal, within 0 to 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score.cast("double"), 1)))

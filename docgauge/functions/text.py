@@ -5,6 +5,7 @@ shuffle; a document is one row.
 """
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,12 +172,36 @@ def text_syllables(text: Column, low: Column | None = None) -> Column:
     )
 
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+# names of the HTML 4 entities, and the characters that numbers 128 to 159 stand for
+_NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
+_WINDOWS = {str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point given in decimal; U+FFFD where there is none."""
+    n = number.try_cast("int")
+    bad = n.isNull() | (n < 1) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    point = F.when(bad, 0xFFFD).otherwise(n)
+    known = F.try_element_at(literal_map(_WINDOWS), point.cast("string"))
+    return F.coalesce(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
 
 
 def unescape(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """Named and numeric character references replaced, each once; unknown names stay."""
+
+    def part(p: Column) -> Column:
+        body = F.regexp_extract(p, r"\A&(#?\w+);", 1)
+        rest = F.substr(p, F.length(body) + 3)
+        hexadecimal = F.conv(F.regexp_extract(body, r"\A#[xX]([0-9a-fA-F]{1,8})\z", 1), 16, 10)
+        character = (
+            F.when(body.rlike(r"\A#\d+\z"), _character(F.substr(body, F.lit(2))))
+            .when(body.rlike(r"\A#[xX][0-9a-fA-F]+\z"), _character(hexadecimal))
+            .otherwise(F.try_element_at(literal_map(_NAMED), body))
+        )
+        return F.when(body == "", p).otherwise(F.coalesce(F.concat(character, rest), p))
+
+    split = F.array_join(F.transform(F.split(text, r"(?=&#?\w+;)"), part), "")
+    return F.when(F.contains(text, F.lit("&")), split).otherwise(text)
 
 
 def html_to_text(html: Column, drop_code: bool = True) -> Column:
@@ -190,8 +215,8 @@ def html_to_text(html: Column, drop_code: bool = True) -> Column:
         text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "\n")
     nodes = F.regexp_replace(text, r"(?s)<[!?/]?[a-zA-Z][^>]*>", "\n\u0001\n")
     # nodes are split at tags only; a node keeps its inner line feeds
-    parts = stripped_parts(nodes, "\n\u0001\n")
-    return F.array_join(F.transform(parts, unescape), "\n")
+    parts = F.transform(F.split(nodes, "\n\u0001\n"), lambda p: strip(unescape(p)))
+    return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 
 def xml_to_text(xml: Column) -> Column:
@@ -209,27 +234,80 @@ def mail_header(raw: Column, name: str) -> Column:
     return strip(F.regexp_replace(value, r"\r?\n[ \t]+", " "))
 
 
+def _charset_text(data: Column, charset: Column) -> Column:
+    latin = F.lower(charset).isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252")
+    return F.when(latin, F.decode(data, "ISO-8859-1")).otherwise(F.make_valid_utf8(data.cast("string")))
+
+
+def _from_base64(text: Column, charset: Column) -> Column:
+    """Decoded text; the text as it is where it is no base64."""
+    data = F.try_to_binary(F.regexp_replace(text, r"\s+", ""), F.lit("base64"))
+    return F.coalesce(_charset_text(data, charset), text)
+
+
+def _from_quoted(text: Column, charset: Column) -> Column:
+    """Quoted-printable text decoded, byte by byte between the plain stretches."""
+    joined = F.regexp_replace(text, r"=[ \t]*\r?\n", "")
+    runs = F.regexp_extract_all(joined, F.lit(r"(?:=[0-9A-Fa-f]{2})++|[^=]++|="), F.lit(0))
+    data = lambda r: F.unhex(F.replace(r, F.lit("="), F.lit("")))
+    return F.array_join(F.transform(
+        runs, lambda r: F.when(r.rlike(r"\A(?:=[0-9A-Fa-f]{2})+\z"), _charset_text(data(r), charset)).otherwise(r)), "")
+
+
+_ENCODED = r"=\?([^?\s]+)\?([bBqQ])\?([^?\s]*)\?="
+
+
+def header_text(value: Column) -> Column:
+    """A header value with its encoded words decoded; space between two of them is dropped."""
+
+    def word(p: Column) -> Column:
+        part = lambda k: F.regexp_extract(p, rf"\A{_ENCODED}", k)
+        rest = F.regexp_replace(p, rf"\A{_ENCODED}", "")
+        decoded = F.when(F.lower(part(2)) == "b", _from_base64(part(3), part(1))).otherwise(
+            _from_quoted(F.replace(part(3), F.lit("_"), F.lit(" ")), part(1)))
+        return F.when(part(1) == "", p).otherwise(F.concat(decoded, rest))
+
+    joined = F.regexp_replace(value, r"(?<=\?=)\s+(?==\?[^?\s]+\?[bBqQ]\?)", "")
+    words = F.array_join(F.transform(F.split(joined, rf"(?={_ENCODED})"), word), "")
+    return F.when(F.contains(value, F.lit("=?")), words).otherwise(value)
+
+
+def _body_of(entity: Column) -> Column:
+    """Decoded text below the headers of a message or of one of its parts."""
+    body = F.regexp_extract(entity, r"(?s)\A.*?\r?\n\r?\n(.*)\z", 1)
+    encoding = F.lower(mail_header(entity, "Content-Transfer-Encoding"))
+    charset = F.regexp_extract(mail_header(entity, "Content-Type"), r"(?i)charset=\"?([^\";\s]+)", 1)
+    return F.when(encoding == "base64", _from_base64(body, charset)).when(
+        encoding == "quoted-printable", _from_quoted(body, charset)).otherwise(body)
+
+
 def mail_to_text(raw: Column) -> Column:
-    """Subject line, sender line and the plain (else HTML) body of a message."""
+    """Subject line, sender line and the plain (else HTML) body of a message.
+
+    Parts inside parts are found at any depth: the text is cut at the boundaries of
+    all of them, and a part that only holds others has no text of its own.
+    """
     raw = F.coalesce(raw, F.lit(""))
-    body = F.regexp_extract(raw, r"(?s)\A.*?\r?\n\r?\n(.*)\z", 1)
-    boundary = F.regexp_extract(mail_header(raw, "Content-Type"), r'(?i)boundary="?([^";\s]+)"?', 1)
-    parts = F.split(body, F.concat(F.lit("\\r?\\n?--\\Q"), boundary, F.lit("\\E(?:--)?[ \\t]*\\r?\\n?")))
+    multipart = has(mail_header(raw, "Content-Type"), r"(?i)^multipart/")
+    named = F.regexp_extract_all(raw, F.lit(r'(?i)\bboundary="?([^";\s]+)"?'), F.lit(1))
+    either = F.array_join(F.transform(F.array_distinct(named), lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    # a boundary stands at the start of a line
+    parts = F.split(raw, F.concat(F.lit("(?:\\A|\\r?\\n)--(?:"), either, F.lit(")(?:--)?[ \\t]*(?:\\r?\\n|\\z)")))
 
     def part_of(kind: str) -> Column:
         chosen = F.filter(
-            parts,
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
             lambda p: p.rlike(rf"(?is)\A(?:[^\n]+\n)*?Content-Type:[ \t]*{kind}")
             & ~p.rlike(r"(?is)\A(?:[^\n]+\n)*?Content-Disposition:[ \t]*attachment"),
         )
-        return F.regexp_extract(F.get(chosen, F.lit(0)), r"(?s)\A.*?\r?\n\r?\n(.*)\z", 1)
+        return F.get(F.transform(chosen, _body_of), F.lit(0))
 
     whole_is_html = has(mail_header(raw, "Content-Type"), r"(?i)^text/html")
     content = (
-        F.when(boundary == "", F.when(whole_is_html, html_to_text(body, drop_code=False)).otherwise(body))
+        F.when(~multipart | (either == ""), F.when(whole_is_html, html_to_text(_body_of(raw), drop_code=False)).otherwise(_body_of(raw)))
         .otherwise(F.coalesce(part_of("text/plain"), html_to_text(part_of("text/html"), drop_code=False)))
     )
-    subject, sender = mail_header(raw, "Subject"), mail_header(raw, "From")
+    subject, sender = header_text(mail_header(raw, "Subject")), header_text(mail_header(raw, "From"))
     return F.concat_ws(
         "\n",
         F.when(subject != "", F.concat(F.lit("Subject: "), subject)),

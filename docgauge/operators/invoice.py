@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docgauge import rules
 from docgauge.functions import values as V
-from docgauge.functions.scoring import clamp_score, finding, metric, share, status_of
+from docgauge.functions.scoring import clamp_score, exact_sum, finding, metric, share, status_of
 from docgauge.functions.text import bind, flag
 from docgauge.operators.contract import found_of, missing_groups
 
@@ -127,7 +127,7 @@ def amounts_of_orders(headers: DataFrame, items: DataFrame, key: str) -> DataFra
     priced = F.col("amount").isNotNull() & F.col("quantity").isNotNull() & F.col("price").isNotNull()
     right = priced & (F.abs(F.col("quantity") * F.col("price") - F.col("amount")) < rules.AMOUNT_TOLERANCE)
     sums = items.groupBy(key).agg(
-        F.sum("amount").alias("items_sum"),
+        exact_sum("amount").alias("items_sum"),
         F.count("*").alias("n_items"),
         F.count_if(priced).alias("priced"),
         F.count_if(right).alias("right"),

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from docgauge import rules
 from docgauge.functions import values as V
-from docgauge.functions.scoring import clamp_score, share, status_of
+from docgauge.functions.scoring import clamp_score, exact_sum, share, status_of
 from docgauge.functions.text import bind, non_blank, strip
 from docgauge.operators.core import matches_format
 from docgauge.operators.tabular import header_findings
 
 
+#: Salts of a key in ``unverified_rows``.
+SALTS = 16
+
+
 def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
@@ -60,18 +64,20 @@ def sum_consistency(parents: DataFrame, children: DataFrame, key: str, total: st
     Columns: key, total, child_sum, consistent. Parents without children are
     compared with NULL and count as inconsistent.
     """
-    sums = children.groupBy(key).agg(F.sum(part).alias("child_sum"))
+    sums = children.groupBy(key).agg(exact_sum(part).alias("child_sum"))
     agrees = F.coalesce(F.abs(F.col("child_sum") - F.col(total)) < tolerance, F.lit(False))
     return parents.select(key, F.col(total)).join(sums, key, "left").withColumn("consistent", agrees)
 
 
-def order_consistency(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Share of rows whose start is not after their end; unknown dates pass."""
+def order_consistency(df: DataFrame, start: str, end: str, weight: Column | None = None) -> DataFrame:
+    """Share of rows whose start is not after their end; unknown dates pass.
+
+    ``weight`` is the number of rows that a row of df stands for, where they were counted first.
+    """
     both = F.col(start).isNotNull() & F.col(end).isNotNull()
-    counts = df.agg(
-        F.count_if(both).alias("checked"),
-        F.count_if(both & (F.col(start) <= F.col(end))).alias("passed"),
-    )
+    number = F.lit(1) if weight is None else weight
+    count = lambda test: F.coalesce(F.sum(F.when(test, number)), F.lit(0)).cast("long")
+    counts = df.agg(count(both).alias("checked"), count(both & (F.col(start) <= F.col(end))).alias("passed"))
     return _scored(counts, "passed", "checked")
 
 
@@ -121,8 +127,15 @@ def accuracy_ref(df: DataFrame, key: str, master: DataFrame, master_key: str) ->
 
 
 def unverified_rows(df: DataFrame, key: str, master: DataFrame, master_key: str) -> DataFrame:
-    """Rows without a master row."""
-    return df.join(master.select(F.col(master_key).alias(key)).distinct(), key, "left_anti")
+    """Rows without a master row.
+
+    The distinct keys are checked first; the rows then meet the unknown keys under
+    SALTS salts each, so the rows of one hot key are spread over many tasks.
+    """
+    unknown = df.select(key).distinct().join(master.select(F.col(master_key).alias(key)).distinct(), key, "left_anti")
+    spread = unknown.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of"))
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_of")), "left_semi").drop("_salt")
 
 
 def plausibility(df: DataFrame, columns: list[str], low: float = 0.0, high: float = rules.PLAUSIBLE_MAX) -> DataFrame:

@@ -215,9 +215,9 @@ SELECT count(*) AS checked, count_if(o_orderdate <= l_shipdate) AS passed,
   {sql_score(sql_share('count_if(o_orderdate <= l_shipdate)', 'count(*)'))} AS score,
   {sql_status(sql_share('count_if(o_orderdate <= l_shipdate)', 'count(*)'))} AS status FROM {_BOTH}""")
 def table_order_consistency(spark, sf_dir):
-    joined = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderdate", "l_shipdate")
-    return T.order_consistency(joined, "o_orderdate", "l_shipdate")
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipdate").agg(F.count("*").alias("n"))
+    joined = shipped.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return T.order_consistency(joined, "o_orderdate", "l_shipdate", F.col("n"))
 
 
 _OLDEST = "TIMESTAMP '1999-01-01' - INTERVAL 730 DAY"

@@ -26,7 +26,8 @@ def prepare(documents: DataFrame) -> DataFrame:
 
     Required: doc_id, filename, text. Optional: raw (file content before
     extraction), document_type (supplied type), fields (field map), line_items,
-    semantic (struct of six scores), created_at.
+    semantic (struct of six scores), supplied_summary, supplied_risk,
+    supplied_recommendations (used unless empty), created_at.
     """
     have = set(documents.columns)
     col = lambda name, default: F.col(name) if name in have else default
@@ -43,6 +44,9 @@ def prepare(documents: DataFrame) -> DataFrame:
         col("mean_conf", F.lit(None).cast("double")).alias("mean_conf"),
         col("blocks", F.lit(0)).alias("blocks"),
         col("created_at", F.lit(None).cast("timestamp_ntz")).alias("created_at"),
+        col("supplied_summary", F.lit(None).cast("string")).alias("supplied_summary"),
+        col("supplied_risk", F.lit(None).cast("string")).alias("supplied_risk"),
+        col("supplied_recommendations", F.lit(None).cast("array<string>")).alias("supplied_recommendations"),
     )
     # lower-cased once here for every rule that searches the text
     lowered = base.withColumn("low", F.lower("text"))
@@ -121,6 +125,7 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
     ))
     built = blended.select(
         "doc_id", "filename", "document_type", "family", "created_at", "type_specific_metrics",
+        "supplied_summary", "supplied_risk", "supplied_recommendations",
         *scores.values(),
         metric_rows.alias("metrics"),
         F.concat(*issues_of.values()).alias("issues"),
@@ -134,9 +139,11 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
         "doc_id", "filename", "document_type", "family", "overall_score",
         S.status_of(F.col("overall_score")).alias("overall_status"),
         "metrics", "type_specific_metrics", "type_specific_score", "issues", "insights",
-        insights.executive_summary(F.col("document_type"), mean, top, F.size("insights"), F.size("issues")).alias("executive_summary"),
-        insights.risk_summary(F.col("insights"), F.size("issues")).alias("risk_summary"),
-        insights.recommendations(F.col("insights")).alias("recommendations"),
+        insights.prefer_supplied(F.col("supplied_summary"), insights.executive_summary(
+            F.col("document_type"), mean, top, F.size("insights"), F.size("issues"))).alias("executive_summary"),
+        insights.prefer_supplied(F.col("supplied_risk"), insights.risk_summary(F.col("insights"), F.size("issues"))).alias("risk_summary"),
+        F.when(F.size("supplied_recommendations") > 0, F.col("supplied_recommendations"))
+        .otherwise(insights.recommendations(F.col("insights"))).alias("recommendations"),
         "created_at",
     )
 
@@ -161,6 +168,8 @@ def parse_semantic_payload(payload: Column) -> Column:
             in_range = c.between(0, 100) if in_range is None else in_range & c.between(0, 100)
         return F.when(b["ok"] & in_range, F.struct(
             F.coalesce(b["p"]["document_type"], F.lit("")).alias("document_type"),
+            V.variant_fields(b["p"]["fields"]).alias("fields"),
+            V.variant_line_items(b["p"]["fields"]).alias("line_items"),
             F.struct(*[c.alias(n) for n, c in given.items()]).alias("semantic"),
             b["p"]["executive_summary"].alias("executive_summary"),
             b["p"]["risk_summary"].alias("risk_summary"),
@@ -174,13 +183,23 @@ def parse_semantic_payload(payload: Column) -> Column:
 
 
 def with_semantic(documents: DataFrame, replies: DataFrame) -> DataFrame:
-    """Left-join parsed replies (doc_id, reply); documents without one use the fallback texts."""
-    parsed = replies.select("doc_id", parse_semantic_payload(F.col("reply")).alias("p")).where("p IS NOT NULL")
-    return documents.join(parsed, "doc_id", "left").select(
-        *[F.col(c) for c in documents.columns],
-        F.coalesce(F.col("p.document_type"), F.lit("unknown")).alias("document_type"),
-        F.col("p.semantic").alias("semantic"),
-        F.coalesce(F.col("p.executive_summary"), F.lit(rules.FALLBACK_SUMMARY)).alias("supplied_summary"),
-        F.coalesce(F.col("p.risk_summary"), F.lit(rules.FALLBACK_RISK)).alias("supplied_risk"),
-        F.coalesce(F.col("p.recommendations"), F.array(*map(F.lit, rules.FALLBACK_RECOMMENDATIONS))).alias("supplied_recommendations"),
-    )
+    """Left-join parsed replies (doc_id, reply): type, fields, line items, scores and texts.
+
+    A reply that cannot be read counts as none: such documents have no fields and get
+    the fallback texts. Texts that a reply leaves out stay empty, so that the local
+    ones are used. Columns of the documents with these names are replaced.
+    """
+    # parsed above the join: below it, the optimizer would derive filters from the whole parse
+    parsed = documents.join(replies.select("doc_id", F.col("reply").alias("_reply")), "doc_id", "left").withColumn(
+        "p", parse_semantic_payload(F.col("_reply")))
+    given = F.col("p").isNotNull()
+    text = lambda name, fallback: F.when(given, F.coalesce(F.col(f"p.{name}"), F.lit(""))).otherwise(fallback)
+    kind = F.coalesce(F.nullif(F.col("p.document_type"), F.lit("")), F.lit("unknown"))
+    added = {
+        "document_type": kind, "fields": F.col("p.fields"), "line_items": F.col("p.line_items"), "semantic": F.col("p.semantic"),
+        "supplied_summary": text("executive_summary", rules.FALLBACK_SUMMARY),
+        "supplied_risk": text("risk_summary", rules.FALLBACK_RISK),
+        "supplied_recommendations": F.when(given, F.col("p.recommendations")).otherwise(F.array(*map(F.lit, rules.FALLBACK_RECOMMENDATIONS))),
+    }
+    return parsed.select(
+        *[F.col(c) for c in documents.columns if c not in added], *[c.alias(n) for n, c in added.items()])

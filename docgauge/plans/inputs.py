@@ -84,13 +84,16 @@ HEADER_LINES = ("customer", [
 
 CSV_LINES = ("customer", [
     ("c_custkey", "c_custkey"),
-    ("concat('\"', c_name, ', Inc', '\",', cast(c_custkey AS string), ',,', c_mktsegment)", "line"),
+    ("CASE c_custkey % 4 WHEN 0 THEN concat('\"', c_name, ', Inc', '\",', cast(c_custkey AS string), ',,', c_mktsegment) "
+     "WHEN 1 THEN concat(',', c_name, ',', c_mktsegment) "
+     f"WHEN 2 THEN concat(cast(c_custkey AS string), ',\"l1', {NL}, 'l2\",', c_name, {NL}, 'x,') "
+     "ELSE concat('\"say \"\"', c_name, '\"\"\",5\" pipe,') END", "line"),
 ])
 
 PART_XML = ("part", [
     ("p_partkey", "p_partkey"),
     ("concat('<?xml version=\"1.0\"?><part id=\"', cast(p_partkey AS string), '\"><!-- x --><name>', p_name, '</name><brand> ', p_brand, "
-     "' </brand><empty/><type><![CDATA[', p_type, ']]></type></part>')", "xml"),
+     "' </brand><empty/><type><![CDATA[', p_type, ']]></type><note>caf&#233; &#x2014; &amp;lt; it&#146;s</note></part>')", "xml"),
 ])
 
 PART_CELLS = ("part", [
@@ -130,6 +133,20 @@ MAIL_RAW = ("conversations", [
      + when("(conv_id + turn) % 4 = 0", " Please find attached the report. Confidential. Disclaimer: unsubscribe.") + ")", "raw"),
 ])
 
+# a part inside a part, encoded bodies and an encoded subject
+MAIL_PARTS = ("conversations", [
+    ("conv_id", "conv_id"), ("turn", "turn"),
+    (f"concat('From: ', role, '@example.com', {NL}, 'Subject: =?utf-8?Q?=C3=9Cber_?=', {NL}, ' =?UTF-8?B?dHVybg==?= ', cast(turn AS string), {NL}, "
+     "CASE (conv_id + turn) % 3 WHEN 0 THEN concat("
+     f"'Content-Type: multipart/mixed; boundary=\"AA\"', {NL}, {NL}, 'preamble', {NL}, '--AA', {NL}, 'Content-Type: multipart/alternative; boundary=BB', {NL}, {NL}, "
+     f"'--BB', {NL}, 'Content-Type: text/html', {NL}, {NL}, '<p>html</p>', {NL}, '--BB', {NL}, 'Content-Type: text/plain; charset=utf-8', {NL}, "
+     f"'Content-Transfer-Encoding: base64', {NL}, {NL}, base64(cast(text AS binary)), {NL}, '--BB--', {NL}, "
+     f"'--AA', {NL}, 'Content-Type: text/plain', {NL}, 'Content-Disposition: attachment', {NL}, {NL}, 'file', {NL}, '--AA--', {NL}) "
+     f"WHEN 1 THEN concat('Content-Type: text/plain; charset=utf-8', {NL}, 'Content-Transfer-Encoding: quoted-printable', {NL}, {NL}, "
+     f"replace(replace(text, '=', '=3D'), ' ', concat('=20=', {NL}))) "
+     f"ELSE concat('Content-Type: text/html', {NL}, 'Content-Transfer-Encoding: quoted-printable', {NL}, {NL}, '<p>caf=E9 =3D caf&eacute;</p>') END)", "raw"),
+])
+
 SHORT_MAIL = ("part", [
     ("p_partkey", "p_partkey"),
     (f"concat('Subject: ', p_name, {NL}, {NL}, " + pick("p_partkey", [

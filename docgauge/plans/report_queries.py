@@ -11,7 +11,7 @@ from docgauge.operators import core, insights, prototype, serving
 from docgauge.plans import inputs as I
 from docgauge.plans.catalog import query, table
 from docgauge.plans.core_queries import CORE_SQL, ISSUES_SQL, SCORES_SQL, sql_round, sql_score, sql_status
-from docgauge.plans.evaluate import evaluate, parse_semantic_payload
+from docgauge.plans.evaluate import evaluate, parse_semantic_payload, with_semantic
 from docgauge.plans.family_queries import (
     KEYWORD_RAW, LANGUAGE_RAW, OFFENSIVE_RAW, READ_RAW, SECTION_FOUND, SECTION_RAW, SPAM_RAW, flags, keyword_sql,
     language_sql, offensive_sql, readability_sql, spam_sql, structure_raw,
@@ -306,6 +306,47 @@ def invoice_evaluations(spark, sf_dir):
     return evaluate(I.invoices(spark, sf_dir), I.AS_OF, families=("invoice",))
 
 
+# ---------------------------------------------------------------- replies
+
+def invoice_replies(spark, sf_dir):
+    """One service reply per invoice: its fields, items, two scores and, for some, texts; a fifth is no JSON."""
+    df = I.source(spark, sf_dir, I.INVOICES)
+    item = lambda amount, qty, rate: F.struct(amount.alias("amount"), qty.alias("qty"), rate.alias("rate"))
+    goods = item(F.col("item_amount"), F.lit("1"), F.col("item_amount"))
+    second = F.when(F.col("repeated_item") == 1, goods).otherwise(item(F.lit("5"), F.lit("5"), F.lit("1.00")))
+    told = F.col("doc_id") % 3 == 0
+    payload = F.to_json(F.struct(
+        F.lit("invoice").alias("document_type"),
+        F.struct(*I.INVOICE_FIELDS, F.array(goods, second).alias("line_items")).alias("fields"),
+        F.struct((F.col("doc_id") % 101).alias("completeness"), F.lit(55.5).alias("accuracy")).alias("semantic_evaluation"),
+        F.when(told, F.concat(F.lit("Supplied "), F.col("doc_id").cast("string"))).otherwise("").alias("executive_summary"),
+        F.when(told, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array().cast("array<string>")).alias("recommendations"),
+    ), {"ignoreNullFields": "false"})
+    fenced = F.concat(F.lit("```json\n"), payload, F.lit("\n```"))
+    return df.select("doc_id", F.when(F.col("doc_id") % 5 == 4, "sorry").otherwise(fenced).alias("reply"))
+
+
+_GIVEN = {"completeness": "CAST(doc_id % 101 AS DOUBLE)", "accuracy": "55.5::DOUBLE"}
+_REPLIED = ", ".join(
+    f"CASE WHEN doc_id % 5 = 4 THEN {0 if m == 'completeness' else 100}::DOUBLE "
+    f"ELSE {sql_score(f'{m} * 0.7::DOUBLE + {_GIVEN.get(m, 0)} * (1::DOUBLE - 0.7::DOUBLE)')} END AS {m}" for m in METRICS)
+
+
+@query("evaluate_replies", f"""WITH {WITH_SCORES}, r AS (SELECT doc_id, {_REPLIED} FROM scores)
+SELECT *, {OVERALL} AS overall_score, 'invoice' AS document_type,
+  CASE WHEN doc_id % 5 = 4 THEN '{rules.FALLBACK_SUMMARY}' WHEN doc_id % 3 = 0 THEN 'Supplied ' || doc_id ELSE 'local' END AS summary,
+  CASE WHEN doc_id % 5 = 4 THEN '{"|".join(rules.FALLBACK_RECOMMENDATIONS)}' WHEN doc_id % 3 = 0 THEN 'first|second' ELSE 'local' END AS advice FROM r""")
+def evaluate_replies(spark, sf_dir):
+    """Documents without fields of their own, evaluated from the replies of a scoring service."""
+    docs = I.invoices(spark, sf_dir).select("doc_id", "filename", "text")
+    ev = evaluate(with_semantic(docs, invoice_replies(spark, sf_dir)), I.AS_OF, families=("invoice",))
+    ours = F.col("executive_summary").rlike("^(Quality analysis of|The )")
+    return ev.select(
+        "doc_id", "document_type", *[_metric_score(m) for m in METRICS], "overall_score",
+        F.when(ours, "local").otherwise(F.col("executive_summary")).alias("summary"),
+        F.when(ours, "local").otherwise(F.array_join("recommendations", "|")).alias("advice"))
+
+
 FILE_NAME = "'invoice-' || doc_id || '.txt'"
 EVALS = f"evals AS (SELECT doc_id, {FILE_NAME} AS filename, 'invoice' AS document_type, {OVERALL} AS overall_score, {sql_status(OVERALL)} AS overall_status, * EXCLUDE (doc_id) FROM scores)"
 

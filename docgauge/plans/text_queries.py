@@ -1,5 +1,7 @@
 """Queries over sources, text helpers and classification."""
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from docgauge import rules
@@ -102,19 +104,21 @@ def json_parse(spark, sf_dir):
 
 
 @query("csv_row_text", """
-SELECT c_custkey, c_name || ', Inc ' || c_custkey || '  ' || c_mktsegment AS text FROM customer""")
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ', Inc ' || c_custkey || '  ' || c_mktsegment WHEN 1 THEN ' ' || c_name || ' ' || c_mktsegment
+  WHEN 2 THEN c_custkey || ' l1' || chr(10) || 'l2 ' || c_name || chr(10) || 'x ' ELSE 'say "' || c_name || '" 5" pipe ' END AS text FROM customer""")
 def csv_row_text(spark, sf_dir):
     return I.source(spark, sf_dir, I.CSV_LINES).select("c_custkey", readers.csv_row_text(F.col("line")).alias("text"))
 
 
-@query("xml_to_text", "SELECT p_partkey, concat_ws(chr(10), p_name, p_brand, p_type) AS text FROM part")
+@query("xml_to_text", "SELECT p_partkey, concat_ws(chr(10), p_name, p_brand, p_type, 'café — &lt; it’s') AS text FROM part")
 def xml_to_text(spark, sf_dir):
     return I.source(spark, sf_dir, I.PART_XML).select("p_partkey", X.xml_to_text(F.col("xml")).alias("text"))
 
 
 SQL_UNESCAPE = "x"
-for _entity, _char in X.ENTITIES:
-    SQL_UNESCAPE = f"replace({SQL_UNESCAPE}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+# every named reference by its code point, the ampersand's last
+for _name, _point in [*((n, p) for n, p in name2codepoint.items() if n != "amp"), ("#39", 39), ("apos", 39), ("amp", 38)]:
+    SQL_UNESCAPE = f"replace({SQL_UNESCAPE}, '&{_name};', chr({_point}))"
 
 SQL_NODES = (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(10), 'g'), "
              r"'(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'), "
@@ -137,6 +141,13 @@ def eml_extract(spark, sf_dir):
     return I.source(spark, sf_dir, I.MAIL_RAW).select("conv_id", "turn", X.mail_to_text(F.col("raw")).alias("text"))
 
 
+@query("eml_parts", """
+SELECT conv_id, turn, 'Subject: Über turn ' || turn || chr(10) || 'From: ' || role || '@example.com' || chr(10) ||
+  CASE WHEN (conv_id + turn) % 3 < 2 THEN text ELSE 'caf' || chr(65533) || ' = café' END AS text FROM conversations""")
+def eml_parts(spark, sf_dir):
+    return I.source(spark, sf_dir, I.MAIL_PARTS).select("conv_id", "turn", X.mail_to_text(F.col("raw")).alias("text"))
+
+
 @query("table_cells_text", "SELECT p_partkey, concat_ws(' | ', p_name, p_brand, p_type) AS text FROM part")
 def table_cells_text(spark, sf_dir):
     cells = F.array(F.col("p_name"), F.lit(""), F.concat(F.lit(" "), "p_brand"), F.lit("  "), F.col("p_type"))

@@ -29,6 +29,7 @@ SEMANTIC_SCORES = T.StructType([
 ])
 SEMANTIC_PAYLOAD = T.StructType([
     T.StructField("document_type", T.StringType()),
+    T.StructField("fields", T.VariantType()),
     T.StructField("semantic_evaluation", SEMANTIC_SCORES),
     T.StructField("metric_reasoning", T.MapType(T.StringType(), T.StringType())),
     T.StructField("executive_summary", T.StringType()),

@@ -27,19 +27,29 @@ def fits(size: Column, limit: int | None = rules.MAX_FILE_BYTES) -> Column:
 
 def csv_row_text(line: Column) -> Column:
     """Cells of one delimited line joined by a space (quotes removed)."""
-    cells = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    bare = F.transform(
-        cells,
-        lambda c: F.when(
-            c.rlike('^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
-    return F.array_join(bare, " ")
+    return csv_to_text(line)
+
+
+# a quoted cell may hold commas, line feeds and doubled quotes; quotes inside a bare cell are plain characters
+_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"?'
+_CELL = rf'\G(?!(?<!,)\z)(?:{_QUOTED}[^,\n]*+|[^,\n]*+)(?:[,\n]|\z)'
 
 
 def csv_to_text(raw: Column) -> Column:
-    lines = F.split(F.regexp_replace(raw, r"\r\n?", "\n"), "\n")
-    return F.array_join(F.transform(lines, csv_row_text), "\n")
+    """Rows as lines, cells joined by a space, quotes removed; a quoted cell may span lines."""
+
+    def plain(cell: Column) -> Column:
+        end = F.right(cell, F.lit(1))
+        body = F.regexp_replace(cell, r"[,\n]\z", "")
+        quoted = F.concat(
+            F.replace(F.regexp_extract(body, rf"(?s)\A{_QUOTED}", 1), F.lit('""'), F.lit('"')),
+            F.regexp_extract(body, rf"(?s)\A{_QUOTED}(.*)\z", 2))
+        return F.concat(
+            F.when(body.startswith('"'), quoted).otherwise(body),
+            F.when(end == ",", " ").when(end == "\n", "\n").otherwise(""))
+
+    cells = F.regexp_extract_all(F.regexp_replace(raw, r"\r\n?", "\n"), F.lit(_CELL), F.lit(0))
+    return F.array_join(F.transform(cells, plain), "")
 
 
 def with_text(df: DataFrame, raw: str = "raw", ext: str = "ext") -> DataFrame:

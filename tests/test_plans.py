@@ -6,6 +6,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from docgauge import rules
+from docgauge.functions.scoring import exact_sum
+from docgauge.operators import table as table_ops
 from docgauge.plans import load
 from docgauge.plans import report_queries as R
 from docgauge.plans.evaluate import evaluate, with_semantic
@@ -127,3 +130,30 @@ def test_flagship_entry(spark):
     assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert R.documents(spark, SF).columns == ["doc_id", "filename", "text", "fields", "created_at"]
+
+
+def test_supplied_texts_win_unless_empty_or_missing(spark):
+    docs = spark.createDataFrame([(i, "a.txt", "Invoice of May") for i in (1, 2, 3)], "doc_id int, filename string, text string")
+    full = ('{"document_type":"invoice","fields":{"invoice_number":"7","total_amount":10.50,"line_items":[{"amount":10.50}]},'
+            '"executive_summary":"mine","risk_summary":"","recommendations":["do"]}')
+    replies = spark.createDataFrame([(1, full), (2, '{"document_type":"invoice"}')], "doc_id int, reply string")
+    joined = with_semantic(docs, replies)
+    fields = {r.doc_id: r.fields for r in joined.collect()}
+    assert fields[1]["total_amount"].text == "10.5" and fields[1]["line_items"].truthy and not fields[2] and not fields[3]
+    ev = {r.doc_id: r for r in evaluate(joined, "2024-01-01", families=("invoice",)).collect()}
+    assert (ev[1].executive_summary, ev[1].recommendations) == ("mine", ["do"]) and "Risk" in ev[1].risk_summary
+    assert ev[2].executive_summary.startswith("Quality analysis of invoice") and ev[2].recommendations != ["do"]
+    assert ev[3].executive_summary == rules.FALLBACK_SUMMARY and ev[3].recommendations == rules.FALLBACK_RECOMMENDATIONS
+
+
+def test_unverified_rows_with_hot_and_null_keys(spark):
+    rows = spark.createDataFrame([(9, i) for i in range(40)] + [(None, 100), (1, 101), (2, 102)], "k int, n int")
+    master = spark.createDataFrame([(1,), (2,), (2,)], "m int")
+    assert sorted(r.n for r in table_ops.unverified_rows(rows, "k", master, "m").collect()) == [*range(40), 100]
+
+
+def test_exact_sums(spark):
+    values = [0.1] * 10 + [1e15, -1e15]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, float("nan")), (2, 1.0)], "k int, v double")
+    sums = {r.k: r.s for r in df.groupBy("k").agg(exact_sum("v").alias("s")).collect()}
+    assert sums[1] == 1.0 and sums[2] != sums[2]

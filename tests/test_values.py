@@ -89,3 +89,24 @@ def test_unparsable_items_fail_without_an_issue(spark):
     assert got["consistency"] == (0.0, [])
     got = outcome(spark, '{"total_amount":"5","line_items":{"amount":5}}')
     assert got["consistency"] == (0.0, [])
+
+
+def test_csv_cells_blank_first_multi_line_and_bare_quotes(spark):
+    raw = [",a,b", 'x,"l1\nl2",y', 'a,"",b\r\n1,2\r\n', '5" pipe,x', '"open, end', "", "a,b,"]
+    assert column(spark, raw, readers.csv_to_text) == [" a b", "x l1\nl2 y", "a  b\n1 2\n", '5" pipe x', "open, end", "", "a b "]
+
+
+def test_character_references(spark):
+    raw = ["&eacute;&copy;&mdash;", "&#8217;&#x2014;&#128;", "&amp;lt; &nope; &", "&#0;&#99999999999;", "no reference", "a&lt;b&gt;c"]
+    assert column(spark, raw, X.unescape) == ["é©—", "’—€", "&lt; &nope; &", "��", "no reference", "a<b>c"]
+
+
+def test_mail_parts_inside_parts_and_encodings(spark):
+    nested = ('Subject: =?iso-8859-1?Q?caf=E9?= =?utf-8?B?IGF1IGxhaXQ=?=\nContent-Type: multipart/mixed; boundary="A"\n\n--A\n'
+              "Content-Type: multipart/alternative; boundary=B\n\n--B\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n"
+              "--B\nContent-Type: text/html\n\n<p>no</p>\n--B--\n--A\nContent-Type: text/plain\nContent-Disposition: attachment\n\nfile\n--A--\n")
+    quoted = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n=C3=A9t=C3=A9 1=3D1 soft=\n line = end"
+    latin = "Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\ncaf=E9"
+    broken = "Content-Transfer-Encoding: base64\n\nnot base64!"
+    assert column(spark, [nested, quoted, latin, broken], X.mail_to_text) == [
+        "Subject: café au lait\nhello", "été 1=1 soft line = end", "café", "not base64!"]
