@@ -1,186 +1,200 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both are interpolated bigram models over one shared vocabulary: the most frequent words
-of the whole corpus, all others as one unknown word. The background is counted over all
-documents, the target over the documents of the target set; bigram counts are kept in a
-table of CELLS hashed cells, so the models have a proven size and go to all tasks. A
-document's score is the mean over its tokens of target loss less background loss: the
+Both are interpolated bigram models over one shared vocabulary, every word of the
+corpus. The background is counted over all documents, the target over the documents of
+the target set; all words and bigrams are counted exactly, so the tables grow with the
+corpus. Documents are dealt to chunks of bounded size. A chunk sends each of its distinct
+n-grams once, with its counts, to the block that the n-gram's hash falls in; the block
+adds the counts of all chunks and answers each chunk in the order of its message. No
+table is ever in one place, and a frequent n-gram costs a chunk as much as a rare one.
+A document's score is the mean over its tokens of target loss less background loss: the
 lower, the more like the target.
 """
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import by_position, most_frequent, saved
+from docgauge.llm.common import by_position, saved
 
-VOCABULARY = 50_000
-#: A word's number as it is shuffled; the vocabulary has fewer words than it can hold.
-NUMBER = "<u2"
-CELLS = 1 << 21
-#: Cells of a block: the unit in which counts are shuffled and added.
-BLOCK = 1 << 14
-#: Groups of tasks whose blocks are added first.
-SALTS = 64
+#: Bytes of text of a chunk; there are as many blocks of n-grams as chunks, so both are bounded.
+CHUNK_BYTES = 32 << 20
+#: Chunks that the rows of one id are spread over.
+SALTS = 8
 #: Weight of the bigram model; the rest goes to the smoothed unigram model.
 BIGRAM = 0.7
-#: Words that count: shorter than this, so that the vocabulary's size is bounded.
-WORD_CHARS = 40
 _WORD = re.compile(r"\w+|[^\w\s]")
+_MESSAGE = "chunk int, block int, grams binary, n binary, n_target binary"
+_ANSWER = "chunk int, block int, n binary, n_target binary, words long, tokens long, target_tokens long"
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of the column ``text``, ``size`` at most, in order."""
-    def run(batches):
-        seen = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(words_of(text.as_py()))
-                if len(seen) > 500_000:
-                    yield flush()
-        yield flush()
+class _Numbers(dict):
+    """Words numbered in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Chunk:
+    """The distinct n-grams of some texts, by hash, and where each token's are."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        import xxhash
+
+        numbers, parts = _Numbers(), []
+        for text in texts:
+            words = words_of(text.as_py())
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        inner = np.ones(len(self.words), bool)
+        inner[self.starts[self.sizes > 0]] = False
+        #: Places of the tokens that have one before them in their text, and their bigrams.
+        self.inner = np.flatnonzero(inner)
+        pairs, self.bigrams = np.unique(self.words[self.inner - 1] << 32 | self.words[self.inner], return_inverse=True)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        self.n_words = len(hashes)
+        grams = np.concatenate((hashes & ~np.uint64(1), _mixed(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]) | np.uint64(1)))
+        self.order = np.argsort(grams, kind="stable")
+        #: Hashes in order; those of words are even, those of bigrams odd.
+        self.grams = grams[self.order]
+
+    def counts(self, among: np.ndarray) -> np.ndarray:
+        """How often each n-gram is in the texts that are marked."""
+        marked = np.repeat(among, self.sizes)
+        both = (np.bincount(self.words[marked], minlength=self.n_words), np.bincount(self.bigrams[marked[self.inner]], minlength=len(self.grams) - self.n_words))
+        return np.concatenate(both)[self.order]
+
+    def losses(self, counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
+        """The mean loss of each text under the model of these counts; NaN without tokens."""
+        placed = np.empty(len(counts))
+        placed[self.order] = counts
+        one, two = placed[:self.n_words], placed[self.n_words:]
+        p = ((one + 1) / (tokens + words + 1))[self.words]
+        before = one[self.words[self.inner - 1]]
+        known = np.minimum(1.0, two[self.bigrams] / np.maximum(before, 1))
+        p[self.inner] = np.where(before > 0, BIGRAM * known + (1 - BIGRAM) * p[self.inner], p[self.inner])
+        out, some = np.full(len(self.sizes), np.nan), self.sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(-np.log(p), self.starts[some]) / self.sizes[some]
+        return out
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    counts = saved(texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= WORD_CHARS))
-    return sorted(r[0] for r in most_frequent(counts, "n", size).collect())
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, compressed."""
+    import zstandard
 
-def cells_of(ids: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of each bigram of a sequence of word numbers."""
-    with np.errstate(over="ignore"):
-        x = (ids[:-1].astype(np.uint64) << np.uint64(32)) ^ ids[1:].astype(np.uint64)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(cells)).astype(np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def numbers(text: str, rank: dict[str, int], unknown: int) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter((rank.get(w, unknown) for w in words), np.int64, len(words))
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
 
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def bigram_counts(docs: DataFrame, size: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Cell counts and unigram counts, each for (background, target), of docs (ids, target).
 
-    A task adds up its own documents in arrays of fixed size and passes on the blocks
-    that are not empty; the blocks are added on the cluster, and the sums, of fixed
-    size, make the models.
-    """
-    def run(batches):
-        table, words = np.zeros((2, cells), np.int64), np.zeros((2, size + 1), np.int64)
-        for batch in batches:
-            for packed, target in zip(batch.column("ids"), batch.column("target").to_pylist(), strict=True):
-                ids = np.frombuffer(packed.as_py(), NUMBER).astype(np.int64)
-                at = cells_of(ids, cells) if len(ids) > 1 else ids[:0]
-                for kind in (0, 1)[: 1 + target]:
-                    np.add.at(table[kind], at, 1)
-                    np.add.at(words[kind], ids, 1)
-        out = []
-        for kind in (0, 1):
-            for start in range(0, cells, BLOCK):
-                block = table[kind, start:start + BLOCK]
-                if block.any():
-                    out.append((kind, start, _packed(block)))
-            if words[kind].any():
-                out.append((kind, -1, _packed(words[kind])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["kind", "start", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in groups:
-            for x in batch.column("counts"):
-                block = _unpacked(x.as_py())
-                total = block if total is None else total + block
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([_packed(total)], pa.binary())], ["kind", "start", "counts"])
-
-    schema = "kind int, start long, counts binary"
-    parts = docs.mapInArrow(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    sums = parts.groupBy("kind", "start", "salt").applyInArrow(add, schema).groupBy("kind", "start").applyInArrow(add, schema)
-    table, words = np.zeros((2, cells), np.int64), np.zeros((2, size + 1), np.int64)
-    for kind, start, counts in sums.collect():
-        block = _unpacked(counts)
-        if start < 0:
-            words[kind] = block
-        else:
-            table[kind, start:start + len(block)] = block
-    return table, words
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    import zlib
-
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+def _blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    """Where the n-grams of each block start among hashes in order, and where the last ends."""
+    bounds = np.array([(k << 64) // blocks for k in range(1, blocks)], dtype=np.uint64)
+    return np.concatenate(([0], np.searchsorted(grams, bounds), [len(grams)]))
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    import zlib
+def _messages(blocks: int):
+    def run(key, rows: pa.Table, targets: pa.Table) -> pa.Table:
+        chunk = Chunk(rows.column("text"))
+        wanted = set(targets.column("t_id").to_pylist())
+        every = chunk.counts(np.ones(rows.num_rows, bool))
+        target = chunk.counts(np.fromiter((x in wanted for x in rows.column("doc_id").to_pylist()), bool, rows.num_rows))
+        at, out = _blocks_of(chunk.grams, blocks), []
+        for k in range(blocks):
+            a, b = int(at[k]), int(at[k + 1])
+            if a < b:
+                steps = np.diff(chunk.grams[a:b], prepend=np.uint64(0))
+                out.append((k, _packed(steps), _packed(every[a:b]), _packed(target[a:b])))
+        number = key[0].as_py() if rows.num_rows else -1
+        columns = [pa.array([number] * len(out), pa.int32()), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))]
+        return pa.table(columns, names=["chunk", "block", "grams", "n", "n_target"])
 
-    return np.frombuffer(zlib.decompress(data), "<i8")
+    return run
 
 
-def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, cells: int = CELLS) -> DataFrame:
+def _add(messages: pa.Table) -> pa.Table:
+    """The summed counts of a block for each chunk, and its share of the totals with the first."""
+    with np.errstate(over="ignore"):
+        grams = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in messages.column("grams")]
+    ends = np.cumsum([len(g) for g in grams])
+    distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = []
+    for name in ("n", "n_target"):
+        n = np.concatenate([_unpacked(x.as_py()) for x in messages.column(name)])
+        sums.append(np.bincount(at, weights=n).astype(np.int64))
+    words = (distinct & np.uint64(1)) == 0
+    totals = [int(words.sum()), *(int(s[words].sum()) for s in sums)]
+    parts = np.split(at, ends[:-1])
+    return pa.table([
+        messages.column("chunk"), messages.column("block"), *(pa.array([_packed(s[p]) for p in parts], pa.binary()) for s in sums),
+        *(pa.array([t] + [0] * (len(parts) - 1), pa.int64()) for t in totals)],
+        names=["chunk", "block", "n", "n_target", "words", "tokens", "target_tokens"])
+
+
+def _scores(words: int, tokens: int, target_tokens: int):
+    def run(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(rows.column("text"))
+        answers = answers.sort_by("block")
+        columns = [rows.column("doc_id"), pa.array(chunk.sizes)]
+        for name, total in (("n_target", target_tokens), ("n", tokens)):
+            counts = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py()) for x in answers.column(name))])
+            columns.append(pa.array(chunk.losses(counts, total, words), from_pandas=True))
+        return pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    return run
+
+
+def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of each row.
 
-    target_ids (doc_id) names the documents of the target set; its rows are joined by
-    shuffle, with ids only. Losses are nats per token, the first token by its unigram
-    model; a null or empty text has no tokens and nulls. Without a target both models
-    are uniform over the vocabulary in the target, and scores still defined.
+    target_ids (doc_id) names the documents of the target set; unknown, repeated and
+    null ids in it do not matter. Losses are nats per token, the first token by its
+    unigram model; a null or empty text has no tokens and nulls. Without a target its
+    model is uniform over the vocabulary. Repeated rows count and are scored each, rows
+    of null ids belong to no target. Empty table: empty result.
     """
-    spark = docs.sparkSession
     df, at = by_position(docs)
     df = df.select(F.col(at[id_col]).alias("doc_id"), F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).alias("text"))
-    kind = df.schema["doc_id"].dataType.simpleString()
-    names = vocabulary(df, size)
-    size = len(names)
-    ranks = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
-    chosen = target_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
-
-    def number(batches):
-        rank = ranks.value
-        for batch in batches:
-            ids = [numbers(x.as_py(), rank, size).astype(NUMBER).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    # word numbers are shuffled, not texts; the plan is the same at every size
-    numbered = df.mapInArrow(number, f"doc_id {kind}, ids binary")
-    marked = numbered.join(chosen.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select("ids", F.col("t_id").isNotNull().alias("target"))
-    table, words = bigram_counts(marked, size, cells)
-    models = spark.sparkContext.broadcast((table.astype(np.float32), words.astype(np.float32)))
-
-    def run(batches):
-        rank, (cell_counts, word_counts) = ranks.value, models.value
-        unigram = (word_counts + 1) / (word_counts.sum(axis=1, keepdims=True) + size + 1)
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                ids = numbers(text.as_py(), rank, size)
-                if not len(ids):
-                    rows.append((0, None, None))
-                    continue
-                at, losses = cells_of(ids, cells), []
-                for m in (1, 0):
-                    before = word_counts[m][ids[:-1]]
-                    bigram = np.minimum(1.0, cell_counts[m][at] / np.maximum(before, 1))
-                    p = unigram[m][ids].astype(np.float64)
-                    p[1:] = np.where(before > 0, BIGRAM * bigram + (1 - BIGRAM) * p[1:], p[1:])
-                    losses.append(float(-np.log(p).mean()))
-                rows.append((len(ids), *losses))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    out = df.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
+    kind = df.schema["doc_id"].dataType
+    size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = size // chunk_bytes + 1
+
+    # an id's rows are spread by their text, rows without id all over, and target ids go to each place
+    chunk_of = lambda id_, salt: F.pmod(F.xxhash64(id_, salt), F.lit(chunks)).cast("int")
+    text_hash = F.xxhash64("text")
+    salt = F.when(F.col("doc_id").isNull(), text_hash).otherwise(F.pmod(text_hash, F.lit(SALTS)))
+    rows = df.withColumn("chunk", chunk_of(F.col("doc_id"), salt))
+    salts = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))
+    chosen = target_ids.select(F.col("doc_id").cast(kind).alias("t_id")).where("t_id is not null").withColumn("salt", salts)
+    chosen = chosen.select("t_id", chunk_of(F.col("t_id"), F.col("salt")).alias("chunk"))
+
+    messages = rows.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(_messages(chunks), _MESSAGE)
+    answers = saved(messages.groupBy("block").applyInArrow(_add, _ANSWER))
+    totals = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "target_tokens")]).first()
+    answers = answers.select("chunk", "block", "n", "n_target")
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _scores(*totals), f"doc_id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

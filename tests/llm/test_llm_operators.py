@@ -51,7 +51,7 @@ def everything(spark, df):
     yield "rules", quality_rules.judge(df)
     yield "keep", quality_rules.keep(df)
     yield "tokens", token_counts.count_tokens(df, FILE)
-    yield "lm", lm_scoring.score(df, marks.where("quality = 1"), cells=1 << 14)
+    yield "lm", lm_scoring.score(df, marks.where("quality = 1"))
     yield "shards", sharding.assign(df)
     yield "warc", warc.read_archives(warc.write_archives(df.withColumnsRenamed({"doc_id": "page_id", "text": "html"})))
     yield "bpe", bpe.encode(df, FILE)
@@ -163,34 +163,48 @@ def test_automaton_accepts_the_merge_order():
 
 # ---------------------------------------------------------------- language models
 
-def test_lm_scores_match_brute_force(spark, docs, texts):
-    cells, chosen = 1 << 14, {d for d in texts if d % 3 == 0}
-    target = spark.createDataFrame([(d,) for d in chosen], "doc_id long")
-    names = lm_scoring.vocabulary(docs, 300)
-    assert 0 < len(names) <= 300
-    rank, size = {w: k for k, w in enumerate(names)}, len(names)
-    models = []
+@pytest.mark.parametrize("chunk_bytes", [lm_scoring.CHUNK_BYTES, 20_000])
+def test_lm_scores_match_brute_force(spark, docs, texts, chunk_bytes):
+    """Exact counts over all documents, whether in one chunk or in many."""
+    chosen = {d for d in texts if d % 3 == 0}
+    target = spark.createDataFrame([(d,) for d in chosen] * 2 + [(None,), (-5,)], "doc_id long")
+    held = {d: lm_scoring.words_of(t or "") for d, t in texts.items()}
+    models, size = [], len({w for words in held.values() for w in words})
     for group in (chosen, set(texts)):
         words, pairs = Counter(), Counter()
         for d in group:
-            ids = lm_scoring.numbers(texts[d], rank, size)
-            words.update(ids.tolist())
-            pairs.update(lm_scoring.cells_of(ids, cells).tolist() if len(ids) > 1 else [])
+            words.update(held[d])
+            pairs.update(zip(held[d], held[d][1:], strict=False))
         models.append((words, pairs, sum(words.values())))
-    for r in lm_scoring.score(docs, target, size=300, cells=cells).collect():
-        ids = lm_scoring.numbers(texts[r["doc_id"]], rank, size).tolist()
-        losses = []
+    found = lm_scoring.score(docs, target, chunk_bytes=chunk_bytes).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(texts)
+    for r in found:
+        own, losses = held[r["doc_id"]], []
         for words, pairs, total in models:
             loss = 0.0
-            for k, w in enumerate(ids):
+            for k, w in enumerate(own):
                 p = (words[w] + 1) / (total + size + 1)
-                if k and words[ids[k - 1]]:
-                    cell = int(lm_scoring.cells_of(np.array(ids[k - 1:k + 1]), cells)[0])
-                    p = 0.7 * min(1, pairs[cell] / words[ids[k - 1]]) + 0.3 * p
-                loss -= np.log(p) / len(ids)
+                if k and words[own[k - 1]]:
+                    p = 0.7 * min(1, pairs[own[k - 1], w] / words[own[k - 1]]) + 0.3 * p
+                loss -= np.log(p) / len(own)
             losses.append(loss)
-        assert r["n_tokens"] == len(ids)
-        assert r["target_loss"] == pytest.approx(losses[0], rel=1e-4) and r["background_loss"] == pytest.approx(losses[1], rel=1e-4)
+        assert r["n_tokens"] == len(own)
+        if own:
+            assert r["target_loss"] == pytest.approx(losses[0], rel=1e-9) and r["background_loss"] == pytest.approx(losses[1], rel=1e-9)
+        else:
+            assert r["target_loss"] is None and r["score"] is None
+
+
+def test_lm_scores_of_repeated_and_null_ids(spark):
+    """A hot id, null ids and copies keep their rows, whatever the chunks; a null id is in no target."""
+    rows = [(1, f"word{k % 7} and more words {k % 5}") for k in range(60)] + [(None, "word1 and more"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    key = lambda r: tuple("" if x is None else f"{x:.9f}" for x in r)
+    one, many = (sorted(map(key, lm_scoring.score(df, target, chunk_bytes=n).collect())) for n in (1 << 20, 100))
+    assert one == many and len(one) == len(rows)
+    none = lm_scoring.score(df, target.where("doc_id = 9")).where("doc_id = 1").select("target_loss").distinct().collect()
+    assert len(none) == 1 and none[0][0] == pytest.approx(np.log(len({w for _, t in rows for w in lm_scoring.words_of(t or "")}) + 1))
 
 
 # ---------------------------------------------------------------- shards
