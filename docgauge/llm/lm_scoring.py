@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docgauge.llm.common import by_position, saved
 
 #: Bytes of text of a chunk; there are as many blocks of n-grams as chunks, so both are bounded.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Chunks that the rows of one id are spread over.
 SALTS = 8
 #: Weight of the bigram model; the rest goes to the smoothed unigram model.
@@ -48,19 +48,22 @@ class Chunk:
 
     def __init__(self, texts: pa.ChunkedArray):
         import xxhash
+        import zstandard
 
-        numbers, parts = _Numbers(), []
+        numbers, parts, unpack = _Numbers(), [], zstandard.ZstdDecompressor()
         for text in texts:
-            words = words_of(text.as_py())
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            words = words_of(unpack.decompress(text.as_py()).decode("utf-8"))
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
         self.starts = np.cumsum(self.sizes) - self.sizes
         inner = np.ones(len(self.words), bool)
         inner[self.starts[self.sizes > 0]] = False
         #: Places of the tokens that have one before them in their text, and their bigrams.
         self.inner = np.flatnonzero(inner)
-        pairs, self.bigrams = np.unique(self.words[self.inner - 1] << 32 | self.words[self.inner], return_inverse=True)
+        pairs, self.bigrams = np.unique(self.words[self.inner - 1].astype(np.int64) << 32 | self.words[self.inner], return_inverse=True)
+        self.bigrams = self.bigrams.astype(np.int32)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         self.n_words = len(hashes)
         grams = np.concatenate((hashes & ~np.uint64(1), _mixed(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]) | np.uint64(1)))
@@ -116,6 +119,16 @@ def _blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(grams, bounds), [len(grams)]))
 
 
+def _text_packed(batches):
+    """The rows with each text compressed, as it is shuffled."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [pack.compress(x.as_py().encode("utf-8")) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), batch.column("chunk")], ["doc_id", "text", "chunk"])
+
+
 def _messages(blocks: int):
     def run(key, rows: pa.Table, targets: pa.Table) -> pa.Table:
         chunk = Chunk(rows.column("text"))
@@ -186,7 +199,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     chunk_of = lambda id_, salt: F.pmod(F.xxhash64(id_, salt), F.lit(chunks)).cast("int")
     text_hash = F.xxhash64("text")
     salt = F.when(F.col("doc_id").isNull(), text_hash).otherwise(F.pmod(text_hash, F.lit(SALTS)))
-    rows = df.withColumn("chunk", chunk_of(F.col("doc_id"), salt))
+    rows = df.withColumn("chunk", chunk_of(F.col("doc_id"), salt)).mapInArrow(_text_packed, f"doc_id {kind.simpleString()}, text binary, chunk int")
     salts = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))
     chosen = target_ids.select(F.col("doc_id").cast(kind).alias("t_id")).where("t_id is not null").withColumn("salt", salts)
     chosen = chosen.select("t_id", chunk_of(F.col("t_id"), F.col("salt")).alias("chunk"))
