@@ -118,20 +118,20 @@ def amount_consistency(fields: Column, line_items: Column) -> Column:
     return metric("invoice", "Amount Consistency", raw)
 
 
-def amounts_of_orders(headers: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Invoice arithmetic over tables.
-
-    ``headers``: key, subtotal, tax, total. ``items``: key, amount, quantity,
-    price. Returns key, done, passed, score, status.
-    """
+def item_sums(items: DataFrame, key: str) -> DataFrame:
+    """key, items_sum, n_items, priced and right of ``items`` (key, amount, quantity, price)."""
     priced = F.col("amount").isNotNull() & F.col("quantity").isNotNull() & F.col("price").isNotNull()
     right = priced & (F.abs(F.col("quantity") * F.col("price") - F.col("amount")) < rules.AMOUNT_TOLERANCE)
-    sums = items.groupBy(key).agg(
+    return items.groupBy(key).agg(
         exact_sum("amount").alias("items_sum"),
         F.count("*").alias("n_items"),
         F.count_if(priced).alias("priced"),
         F.count_if(right).alias("right"),
     )
+
+
+def amounts_of_sums(orders: DataFrame, key: str) -> DataFrame:
+    """key, done, passed, score, status of rows with subtotal, tax, total and the columns of ``item_sums``."""
     total_due = F.col("subtotal").isNotNull() & F.col("total").isNotNull()
     total_ok = F.abs(F.col("subtotal") + F.coalesce("tax", F.lit(0.0)) - F.col("total")) < rules.AMOUNT_TOLERANCE
     items_due = F.col("n_items").isNotNull()
@@ -142,13 +142,21 @@ def amounts_of_orders(headers: DataFrame, items: DataFrame, key: str) -> DataFra
         + F.coalesce("right", F.lit(0))
     )
     return (
-        headers.join(sums, key, "left")
-        .select(key, done.alias("done"), passed.alias("passed"))
+        orders.select(key, done.alias("done"), passed.alias("passed"))
         .withColumn("raw", share(F.col("passed"), F.col("done")))
         .select(key, "done", "passed", clamp_score(F.col("raw")).alias("score"), status_of(F.col("raw")).alias("status"))
     )
 
 
+def amounts_of_orders(headers: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Invoice arithmetic over tables.
+
+    ``headers``: key, subtotal, tax, total. ``items``: key, amount, quantity,
+    price. Returns key, done, passed, score, status.
+    """
+    return amounts_of_sums(headers.join(item_sums(items, key), key, "left"), key)
+
+
 def metrics(fields: Column, line_items: Column, ext: Column, mean_conf: Column | None = None,
             blocks: Column | None = None) -> Column:
     return F.array(

@@ -158,11 +158,13 @@ def invoice_amounts_of_orders(spark, sf_dir):
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     price = F.when(F.col("l_linenumber") % 3 == 1, unit).when(F.col("l_linenumber") % 3 == 2, F.round(unit))
     items = lines.select("o_orderkey", F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"), price.alias("price"))
-    sums = lines.groupBy("o_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("s"))
-    headers = table(spark, sf_dir, "orders").select("o_orderkey").join(sums, "o_orderkey", "left").selectExpr(
-        "o_orderkey", "CASE WHEN o_orderkey % 10 = 0 THEN s + 1 WHEN o_orderkey % 11 = 0 THEN NULL ELSE s END AS subtotal",
-        "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 10.0D END AS tax", "CASE WHEN o_orderkey % 4 = 0 THEN s ELSE s + 10 END AS total")
-    out = invoice.amounts_of_orders(headers, items, "o_orderkey")
+    # the headers' amounts come from the same sums, so lineitem is read once
+    sums = invoice.item_sums(items, "o_orderkey").withColumn("s", F.round("items_sum", 2))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").join(sums, "o_orderkey", "left").withColumns({
+        "subtotal": F.expr("CASE WHEN o_orderkey % 10 = 0 THEN s + 1 WHEN o_orderkey % 11 = 0 THEN NULL ELSE s END"),
+        "tax": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 10.0D END"),
+        "total": F.expr("CASE WHEN o_orderkey % 4 = 0 THEN s ELSE s + 10 END")})
+    out = invoice.amounts_of_sums(orders, "o_orderkey")
     return out.withColumns({"done": F.col("done").cast("long"), "passed": F.col("passed").cast("long")})
 
 

@@ -212,16 +212,25 @@ def risk_summary(spark, sf_dir):
     return docs.select("doc_id", insights.risk_summary(F.col("i"), F.col("n")).alias("risk_summary"))
 
 
-@query("executive_summary", f"""WITH {WITH_SCORES} SELECT doc_id, n_insights, n, top FROM (
-  SELECT i.doc_id, CAST(n AS BIGINT) AS n, count(ord) AS n_insights, coalesce(array_to_string((list(issue ORDER BY ord) FILTER (WHERE ord IS NOT NULL))[1:3], ' '), '') AS top
-  FROM {N_ISSUES} i LEFT JOIN {CORE_INSIGHTS} k ON k.doc_id = i.doc_id GROUP BY 1, 2)""")
+SUMMARY_TEXT = f"""CASE WHEN mean >= {rules.GOOD_AT} AND n_insights = 0
+    THEN 'The invoice document demonstrates excellent data quality with an average core metric score of ' || shown || '%. No significant issues detected.'
+    ELSE 'Quality analysis of invoice document completed. Average core metric score: ' || shown || '%. '
+      || CASE WHEN n > 0 THEN n || ' issue(s) were identified. ' ELSE '' END
+      || CASE WHEN n_insights > 0 THEN 'Key findings: ' || array_to_string(found[1:3], ' ') ELSE '' END END"""
+
+
+@query("executive_summary", f"""WITH {WITH_SCORES} SELECT doc_id, n_insights, n, {SUMMARY_TEXT} AS summary FROM (
+  SELECT *, CAST(CAST(round(mean) AS BIGINT) AS VARCHAR) AS shown FROM (
+    SELECT i.doc_id, CAST(n AS BIGINT) AS n, count(ord) AS n_insights, any_value(({" + ".join("e." + m for m in METRICS)}) / 6) AS mean,
+      list(issue ORDER BY ord) FILTER (WHERE ord IS NOT NULL) AS found
+    FROM {N_ISSUES} i JOIN scores e ON e.doc_id = i.doc_id LEFT JOIN {CORE_INSIGHTS} k ON k.doc_id = i.doc_id GROUP BY 1, 2))""")
 def executive_summary(spark, sf_dir):
     found, n_issues = _core_findings()
-    docs = core_outcomes(spark, sf_dir).select("doc_id", found.alias("i"), n_issues.alias("n"))
+    mean = reduce(lambda a, b: a + b, [F.col(f"{m}.score") for m in METRICS]) / 6
+    docs = core_outcomes(spark, sf_dir).select("doc_id", found.alias("i"), n_issues.alias("n"), mean.alias("mean"))
     top = F.transform(F.slice("i", 1, 3), lambda x: x["issue"])
-    text = insights.executive_summary(F.lit("invoice"), F.lit(50.0), top, F.size("i"), F.col("n"))
-    return docs.select("doc_id", F.size("i").cast("long").alias("n_insights"), F.col("n").cast("long").alias("n"),
-                       F.regexp_extract(text, r"Key findings: (.*)$", 1).alias("top"))
+    text = insights.executive_summary(F.lit("invoice"), F.col("mean"), top, F.size("i"), F.col("n"))
+    return docs.select("doc_id", F.size("i").cast("long").alias("n_insights"), F.col("n").cast("long").alias("n"), text.alias("summary"))
 
 
 @query("recommendations", f"""WITH {WITH_SCORES} SELECT doc_id, recommendation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS pos FROM {CORE_INSIGHTS}""")

@@ -10,6 +10,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "do
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.docgauge.scanPartitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")

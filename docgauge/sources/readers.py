@@ -107,15 +107,14 @@ def rejected(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return with_outcome(rows, limit).where("outcome <> 'accepted'").select("path", "filename", "size", F.col("outcome").alias("reason"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer input splits than the cluster has cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows of a scan to so many tasks, if the caller or ``spark.docgauge.scanPartitions`` gives a number.
 
-    Text rules cost far more than reading, and one small file is one split. A
-    scan with enough splits, which is every large one, is returned unchanged
-    and never shuffled.
+    Text rules cost far more than reading, so a few small files are worth dealing out.
+    Without a number the scan's own splits are used, whatever its size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+    given = partitions or df.sparkSession.conf.get("spark.docgauge.scanPartitions", None)
+    return df.repartition(int(given)) if given else df
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

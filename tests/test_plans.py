@@ -61,6 +61,22 @@ def test_column_pruning_reaches_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
 
 
+def test_invoice_amounts_read_lineitem_once(spark):
+    plan = plan_of(load().QUERIES["invoice_amounts_of_orders"](spark, SF))
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_a_scan_is_dealt_out_only_on_demand(spark):
+    docs = spark.range(10, numPartitions=2)
+    given = spark.conf.get("spark.docgauge.scanPartitions")
+    spark.conf.unset("spark.docgauge.scanPartitions")
+    try:
+        assert readers.spread(docs) is docs
+        assert "Exchange" in plan_of(readers.spread(docs, 3))
+    finally:
+        spark.conf.set("spark.docgauge.scanPartitions", given)
+
+
 def test_missing_semantic_scores(spark):
     docs = spark.createDataFrame([(1, "a.bin", "word " * 30)], "doc_id int, filename string, text string")
     score = lambda **o: evaluate(docs, "2024-01-01", families=("general",), **o).first()
