@@ -153,7 +153,7 @@ NEXT_LEVEL = f"""filter(
 
 def nesting(text: Column) -> Column:
     """Brackets open at once at most in a JSON text, strings left out."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -168,12 +168,17 @@ def depth_of(df: DataFrame, text: Column) -> int:
     return df.where(text.isNotNull()).agg(F.max(nesting(text))).first()[0] or 0
 
 
+def _walked(value: Column) -> Column:
+    """The value, or an error where the walk has left containers in the frontier ``f``."""
+    return F.when(F.size("f") > 0, F.raise_error(F.lit("JSON nested deeper than the levels walked"))).otherwise(value)
+
+
 def with_type_checks(df: DataFrame, payload: str, max_depth: int | None = None) -> DataFrame:
     """Add ``type_checks`` (struct<done, passed>) of the VARIANT column ``payload``.
 
     Every object entry is one check; a number or boolean kept as text counts
     half. A list of several elements is one check, half for mixed types. The number
-    of levels is that of the data unless the caller knows it.
+    of levels is that of the data unless the caller knows it; too few are an error.
     """
     max_depth = depth_of(df, F.expr(f"cast(`{payload}` AS string)")) if max_depth is None else max_depth
     out = df.withColumn("f", F.expr(
@@ -184,7 +189,7 @@ def with_type_checks(df: DataFrame, payload: str, max_depth: int | None = None)
     checks = F.struct(*[
         total(F.col(f"{level}.{part}") for level in levels).alias(part) for part in ("done", "passed")
     ])
-    return out.withColumn("type_checks", F.when(F.col(payload).isNotNull(), checks)).drop("f", *levels)
+    return out.withColumn("type_checks", _walked(F.when(F.col(payload).isNotNull(), checks))).drop("f", *levels)
 
 
 def type_validation(payload: Column, checks: Column) -> Column:
@@ -363,7 +368,7 @@ def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None
 
     ``raw`` names a JSON text column; rows outside ``when`` are not parsed. The
     text is carried beside the parsed value because only the text keeps the key
-    order of the source.
+    order of the source. A ``max_depth`` of too few levels is an error.
     """
     text = F.col(raw) if when is None else F.when(when, F.col(raw))
     max_depth = depth_of(df, text) if max_depth is None else max_depth
@@ -375,7 +380,7 @@ def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None
         nodes = nodes.withColumns({level: F.expr(LINES), "f": F.expr(INNER)})
     lines = F.array_sort(F.concat(*levels))
     joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return nodes.withColumn(out, F.when(F.col("_value").isNotNull(), joined)).drop("f", "_value", *levels)
+    return nodes.withColumn(out, _walked(F.when(F.col("_value").isNotNull(), joined))).drop("f", "_value", *levels)
 
 
 # ---------------------------------------------------------------- record grain

@@ -1,5 +1,6 @@
 """Type-specific metrics on small documents with planted defects."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docgauge.functions import text as X
@@ -120,6 +121,24 @@ def test_deep_json_stands_beside_flat_json(spark):
     assert flat[0].split("\n")[0] == "a: " * 15 + "b: 1" and flat[1:] == ["a: 1", None]
 
 
+def test_escaped_strings_do_not_hide_levels(spark):
+    for start in (r'"t":"a\nb"', r'"p":"C:\\"', r'"q":"\"{["', r'"u":"\u00e9\t"', '"s":"' + r"\\\"x" * 9000 + '"'):
+        raw = "{" + start + ',"a":{"b":{"c":{"d":{"e":"1"}}}}}'
+        df = spark.createDataFrame([(raw,)], "raw string").withColumn("v", F.try_parse_json("raw"))
+        assert records.depth_of(df, F.col("raw")) == 5
+        assert tuple(records.with_type_checks(df, "v").first().type_checks) == (6, 5.5)
+        flat = records.with_flat_text(df, "raw", "flat").first().flat
+        assert flat.endswith("\na: b: c: d: e: 1")
+
+
+def test_levels_left_over_are_an_error(spark):
+    df = spark.createDataFrame([('{"a":{"b":{"c":1}}}',)], "raw string").withColumn("v", F.try_parse_json("raw"))
+    for walk in (lambda n: records.with_type_checks(df, "v", n), lambda n: records.with_flat_text(df, "raw", "flat", max_depth=n)):
+        assert walk(3).collect()
+        with pytest.raises(Exception, match="deeper"):
+            walk(1).collect()
+
+
 def test_wide_tables_are_typed_whole(spark):
     for width in (50, 60, 100):
         line = ",".join(["7"] * width)
