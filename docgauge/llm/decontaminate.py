@@ -1,15 +1,14 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH.
-
-Texts and items are sequences of lower-cased words. The CGK embedding walks a sequence
-with shared random steps, so a small edit distance becomes a small Hamming distance of
-the embedded sequences. A repetition of the LSH samples a few coordinates of the
-embedding, the first coordinate always among them: that is the window's first word,
-so windows are only embedded where a word of the table starts one. Each repetition
-starts its windows at another word of the item and walks with other random steps.
-Candidates are verified by exact word edit distance over the whole item.
+"""Benchmark decontamination by unedited stretches and exact edit distance.
+
+Texts and items are sequences of lower-cased words. An item with at most d edits is cut
+into d + 1 disjoint stretches; an edit changes one stretch at most, so a passage within
+d edits holds one of them word for word, at most d words from its place. Every place of
+a text that holds a stretch is a candidate: none is lost, whichever words are edited.
+A stretch is looked for only where its rarest word stands. A candidate whose window
+lacks more than d of the item's distinct words cannot match; the others are verified by
+exact word edit distance over the whole item. The target recall is 1.
 """
 
-import random
 import re
 from collections import Counter, defaultdict
 
@@ -18,10 +17,6 @@ from pyspark.sql import functions as F
 
 from docgauge.llm.common import back, by_position
 
-#: Starting words of an item, repetitions of each, sampled coordinates besides the first, and the coordinates to sample from at most.
-STARTS, REPEATS, SAMPLED, COORDINATES = 6, 4, 3, 128
-#: Words whose random steps a task remembers.
-REMEMBERED = 200_000
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
 #: Bytes of benchmark text that go to the tasks at once; a larger benchmark is done in blocks.
@@ -33,38 +28,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class Walk:
-    """The CGK embedding of one repetition: shared random steps by word and coordinate."""
-
-    def __init__(self, seed: int):
-        self.seed, self.known = seed, {}
-
-    def steps(self, word: str) -> int:
-        """A bit for each coordinate: whether the walk moves on after this word."""
-        import xxhash
-
-        bits = self.known.get(word)
-        if bits is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            bits = self.known[word] = xxhash.xxh3_128_intdigest(word, self.seed)
-        return bits
-
-    def sample(self, words: list[str], at: int, coordinates: tuple[int, ...], go_on=None) -> tuple[str, ...] | None:
-        """Coordinate 0 and the given ones of the embedding of words[at:]; past the end an empty word.
-
-        None as soon as ``go_on`` (the known beginnings of samples) has no such sample.
-        """
-        n, steps, step = len(words), self.steps, 0
-        out: tuple[str, ...] = (words[at],)
-        for coordinate in coordinates:
-            while step < coordinate and at < n:
-                at += steps(words[at]) >> step & 1
-                step += 1
-            out += (words[at] if at < n else "",)
-            if go_on is not None and out not in go_on:
-                return None
-        return out
+def stretches(m: int, most: int) -> list[tuple[int, int]]:
+    """Bounds of most + 1 disjoint stretches that make up m words, as equal as can be."""
+    n = most + 1
+    return [(m * k // n, m * (k + 1) // n) for k in range(n)]
 
 
 def distance_ends(item: list[str], text: list[str]) -> tuple[int, int]:
@@ -94,50 +61,45 @@ def distance_ends(item: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Index:
-    """LSH tables of some items."""
+    """The stretches of some items, found by their rarest words."""
 
     def __init__(self, items: list[tuple], edits: float = EDITS):
+        if not 0 <= edits < 1:
+            raise ValueError("edits must be a share from 0 to below 1: with all words edited, every text matches")
         self.items = [(key, w) for key, text in items if (w := words_of(text))]
+        self.sets = [frozenset(words) for _, words in self.items]
         self.edits = edits
-        self.tables: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-        self.begun: dict[tuple, set] = defaultdict(set)
-        self.starts: dict[str, set] = defaultdict(set)
-        self.plans: dict[tuple, tuple[int, ...]] = {}
-        self.walks = [Walk(k) for k in range(STARTS * REPEATS)]
+        #: Items and offsets of each stretch; words before and from the rarest word of the stretches that it stands for.
+        self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        self.shapes: dict[str, set[tuple[int, int]]] = defaultdict(set)
         often = Counter(w for _, words in self.items for w in words)
         for number, (_, words) in enumerate(self.items):
-            # words that are rare in the benchmark and long: few windows of the corpus start with one
-            rare = lambda k: (len(words) - k < 6 and k > 0, often[words[k]], -len(words[k]), k)  # noqa: B023, E731
-            for nth, offset in enumerate(sorted(range(len(words)), key=rare)[:STARTS]):
-                for repeat in range(nth * REPEATS, (nth + 1) * REPEATS):
-                    plan = repeat, (len(words) - offset).bit_length()
-                    key = self.walks[repeat].sample(words, offset, self.coordinates(plan))
-                    self.starts[words[offset]].add(plan)
-                    self.tables[plan][key].append((number, offset))
-                    self.begun[plan].update(key[:k] for k in range(2, len(key) + 1))
-
-    def coordinates(self, plan: tuple[int, int]) -> tuple[int, ...]:
-        """Sampled coordinates of a repetition for windows of a size class."""
-        if plan not in self.plans:
-            reach = max(2, min(COORDINATES, 2 << (plan[1] - 1)))
-            self.plans[plan] = tuple(sorted(random.Random(f"cgk {plan}").sample(range(1, reach), min(SAMPLED, reach - 1))))
-        return self.plans[plan]
+            for low, high in stretches(len(words), int(edits * len(words))):
+                # words that are rare in the benchmark and long: few places of the corpus hold them
+                rarest = min(range(low, high), key=lambda k: (often[words[k]], -len(words[k]), k))  # noqa: B023
+                self.shapes[words[rarest]].add((rarest - low, high - rarest))
+                self.places[tuple(words[low:high])].append((number, low))
 
     def matches(self, text: str) -> list[tuple]:
         """(item key, first word, last word + 1, distance, item words) of each passage found, by item and place."""
         words = words_of(text)
-        starts, tried, found = self.starts, set(), {}
-        for at in [k for k, w in enumerate(words) if w in starts]:
-            for plan in starts[words[at]]:
-                key = self.walks[plan[0]].sample(words, at, self.plans[plan], self.begun[plan])
-                for number, offset in self.tables[plan].get(key, ()):
-                    if (number, at - offset) in tried:
+        shapes, places, tried, found = self.shapes, self.places, set(), {}
+        for at in [k for k, w in enumerate(words) if w in shapes]:
+            for before, after in shapes[words[at]]:
+                start = at - before
+                if start < 0:
+                    continue
+                for number, offset in places.get(tuple(words[start:at + after]), ()):
+                    if (number, start - offset) in tried:
                         continue
-                    tried.add((number, at - offset))
+                    tried.add((number, start - offset))
                     key, item = self.items[number]
                     most = int(self.edits * len(item))
-                    low = max(0, at - offset - most)
-                    distance, end = distance_ends(item, words[low:at - offset + len(item) + most])
+                    low = max(0, start - offset - most)
+                    window = words[low:start - offset + len(item) + most]
+                    if len(self.sets[number].difference(window)) > most:
+                        continue
+                    distance, end = distance_ends(item, window)
                     if distance <= most:
                         _, size = distance_ends(item[::-1], words[low:low + end][::-1])
                         span = (low + end - size, low + end)

@@ -310,6 +310,46 @@ def test_decontamination_recall(spark, docs, texts):
     assert hits >= 0.9 * len(items)
 
 
+def edited(words, places, kind, rng):
+    """The words with an edit at each of the places."""
+    out = list(words)
+    for k in sorted(places, reverse=True):
+        if kind == "drop" or kind == "mixed" and rng.random() < 0.3:
+            del out[k]
+        elif kind == "add" or kind == "mixed" and rng.random() < 0.5:
+            out.insert(k + rng.randrange(2), "more")
+        else:
+            out[k] = "changed"
+    return out
+
+
+def test_decontamination_finds_every_passage_in_a_fifth_of_edits(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    items += [(1000 + n, " ".join(f"short{n}word{k}" for k in range(n))) for n in range(1, 31)]
+    words = {k: decontaminate.words_of(t) for k, t in items}
+    often = Counter(w for ws in words.values() for w in ws)
+    index, rng = decontaminate.Index(items), random.Random(5)
+    for key, item in words.items():
+        most = int(0.2 * len(item))
+        rarest = sorted(range(len(item)), key=lambda k: (often[item[k]], -len(item[k]), k))[:most]
+        spread = [(2 * k + 1) * len(item) // (2 * most) for k in range(most)]
+        for kind in ("change", "add", "drop", "mixed"):
+            for places in (rarest, spread, *(rng.sample(range(len(item)), most) for _ in range(10))):
+                passage = edited(item, places, kind, rng)
+                found = index.matches("a b c " + " ".join(passage) + " d e f")
+                assert any(m[0] == key and m[3] <= most for m in found), (key, kind, places)
+
+
+def test_stretches_make_up_the_item():
+    for m in range(1, 80):
+        for most in range(m):
+            cut = decontaminate.stretches(m, most)
+            assert len(cut) == most + 1 and cut[0][0] == 0 and cut[-1][1] == m
+            assert all(a < b for a, b in cut) and all(x[1] == y[0] for x, y in zip(cut, cut[1:], strict=False))
+    with pytest.raises(ValueError, match="share"):
+        decontaminate.Index([(1, "a b c")], 1.0)
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 def slow_fingerprint(text):
