@@ -3,7 +3,8 @@
 Both are interpolated bigram models over one shared vocabulary, every word of the
 corpus. The background is counted over all documents, the target over the documents of
 the target set; all words and bigrams are counted exactly, so the tables grow with the
-corpus. Documents are dealt to chunks of bounded size. A chunk sends each of its distinct
+corpus. Documents are dealt to chunks of about one size: by id and text hash, or by
+row where an id (or a text without id) holds much of a chunk. A chunk sends each of its distinct
 n-grams once, with its counts, to the block that the n-gram's hash falls in; the block
 adds the counts of all chunks and answers each chunk in the order of its message. No
 table is ever in one place, and a frequent n-gram costs a chunk as much as a rare one.
@@ -22,8 +23,8 @@ from docgauge.llm.common import by_position, saved
 
 #: Bytes of text of a chunk; there are as many blocks of n-grams as chunks, so both are bounded.
 CHUNK_BYTES = 16 << 20
-#: Chunks that the rows of one id are spread over.
-SALTS = 8
+#: Chunks that the rows of one id are spread over; an id with more than a part of a chunk gets a chunk for each such part.
+SALTS, PARTS = 8, 4
 #: Weight of the bigram model; the rest goes to the smoothed unigram model.
 BIGRAM = 0.7
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -180,6 +181,36 @@ def _scores(words: int, tokens: int, target_tokens: int):
     return run
 
 
+def _dealt(df: DataFrame, target_ids: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with their chunks, the target ids at each chunk that may hold them, and the number of chunks."""
+    kind, text_hash = df.schema["doc_id"].dataType, F.xxhash64("text")
+    df = df.withColumn("key", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), text_hash)))
+    held = saved(df.groupBy("key").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")))
+    chunks = held.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // chunk_bytes + 1
+    part = max(1, chunk_bytes // PARTS)
+    hot = held.where(F.col("bytes") > part).select("key", F.least(F.lit(chunks), F.ceil(F.col("bytes") / part)).cast("long").alias("places"))
+    some = chunks > 1 and not hot.isEmpty()
+
+    # an id's rows are spread by their text, rows without id all over, and target ids go to each place
+    chunk_of = lambda id_, salt: F.pmod(F.xxhash64(id_, salt), F.lit(chunks)).cast("int")
+    # a key with many bytes has its rows spread over neighbouring chunks, whatever their text
+    next_of = lambda salt: F.pmod(F.pmod(F.col("key"), F.lit(chunks)) + salt, F.lit(chunks)).cast("int")
+    salt = F.when(F.col("doc_id").isNull(), text_hash).otherwise(F.pmod(text_hash, F.lit(SALTS)))
+    chunk, salts = chunk_of(F.col("doc_id"), salt), F.array(*[F.lit(k).cast("long") for k in range(SALTS)])
+    chosen = target_ids.select(F.col("doc_id").cast(kind).alias("t_id")).where("t_id is not null").withColumn("key", F.xxhash64("t_id"))
+    place = chunk_of(F.col("t_id"), F.col("salt"))
+    if some:
+        # PARTS keys a chunk at most, so they can go to all tasks
+        df = df.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot), "key", "left")
+        chosen = chosen.join(F.broadcast(hot), "key", "left")
+        chunk = F.when(F.col("places").isNull(), chunk).otherwise(next_of(F.pmod(F.xxhash64("row"), F.col("places"))))
+        place = F.when(F.col("places").isNull(), place).otherwise(next_of(F.col("salt")))
+        salts = F.when(F.col("places").isNull(), salts).otherwise(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))
+    rows = df.select("doc_id", "text", chunk.alias("chunk")).mapInArrow(_text_packed, f"doc_id {kind.simpleString()}, text binary, chunk int")
+    # rows are read twice, and a row's number may differ when it is computed again
+    return saved(rows) if some else rows, chosen.withColumn("salt", F.explode(salts)).select("t_id", place.alias("chunk")), chunks
+
+
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of each row.
 
@@ -192,17 +223,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     df, at = by_position(docs)
     df = df.select(F.col(at[id_col]).alias("doc_id"), F.coalesce(F.col(at[text_col]).cast("string"), F.lit("")).alias("text"))
     kind = df.schema["doc_id"].dataType
-    size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = size // chunk_bytes + 1
-
-    # an id's rows are spread by their text, rows without id all over, and target ids go to each place
-    chunk_of = lambda id_, salt: F.pmod(F.xxhash64(id_, salt), F.lit(chunks)).cast("int")
-    text_hash = F.xxhash64("text")
-    salt = F.when(F.col("doc_id").isNull(), text_hash).otherwise(F.pmod(text_hash, F.lit(SALTS)))
-    rows = df.withColumn("chunk", chunk_of(F.col("doc_id"), salt)).mapInArrow(_text_packed, f"doc_id {kind.simpleString()}, text binary, chunk int")
-    salts = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))
-    chosen = target_ids.select(F.col("doc_id").cast(kind).alias("t_id")).where("t_id is not null").withColumn("salt", salts)
-    chosen = chosen.select("t_id", chunk_of(F.col("t_id"), F.col("salt")).alias("chunk"))
+    rows, chosen, chunks = _dealt(df, target_ids, chunk_bytes)
 
     messages = rows.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(_messages(chunks), _MESSAGE)
     answers = saved(messages.groupBy("block").applyInArrow(_add, _ANSWER))

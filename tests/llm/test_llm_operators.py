@@ -274,6 +274,25 @@ def test_classifier_on_the_held_out_fold(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_rows_of_one_id_fill_no_chunk(spark):
+    same, other = "the very same text of one id " * 4, "a text without any id " * 5
+    rows = [(1, same)] * 600 + [(None, other)] * 600 + [(2, f"text {k} of another id with many rows") for k in range(2000)]
+    rows += [(10 + k, f"document number {k} stands alone") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    target = spark.createDataFrame([(1,), (2,), (15,)], "doc_id long")
+    size, chunk_bytes = sum(len(t) for _, t in rows), 20_000
+    dealt, chosen, chunks = lm_scoring._dealt(df, target, chunk_bytes)
+    counted = Counter()
+    for doc, chunk in ((r.doc_id, r.chunk) for r in dealt.collect()):
+        counted[chunk] += {1: len(same), None: len(other), 2: 40}.get(doc, 35)
+    assert chunks == size // chunk_bytes + 1 and max(counted.values()) <= 2 * chunk_bytes
+    places = {tuple(r) for r in chosen.collect()}
+    assert {(r.doc_id, r.chunk) for r in dealt.collect() if r.doc_id in (1, 2, 15)} <= places
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9))
+    one, many = (sorted(map(key, lm_scoring.score(df, target, chunk_bytes=n).collect())) for n in (1 << 24, chunk_bytes))
+    assert one == many and len(one) == len(rows)
+
+
 # ---------------------------------------------------------------- decontamination
 
 def test_edit_distance_matches_a_plain_table():
