@@ -88,7 +88,21 @@ FROM q
 """
 
 
+#: Base32 of a SHA-1 in hexadecimal: five hexadecimal digits are four letters.
+_BASE32 = """array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1)), '')"""
+
+_OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_lm_scoring, op4_sharding, op5_warc, op6_bpe, op7_quality_model,
     op8_decontamination, op9_simhash, op10_pii)}
-ORACLES = {"op1_quality_rules": _op1_sql()}
+ORACLES = {"op1_quality_rules": _op1_sql(), "op5_warc": _OP5_SQL}

@@ -4,10 +4,11 @@ Bits of a fingerprint get vectors of {0,1}^(r+1); for each nonzero vector v a ma
 keeps the bits whose vector has an odd product with v. For any r differing bits some
 v is orthogonal to all of them, so every pair within radius r agrees under some mask:
 2^(r+1) - 1 tables find every link, none is missed. Only distinct fingerprints are
-tabled, so copies never meet in a bucket; a bucket that is still large is covered anew
-over the bits that its mask leaves free, which halves them each time until a bucket is
-small. Links of a bucket are thinned to a spanning forest of it (components are the
-same), and components are found by alternating star steps on the cluster.
+tabled, so copies never meet in a bucket. A bucket that is still large is covered once
+more, over the bits that its mask leaves free; two coverings leave 16 bits free at most,
+so no finer bucket holds over 65,536 fingerprints and each is linked in one place. Links
+of a bucket are thinned to a spanning forest of it (components are the same), and
+components are found by alternating star steps on the cluster.
 """
 
 from collections.abc import Iterator
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from docgauge.llm.common import back, by_position, saved
 
 BITS, RADIUS, SEED, SHINGLE = 64, 4, 42, 4
-#: Fingerprints of a bucket that are compared in one place; larger ones are covered again.
+#: Fingerprints of a bucket of the first covering that are compared in one place; larger ones are covered again.
 BUCKET = 2048
-#: Distinct fingerprints that agree in all but the bits left free by the third covering, at most.
+#: Buckets of so many are never covered again, whatever the caller asks.
 SMALLEST = 128
+#: Radius up to which two coverings of 64 bits leave 16 bits free at most.
+MOST_RADIUS = 4
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -77,64 +80,95 @@ def signed(x: int) -> int:
 
 
 def forest(members: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links that span the components of the members under distance <= radius."""
-    members = np.unique(members).view(np.uint64)
-    left = np.ones(len(members), bool)
-    for root in range(len(members)):
-        stack = [root] if left[root] else []
-        left[root] = False
-        while stack:
+    """Links that span the components of the members under distance <= radius.
+
+    A member is compared with those that no link has reached yet, so close groups,
+    which are soon reached, cost little.
+    """
+    left = np.unique(members).view(np.uint64)
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
             at = stack.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(members ^ members[at]) <= radius))
-            left[near] = False
-            stack += near.tolist()
-            for k in near:
-                yield int(members[at].view(np.int64)), int(members[k].view(np.int64))
+            near = np.bitwise_count(left ^ at) <= radius
+            reached, left = left[near], left[~near]
+            stack += list(reached)
+            for k in reached.view(np.int64).tolist():
+                yield int(at.view(np.int64)), k
+
+
+def finer_masks(masks: list[int], radius: int) -> list[int]:
+    """For each mask of the first covering those of a second one over the bits that it leaves free."""
+    return [shared | m for shared in masks for m in covering_masks([b for b in range(BITS) if not shared >> b & 1], radius)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that connect all that are within radius."""
+    """Links (a, b) between distinct fingerprints ``fp`` that connect all that are within radius (0 to 4).
+
+    Two levels at most: buckets of the first covering, and for those over ``bucket``
+    the buckets of the second one, which are small by construction.
+    """
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"radius must be from 0 to {MOST_RADIUS}")
     bucket = max(bucket, SMALLEST)
-    masks = {0: 0}  # table -> bits that its buckets share
-    rows, found, level = distinct.select("fp", F.lit(0).alias("table")), None, 0
-    while True:
-        finer = {}
-        for table, shared in masks.items():
-            free = [b for b in range(BITS) if not shared >> b & 1]
-            for k, mask in enumerate(covering_masks(free, radius)):
-                finer[table * ((2 << radius) - 1) + k] = shared | mask
-        masks = finer
-        if level == 0:
-            tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in masks.items()])
-            rows = rows.select("fp", F.explode(tables).alias("x")).select("fp", "x.table", "x.key")
-        else:
-            rows = _finer(rows, masks, (2 << radius) - 1)
-        counts = saved(rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-        some = counts.where(F.col("n") == 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-        small = rows.join(counts.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("table", "key"), ["table", "key"])
-        more = small.groupBy("table", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_spanning(radius), "a long, b long")
-        some = saved(some.union(more).distinct())
-        found = some if found is None else found.union(some)
-        hot = counts.where(F.col("n") > bucket).select("table", "key")
-        if not hot.take(1):
-            return found.distinct()
-        rows, level = saved(rows.join(hot, ["table", "key"]).select("fp", "table")), level + 1
+    masks = covering_masks(list(range(BITS)), radius)
+    tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
+    rows = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.table", "x.key")
+    counts = _counted(rows)
+    small = rows.join(counts.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("table", "key"), ["table", "key"])
+    more = small.groupBy("table", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_spanning(radius), PAIR)
+    found = _pairs(counts, radius).union(more)
+    hot = counts.where(F.col("n") > bucket).select("table", "key")
+    if hot.take(1):
+        finer = _finer(rows.join(hot, ["table", "key"]).select("fp", "table"), finer_masks(masks, radius), len(masks))
+        rows = saved(finer)
+        counts = _counted(rows)
+        large = rows.join(counts.where("n > 2").select("table", "key"), ["table", "key"])
+        # one bucket at a time in memory, 65,536 rows at most
+        found = found.union(_pairs(counts, radius)).union(large.groupBy("table", "key").applyInArrow(_spanning_one(radius), PAIR))
+    return saved(found.distinct())
+
+
+PAIR = "a long, b long"
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Buckets of several fingerprints with their size and the least and greatest of them."""
+    return saved(rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+
+
+def _pairs(counts: DataFrame, radius: int) -> DataFrame:
+    """The links of buckets of two, which need no comparison in a task."""
+    return counts.where(F.col("n") == 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+
+
+def _as_batch(pairs):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _spanning(radius):
     def run(batches):
+        for batch in batches:
+            yield _as_batch([p for x in batch.column("fps") for p in forest(x.values.to_numpy(zero_copy_only=False), radius)])
+
+    return run
+
+
+def _spanning_one(radius):
+    def run(bucket):
         import pyarrow as pa
 
-        for batch in batches:
-            pairs = [p for x in batch.column("fps") for p in forest(x.values.to_numpy(zero_copy_only=False), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        members = bucket.column("fp").to_numpy()
+        return pa.Table.from_batches([_as_batch(list(forest(members, radius)))])
 
     return run
 
 
-def _finer(rows: DataFrame, masks: dict[int, int], times: int) -> DataFrame:
+def _finer(rows: DataFrame, masks: list[int], times: int) -> DataFrame:
     """Each row under the finer masks of its table."""
-    all_masks = np.array([signed(masks[t]) for t in range(len(masks))], dtype=np.int64)
+    all_masks = np.array([signed(m) for m in masks], dtype=np.int64)
 
     def run(batches):
         import pyarrow as pa

@@ -210,7 +210,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """Every record of the files that the index names, read back frame by frame."""
+    """Every record of the files that the index names, read back frame by frame.
+
+    A file is a task's work: the few paths are ranged into as many partitions as there
+    are files, which adaptive execution leaves alone.
+    """
     kind = index.schema["page_id"].dataType.simpleString()
 
     def run(batches):
@@ -226,6 +230,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                         pa.array([x["refers_to"] for x in found], pa.string())],
                         ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    paths = index.select("path").distinct().repartition("path")
+    paths = saved(index.select("path").distinct())
+    paths = paths.repartitionByRange(max(1, paths.count()), "path")
     out = paths.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))

@@ -251,6 +251,23 @@ def test_archives(spark):
         assert one["payload"] is None or one["payload"].decode() == (pages[r["page_id"]][2] or "")
 
 
+def test_archives_of_repeated_rows_and_one_hot_payload(spark):
+    """A third of the rows hold one payload; the row with the largest page_id occurs twice, ids may be null."""
+    rows = [(k, "u", "hot" if k % 3 == 0 else f"page {k}") for k in range(900)] + [(897, "u", "hot"), (None, "u", "hot"), (None, "u", "alone")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small rows would be put into one task and one file
+    try:
+        index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = warc.read_archives(index)
+    files = index.select("path").distinct().count()
+    assert read.rdd.getNumPartitions() == files > 1
+    assert max(read.rdd.glom().map(lambda rows: len(rows)).collect()) < len(rows)
+    found = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in read.collect())
+    expected = Counter((k, "response" if html != "hot" or k == 897 else "revisit", None if html != "hot" or k == 897 else 897) for k, _, html in rows)
+    assert found == expected
+
+
 def test_frames_are_independent(tmp_path):
     path = tmp_path / "x.zst"
     bundle = warc.Bundle(path.open("wb"), frame_bytes=500)
@@ -430,6 +447,40 @@ def test_dense_group_reaches_finer_tables(spark):
     assert len(groups) == len({g for g, _ in groups}) == len({r for _, r in groups})
 
 
+def test_two_coverings_leave_sixteen_bits():
+    for radius in range(simhash.MOST_RADIUS + 1):
+        masks = simhash.finer_masks(simhash.covering_masks(list(range(64)), radius), radius)
+        assert min(m.bit_count() for m in masks) >= 48
+        assert len(masks) == ((2 << radius) - 1) ** 2
+
+
+@pytest.mark.parametrize("bits", [13, 15])
+def test_thousands_of_fingerprints_over_few_bits(spark, bits):
+    """A family inside one bucket of the first covering, over its first free bits, and the same spread by a wide code."""
+    rng = random.Random(bits)
+    first = simhash.covering_masks(list(range(64)), 4)[3]
+    free = [b for b in range(64) if not first >> b & 1][:bits]
+    spread = lambda x: sum(1 << free[k] for k in range(bits) if x >> k & 1)
+    dense = [spread(x) for x in rng.sample(range(1 << bits), 5000)]
+    # five other bits set keep these words from the family; they lie three or five bits from each other
+    away = sum(1 << b for b in [b for b in range(64) if b not in free][:5])
+    far = [away | spread(sum(0b11111 << 5 * k for k in range(3) if c >> k & 1) & (1 << bits) - 1) for c in range(8)]
+    fps = sorted({*dense, *far})
+    edges = simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long"))
+    root = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    values = np.array(fps, dtype=np.uint64)
+    label = np.full(len(fps), -1)
+    for start in range(len(fps)):
+        if label[start] < 0:
+            label[start], stack = start, [start]
+            while stack:
+                near = np.flatnonzero((label < 0) & (np.bitwise_count(values ^ values[stack.pop()]) <= 4))
+                label[near] = start
+                stack += near.tolist()
+    groups = {(int(g), root.get(simhash.signed(f), simhash.signed(f))) for g, f in zip(label, fps, strict=True)}
+    assert len(groups) == len({g for g, _ in groups}) == len({r for _, r in groups}) > 1
+
+
 # ---------------------------------------------------------------- personal data
 
 def slow_base(text):
