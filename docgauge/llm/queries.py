@@ -1,6 +1,9 @@
 """The queries of the operators, with their SQL where SQL can say it."""
 
-from docgauge.llm import bpe, decontaminate, lm_scoring, pii, quality_model, quality_rules, sharding, simhash, token_counts, warc
+from docgauge.llm import (
+    bpe, decontaminate, filter_audit, html_text, importance, lm_scoring, pii, quality_model, quality_rules, sharding,
+    simhash, token_counts, warc,
+)
 from docgauge.llm.common import table
 
 
@@ -53,6 +56,19 @@ def op10_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark, sf_dir):
+    """Target: the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op1_sql() -> str:
     ws = r"[\x20\x09-\x0D]"
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.stop_forms())
@@ -102,7 +118,34 @@ FROM d
 """
 
 
+_OP13_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(lab.toxic, false) AS toxic,
+        {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+         'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+         'D': regexp_matches(t, '[#$%&*|]'), 'E': w.doc_id > min(w.doc_id) OVER (PARTITION BY t)} AS x
+      FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+fails AS (SELECT part, good, toxic, CASE WHEN x.A THEN 'A' ELSE '' END || CASE WHEN x.B THEN 'B' ELSE '' END || CASE WHEN x.C THEN 'C' ELSE '' END
+        || CASE WHEN x.D THEN 'D' ELSE '' END || CASE WHEN coalesce(x.E, false) THEN 'E' ELSE '' END AS failed, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+        JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+steps AS (SELECT o, k, substr(o, k, 1) AS own, substr(o, 1, k - 1) AS earlier FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS k)),
+judged AS (SELECT part, good, toxic, n, failed, o, k, own, contains(failed, own) AS bad,
+        earlier <> '' AND regexp_matches(failed, '[' || earlier || 'Z]') AS gone FROM fails, steps),
+r AS (SELECT part, o AS filter_order, k AS step, own, sum(CASE WHEN NOT bad AND NOT gone THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN bad AND NOT gone AND good THEN n ELSE 0 END) AS good_lost,
+        sum(CASE WHEN bad AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_lm_scoring, op4_sharding, op5_warc, op6_bpe, op7_quality_model,
-    op8_decontamination, op9_simhash, op10_pii)}
-ORACLES = {"op1_quality_rules": _op1_sql(), "op5_warc": _OP5_SQL}
+    op8_decontamination, op9_simhash, op10_pii, op11_importance, op12_html_text, op13_filter_audit)}
+ORACLES = {"op1_quality_rules": _op1_sql(), "op5_warc": _OP5_SQL, "op13_filter_audit": _OP13_SQL}
