@@ -1,9 +1,9 @@
 """JSON metrics: schema compliance, types, cross-field logic, drift.
 
 Document grain: the payload is one VARIANT per row and every metric is a
-column expression. Nested payloads are walked one level per projection inside
-the row (the containers of level k give the containers of level k+1), so no row
-is multiplied and nothing is shuffled. Record grain (``profile_records``): the
+column expression. Payloads nested to any depth are read token by token in one
+fold inside the row (``functions.json_fold``), so no row is multiplied, nothing is
+shuffled and the plan does not depend on the data. Record grain (``profile_records``): the
 records are table rows; they are first reduced to their distinct shapes per
 group, which keeps a group holding a large share of the rows cheap.
 """
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgauge import rules
+from docgauge.functions import json_fold as J
 from docgauge.functions import values as V
 from docgauge.functions.scoring import clamp_score, finding, metric, share, status_of
-from docgauge.functions.text import bind, flag, non_blank, total
+from docgauge.functions.text import bind, flag, non_blank
 
 EMPTY_VARIANTS = "array<variant>"
 
@@ -107,93 +108,21 @@ def schema_compliance(payload: Column) -> Column:
     return metric("json", "Schema Compliance", F.when(payload.isNull(), _missing_payload()).otherwise(raw))
 
 
-# The walks are written as SQL text over the frontier column ``f`` of one level.
-SQL_TYPE = """CASE
-    WHEN schema_of_variant({v}) IS NULL OR schema_of_variant({v}) = 'VOID' THEN 'NoneType'
-    WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'bool'
-    WHEN schema_of_variant({v}) = 'STRING' THEN 'str'
-    WHEN schema_of_variant({v}) = 'BIGINT' OR schema_of_variant({v}) IN ('DECIMAL(19,0)', 'DECIMAL(20,0)') THEN 'int'
-    WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN 'dict'
-    WHEN startswith(schema_of_variant({v}), 'ARRAY') THEN 'list'
-    ELSE 'float' END"""
-ZERO = "named_struct('done', 0, 'passed', 0D)"
+def with_type_checks(df: DataFrame, payload: str, text: str | None = None) -> DataFrame:
+    """Add ``type_checks`` (struct<done, passed, issues>) of the VARIANT column ``payload``; NULL without one.
 
-
-def _sql(template: str, v: str) -> str:
-    return template.format(v=v)
-
-
-# A container as its entries or its elements; asking for both tells the kind
-# without walking the whole value.
-OPENED = "named_struct('m', try_variant_get({v}, '$', 'map<string,variant>'), 'a', try_variant_get({v}, '$', 'array<variant>'))"
-
-# checks and credit of the containers ``f`` of one level
-LEVEL_COUNTS = f"""aggregate(
-  transform(f, c -> CASE
-    WHEN c.m IS NOT NULL THEN named_struct(
-      'done', size(c.m),
-      'passed', aggregate(map_values(c.m), 0D, (a, v) -> a + CASE
-        WHEN schema_of_variant(v) = 'STRING'
-         AND (trim(cast(v AS string)) RLIKE r'^-?\\d+\\.?\\d*$' OR lower(trim(cast(v AS string))) IN ('true', 'false'))
-        THEN 0.5D ELSE 1D END))
-    WHEN size(c.a) > 1 THEN named_struct(
-      'done', 1,
-      'passed', CASE WHEN size(array_distinct(transform(c.a, v -> {_sql(SQL_TYPE, "v")}))) <= 1 THEN 1D ELSE 0.5D END)
-    ELSE {ZERO} END),
-  {ZERO}, (a, c) -> named_struct('done', a.done + c.done, 'passed', a.passed + c.passed))"""
-
-# containers directly inside the containers ``f``; a list of one is not looked into
-NEXT_LEVEL = f"""filter(
-  transform(
-    flatten(transform(f, c -> CASE WHEN c.m IS NOT NULL THEN map_values(c.m) WHEN size(c.a) > 1 THEN c.a
-      ELSE cast(array() AS array<variant>) END)),
-    v -> {_sql(OPENED, "v")}),
-  c -> c.m IS NOT NULL OR c.a IS NOT NULL)"""
-
-
-def nesting(text: Column) -> Column:
-    """Brackets open at once at most in a JSON text, strings left out."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(acc: Column, c: Column) -> Column:
-        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
-
-    return F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["most"])
-
-
-def depth_of(df: DataFrame, text: Column) -> int:
-    """Levels of the deepest JSON text of df (null texts have none): one scalar from one pass."""
-    return df.where(text.isNotNull()).agg(F.max(nesting(text))).first()[0] or 0
-
-
-def _walked(value: Column) -> Column:
-    """The value, or an error where the walk has left containers in the frontier ``f``."""
-    return F.when(F.size("f") > 0, F.raise_error(F.lit("JSON nested deeper than the levels walked"))).otherwise(value)
-
-
-def with_type_checks(df: DataFrame, payload: str, max_depth: int | None = None) -> DataFrame:
-    """Add ``type_checks`` (struct<done, passed>) of the VARIANT column ``payload``.
-
-    Every object entry is one check; a number or boolean kept as text counts
-    half. A list of several elements is one check, half for mixed types. The number
-    of levels is that of the data unless the caller knows it; too few are an error.
+    The rules are those of ``json_fold.type_checks``. ``text`` names the column that the
+    payload was parsed from; without it the payload is spelled out again.
     """
-    max_depth = depth_of(df, F.expr(f"cast(`{payload}` AS string)")) if max_depth is None else max_depth
-    out = df.withColumn("f", F.expr(
-        f"filter(array({_sql(OPENED, f'`{payload}`')}), c -> c.m IS NOT NULL OR c.a IS NOT NULL)"))
-    levels = [f"_level{k}" for k in range(max(1, max_depth))]
-    for level in levels:
-        out = out.withColumns({level: F.expr(LEVEL_COUNTS), "f": F.expr(NEXT_LEVEL)})
-    checks = F.struct(*[
-        total(F.col(f"{level}.{part}") for level in levels).alias(part) for part in ("done", "passed")
-    ])
-    return out.withColumn("type_checks", _walked(F.when(F.col(payload).isNotNull(), checks))).drop("f", *levels)
+    spelled = F.col(text) if text else F.col(payload).cast("string")
+    marked = df.withColumn("_tokens", F.when(F.col(payload).isNotNull(), J.tokens(spelled)))
+    sized = marked.withColumn("_sizes", F.when(F.col("_tokens").isNotNull(), J.list_sizes("_tokens")))
+    checks = F.when(F.col("_tokens").isNotNull(), J.type_checks("_tokens", "_sizes"))
+    return sized.withColumn("type_checks", checks).drop("_tokens", "_sizes")
 
 
 def type_validation(payload: Column, checks: Column) -> Column:
-    """Share of entries whose type fits, from the counts of ``with_type_checks``."""
+    """Share of entries whose type fits, from ``with_type_checks``; the text shows three issues, ``type_checks.issues`` has all."""
     raw = bind(
         checks,
         lambda c: finding(
@@ -201,7 +130,8 @@ def type_validation(payload: Column, checks: Column) -> Column:
             F.when(c["done"] == 0, "No type issues detected").otherwise(
                 F.concat(
                     F.lit("Validated "), c["done"].cast("string"), F.lit(" fields."),
-                    F.when(c["passed"] == c["done"], " All types correct.").otherwise(""),
+                    F.when(F.size(c["issues"]) == 0, " All types correct.").otherwise(
+                        F.concat(F.lit(" Issues: "), F.array_join(F.slice(c["issues"], 1, 3), "; "))),
                 )
             ),
         ),
@@ -340,47 +270,15 @@ def metrics(payload: Column, checks: Column) -> Column:
 
 # ---------------------------------------------------------------- flattening
 
-# A node is struct<prefix, path, text, value, m, a>; m and a as in OPENED.
-NODE_OF = """named_struct('prefix', {prefix}, 'path', {path}, 'text', {text}, 'value', {value},
-  'm', try_variant_get({value}, '$', 'map<string,variant>'), 'a', try_variant_get({value}, '$', 'array<variant>'))"""
-_CHILD = NODE_OF.format(prefix="concat(n.prefix, k, ': ')", path="concat(n.path, array(i))", text="b[k]", value="n.m[k]")
-_ELEMENT = NODE_OF.format(prefix="concat(n.prefix, '[', cast(i AS string), '] ')", path="concat(n.path, array(i))",
-                          text="get(b, i)", value="v")
-CHILDREN = f"""CASE WHEN n.m IS NOT NULL THEN
-    get(transform(array(from_json(n.text, 'map<string,string>')), b -> transform(json_object_keys(n.text), (k, i) -> {_CHILD})), 0)
-  ELSE
-    get(transform(array(from_json(n.text, 'array<string>')), b -> transform(n.a, (v, i) -> {_ELEMENT})), 0)
-  END"""
-CONTAINER = "(n.m IS NOT NULL OR n.a IS NOT NULL)"
-LEAF_TEXT = """CASE WHEN schema_of_variant(n.value) IS NULL OR schema_of_variant(n.value) = 'VOID' THEN 'None'
-  WHEN schema_of_variant(n.value) = 'BOOLEAN' THEN initcap(cast(n.value AS string))
-  WHEN schema_of_variant(n.value) = 'STRING' THEN cast(n.value AS string)
-  ELSE coalesce(trim(n.text), cast(n.value AS string)) END"""
-# leaves of the frontier, and empty containers, which give an empty line
-LINES = f"""concat(
-  transform(filter(f, n -> NOT {CONTAINER}), n -> named_struct('path', n.path, 'line', concat(n.prefix, {LEAF_TEXT}))),
-  transform(filter(f, n -> {CONTAINER} AND coalesce(size(n.m), size(n.a)) = 0), n -> named_struct('path', n.path, 'line', '')))"""
-INNER = f"flatten(transform(filter(f, n -> {CONTAINER}), n -> {CHILDREN}))"
-
-
-def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None, max_depth: int | None = None) -> DataFrame:
+def with_flat_text(df: DataFrame, raw: str, out: str, when: Column | None = None) -> DataFrame:
     """Add ``out``: one ``path: value`` line per leaf, in source order; NULL for bad JSON.
 
-    ``raw`` names a JSON text column; rows outside ``when`` are not parsed. The
-    text is carried beside the parsed value because only the text keeps the key
-    order of the source. A ``max_depth`` of too few levels is an error.
+    ``raw`` names a JSON text column; rows outside ``when`` are not parsed. The text is
+    folded itself, because only the text keeps the key order and number spelling of the source.
     """
     text = F.col(raw) if when is None else F.when(when, F.col(raw))
-    max_depth = depth_of(df, text) if max_depth is None else max_depth
-    top = NODE_OF.format(prefix="''", path="cast(array() AS array<int>)", text=f"`{raw}`", value="_value")
-    nodes = df.withColumn("_value", F.try_parse_json(text)).withColumn(
-        "f", F.expr(f"CASE WHEN _value IS NOT NULL THEN array({top}) END"))
-    levels = [f"_level{k}" for k in range(max_depth + 1)]
-    for level in levels:
-        nodes = nodes.withColumns({level: F.expr(LINES), "f": F.expr(INNER)})
-    lines = F.array_sort(F.concat(*levels))
-    joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return nodes.withColumn(out, _walked(F.when(F.col("_value").isNotNull(), joined))).drop("f", "_value", *levels)
+    valid = df.withColumn("_tokens", F.when(F.try_parse_json(text).isNotNull(), J.tokens(F.col(raw))))
+    return valid.withColumn(out, F.when(F.col("_tokens").isNotNull(), J.flat_text("_tokens"))).drop("_tokens")
 
 
 # ---------------------------------------------------------------- record grain

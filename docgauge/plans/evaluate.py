@@ -55,7 +55,7 @@ def prepare(documents: DataFrame) -> DataFrame:
     routed = typed.withColumn("family", classify.metric_family(F.col("ext"), F.col("document_type"))).withColumn(
         "payload", F.when(F.col("ext") == ".json", F.try_parse_json("raw"))
     )
-    return records.with_type_checks(routed, "payload")
+    return records.with_type_checks(routed, "payload", "raw")
 
 
 def type_metrics(binding: str = "raw", detect_language: bool = True, families=None) -> Column:

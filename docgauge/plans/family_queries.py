@@ -189,15 +189,35 @@ def json_schema_compliance(spark, sf_dir):
     return shown(_json_docs(spark, sf_dir, I.EVENT_JSON), ["event_id"], records.schema_compliance(F.col("payload")))
 
 
-@query("json_type_validation", scored("event_id", "passed / CAST(done AS DOUBLE) * 100", """(
-  SELECT event_id, 1 + a + b + c AS done, 0.5 * CAST(event_id % 5 = 2 AS INT) + 1.0 * CAST(event_id % 5 <> 2 AS INT)
+_TAG_TYPES = "CASE event_id % 3 WHEN 1 THEN 'int, str' WHEN 2 THEN 'int, list' END"
+
+
+def _tags_issue(record: int) -> str:
+    return f"'''[{record}].tags'': mixed types in array (' || {_TAG_TYPES} || ')'"
+
+
+def _text_issue(path: str) -> str:
+    return f"'''{path}'': numeric value stored as string (''' || CAST(value AS VARCHAR) || ''')'"
+
+
+_TYPE_ISSUES = f"""list_filter([{_tags_issue(0)}, CASE WHEN event_id % 5 = 0 THEN {_text_issue('[1].value')} END,
+      CASE WHEN event_id % 5 NOT IN (1, 2) THEN {_tags_issue(1)} END, {_tags_issue(2)}, CASE WHEN event_id % 7 = 0 THEN {_text_issue('[2].note')} END,
+      CASE WHEN event_id % 5 = 2 THEN ''''': mixed types in array (NoneType, dict)' END], lambda x: x IS NOT NULL)"""
+
+
+@query("json_type_validation", f"""
+SELECT event_id, {sql_score('raw_score')} AS score, {sql_status('raw_score')} AS status, array_to_string(issues, chr(10)) AS issues,
+  'Validated ' || done || ' fields.' || CASE WHEN len(issues) = 0 THEN ' All types correct.' ELSE ' Issues: ' || array_to_string(issues[1:3], '; ') END AS details
+FROM (SELECT *, passed / CAST(done AS DOUBLE) * 100 AS raw_score FROM (
+  SELECT event_id, {_TYPE_ISSUES} AS issues, 1 + a + b + c AS done, 0.5 * CAST(event_id % 5 = 2 AS INT) + 1.0 * CAST(event_id % 5 <> 2 AS INT)
       + a - tag_loss + b - CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END - CASE WHEN event_id % 5 IN (1, 2) THEN 0 ELSE tag_loss END
       + c - tag_loss - CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 0 END AS passed
-  FROM (SELECT event_id, 7 AS a, CASE event_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 7 END AS b, CASE WHEN event_id % 7 = 0 THEN 8 ELSE 7 END AS c,
-    CASE WHEN event_id % 3 = 0 THEN 0 ELSE 0.5 END AS tag_loss FROM events))"""))
+  FROM (SELECT event_id, value, 7 AS a, CASE event_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 7 END AS b, CASE WHEN event_id % 7 = 0 THEN 8 ELSE 7 END AS c,
+    CASE WHEN event_id % 3 = 0 THEN 0 ELSE 0.5 END AS tag_loss FROM events)))""")
 def json_type_validation(spark, sf_dir):
-    docs = records.with_type_checks(_json_docs(spark, sf_dir, I.EVENT_JSON), "payload")
-    return shown(docs, ["event_id"], records.type_validation(F.col("payload"), F.col("type_checks")))
+    docs = records.with_type_checks(_json_docs(spark, sf_dir, I.EVENT_JSON), "payload", "raw")
+    docs = docs.withColumn("issues", F.array_join("type_checks.issues", "\n"))
+    return shown(docs, ["event_id", "issues"], records.type_validation(F.col("payload"), F.col("type_checks")), details=True)
 
 
 _PART = "json_extract_string(raw, '$.{}')"

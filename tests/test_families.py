@@ -1,8 +1,13 @@
 """Type-specific metrics on small documents with planted defects."""
 
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from docgauge.functions import json_fold as J
 from docgauge.functions import text as X
 from docgauge.functions import values as V
 from docgauge.operators import contract, general, mail, markup, records, social, tabular
@@ -114,7 +119,6 @@ def test_flat_json_keeps_source_order(spark):
 def test_deep_json_stands_beside_flat_json(spark):
     deep = '{"a":' * 15 + '{"b":"1","c":[1,"]"]}' + "}" * 15
     df = spark.createDataFrame([(deep,), ('{"a": 1}',), ("{bad",)], "raw string").withColumn("v", F.try_parse_json("raw"))
-    assert records.depth_of(df, F.col("raw")) == 17
     checks = [r[0] for r in records.with_type_checks(df, "v").select("type_checks").collect()]
     assert [c and (c["done"], c["passed"]) for c in checks] == [(18, 17.0), (1, 1.0), None]
     flat = [r.flat for r in records.with_flat_text(df, "raw", "flat").select("flat").collect()]
@@ -125,18 +129,92 @@ def test_escaped_strings_do_not_hide_levels(spark):
     for start in (r'"t":"a\nb"', r'"p":"C:\\"', r'"q":"\"{["', r'"u":"\u00e9\t"', '"s":"' + r"\\\"x" * 9000 + '"'):
         raw = "{" + start + ',"a":{"b":{"c":{"d":{"e":"1"}}}}}'
         df = spark.createDataFrame([(raw,)], "raw string").withColumn("v", F.try_parse_json("raw"))
-        assert records.depth_of(df, F.col("raw")) == 5
-        assert tuple(records.with_type_checks(df, "v").first().type_checks) == (6, 5.5)
+        for text in (None, "raw"):
+            assert tuple(records.with_type_checks(df, "v", text).first().type_checks) == (
+                6, 5.5, ["'a.b.c.d.e': numeric value stored as string ('1')"])
         flat = records.with_flat_text(df, "raw", "flat").first().flat
         assert flat.endswith("\na: b: c: d: e: 1")
 
 
-def test_levels_left_over_are_an_error(spark):
-    df = spark.createDataFrame([('{"a":{"b":{"c":1}}}',)], "raw string").withColumn("v", F.try_parse_json("raw"))
-    for walk in (lambda n: records.with_type_checks(df, "v", n), lambda n: records.with_flat_text(df, "raw", "flat", max_depth=n)):
-        assert walk(3).collect()
-        with pytest.raises(Exception, match="deeper"):
-            walk(1).collect()
+def slow_checks(value, path="", issues=None):
+    """The rules by plain recursion: checks, credit and issues."""
+    done, passed, issues = 0, 0.0, [] if issues is None else issues
+    if isinstance(value, dict):
+        for key, x in value.items():
+            at, done, credit = f"{path}.{key}" if path else key, done + 1, 1.0
+            if isinstance(x, (dict, list)):
+                d, p = slow_checks(x, at, issues)
+                done, passed = done + d, passed + p
+            elif isinstance(x, str) and re.fullmatch(r"-?\d+\.?\d*", x.strip()):
+                credit = 0.5
+                issues.append(f"'{at}': numeric value stored as string ('{x.strip()}')")
+            elif isinstance(x, str) and x.strip().lower() in ("true", "false"):
+                credit = 0.5
+                issues.append(f"'{at}': boolean stored as string ('{x.strip()}')")
+            passed += credit
+    elif isinstance(value, list) and len(value) > 1:
+        for k, x in enumerate(value):
+            if isinstance(x, (dict, list)):
+                d, p = slow_checks(x, f"{path}[{k}]", issues)
+                done, passed = done + d, passed + p
+        seen = {type(x).__name__ for x in value}
+        done += 1
+        passed += 1.0 if len(seen) == 1 else 0.5
+        if len(seen) > 1:
+            issues.append(f"'{path}': mixed types in array ({', '.join(n for n in J.TYPES if n in seen)})")
+    return done, passed
+
+
+def slow_flat(value, prefix=""):
+    if isinstance(value, dict):
+        return "\n".join(slow_flat(x, f"{prefix}{k}: ") for k, x in value.items())
+    if isinstance(value, list):
+        return "\n".join(slow_flat(x, f"{prefix}[{k}] ") for k, x in enumerate(value))
+    return f"{prefix}{value}"
+
+
+def random_json(rng, depth):
+    kind = rng.random()
+    if depth and kind < 0.35:
+        return {rng.choice(["a", "b", "c d", "é:", 'q"', "\\", "t\t"]): random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))}
+    if depth and kind < 0.65:
+        return [random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    return rng.choice([None, True, False, 3, -12345678901, 1.5, "12", " -3. ", "\n7.0\t", "TRUE", "false ", "", "x", 'a "b": [c]', "\\", "é\u2028{", "1e5", "trues", 123456789012345678901])
+
+
+def test_folds_match_recursion(spark):
+    rng = random.Random(8)
+    values = [random_json(rng, 6) for _ in range(600)] + [{}, [], [[]], [{}], "1", 5, None, [1, "x"], [["1", {"a": "1"}]]]
+    texts = [json.dumps(v, ensure_ascii=k % 2 == 0, indent=1 if k % 3 == 0 else None) for k, v in enumerate(values)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, raw string").withColumn("v", F.try_parse_json("raw"))
+    rows = records.with_flat_text(records.with_type_checks(df, "v", "raw"), "raw", "flat").orderBy("id").collect()
+    for value, row in zip(values, rows, strict=True):
+        issues = []
+        assert (row.type_checks.done, row.type_checks.passed) == slow_checks(value, issues=issues)
+        assert row.type_checks.issues == issues
+        assert row.flat == slow_flat(value)
+
+
+def test_deep_and_long_texts_leave_the_plan_as_it_is(spark):
+    """One text of 900 levels and one of 60,000 issues among ordinary rows; no job runs before the action."""
+    deep = '{"a":[0,' * 450 + '{"b":"1"}' + "]}" * 450
+    long = "[" + ",".join(f'{{"k{k}":"{k}"}}' for k in range(60_000)) + "]"
+    plans = []
+    for rows in ([('{"a": 1}',)], [('{"a": 1}',), (deep,), (long,), (None,), ("[" * 5000,)] + [(f'{{"x": "{k}"}}',) for k in range(50)]):
+        df = spark.createDataFrame(rows, "raw string").withColumn("v", F.try_parse_json("raw"))
+        spark.sparkContext.setJobGroup("building", "")
+        out = records.with_flat_text(records.with_type_checks(df, "v", "raw"), "raw", "flat").drop("v")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        found = {r.raw: r for r in out.collect()}
+    assert plans[0] == plans[1]
+    assert (found[deep].type_checks.done, found[deep].type_checks.passed) == (901, 675.5)
+    assert found[deep].flat.split("\n")[-1] == "a: [1] " * 450 + "b: 1"
+    assert len(found[long].type_checks.issues) == 60_000 and found[long].type_checks.issues[-1] == "'[59999].k59999': numeric value stored as string ('59999')"
+    assert found[long].flat.split("\n")[59_999] == "[59999] k59999: 59999"
+    assert found[None].type_checks is None and found["[" * 5000].flat is None
+
 
 
 def test_wide_tables_are_typed_whole(spark):
