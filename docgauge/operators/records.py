@@ -116,9 +116,8 @@ def with_type_checks(df: DataFrame, payload: str, text: str | None = None) -> Da
     """
     spelled = F.col(text) if text else F.col(payload).cast("string")
     marked = df.withColumn("_tokens", F.when(F.col(payload).isNotNull(), J.tokens(spelled)))
-    sized = marked.withColumn("_sizes", F.when(F.col("_tokens").isNotNull(), J.list_sizes("_tokens")))
-    checks = F.when(F.col("_tokens").isNotNull(), J.type_checks("_tokens", "_sizes"))
-    return sized.withColumn("type_checks", checks).drop("_tokens", "_sizes")
+    checks = F.when(F.col("_tokens").isNotNull(), J.type_checks("_tokens"))
+    return marked.withColumn("type_checks", checks).drop("_tokens")
 
 
 def type_validation(payload: Column, checks: Column) -> Column:

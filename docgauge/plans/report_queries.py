@@ -1,5 +1,6 @@
 """Queries over scoring, insights, stored evaluations and the earlier formulas."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 from docgauge import rules
 from docgauge.functions import scoring as S
 from docgauge.functions import values as V
-from docgauge.operators import core, insights, prototype, serving
+from docgauge.operators import core, insights, paging, prototype, serving
 from docgauge.plans import inputs as I
-from docgauge.plans.catalog import query, table
+from docgauge.plans.catalog import ORACLES, query, table
 from docgauge.plans.core_queries import CORE_SQL, ISSUES_SQL, SCORES_SQL, sql_round, sql_score, sql_status
 from docgauge.plans.evaluate import evaluate, parse_semantic_payload, with_semantic
 from docgauge.plans.family_queries import (
@@ -17,6 +18,8 @@ from docgauge.plans.family_queries import (
     language_sql, offensive_sql, readability_sql, spam_sql, structure_raw,
 )
 from docgauge.plans.text_queries import SQL_TOKENS, sql_detect, sql_strip
+from docgauge.session import shared_folder
+from docgauge.sources import sinks
 
 METRICS = rules.CORE_METRICS
 
@@ -373,6 +376,16 @@ def evaluation_by_id(spark, sf_dir):
         "doc_id", "overall_score", "overall_status", "issue_type", "field_name", "severity")
 
 
+@query("stored_evaluation", ORACLES["evaluation_by_id"])
+def stored_evaluation(spark, sf_dir):
+    """All invoices evaluated and stored; then one looked up, without evaluating it again."""
+    root = f"{shared_folder(spark)}/evaluations-{uuid.uuid4().hex}"
+    sinks.write_batch(invoice_evaluations(spark, sf_dir), root, "invoices")
+    found = sinks.lookup(spark, root, 70)
+    return serving.evaluation_by_id(found, serving.issues_of(found), 70).select(
+        "doc_id", "overall_score", "overall_status", "issue_type", "field_name", "severity")
+
+
 @query("latest_evaluations", f"""WITH {WITH_SCORES}, {EVALS} SELECT doc_id, filename, document_type, overall_score, overall_status,
   TIMESTAMP '2024-01-01' + to_seconds(doc_id % 100000) AS created_at FROM evals ORDER BY created_at DESC, doc_id LIMIT 20""")
 def latest_evaluations(spark, sf_dir):
@@ -422,6 +435,25 @@ def issues_page(spark, sf_dir):
     return page.select("doc_id", "issue_type", "field_name", "severity")
 
 
+@query("issues_page_by_position", ORACLES["issues_page"])
+def issues_page_by_position(spark, sf_dir):
+    """The same page of the issues of all invoices, found by its place in the stored order."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    paging.write_pages(serving.issues_of(core_issues(core_outcomes(spark, sf_dir))), folder, {"severity": "critical", "field_name": "Due Date"}, ["issue_type"])
+    return paging.page(spark, folder, 2).select("doc_id", "issue_type", "field_name", "severity")
+
+
+@query("issues_pages_by_key", f"""WITH i AS (SELECT doc_id, issue_type, field_name, severity, row_number() OVER (ORDER BY issue_type, doc_id) AS r
+  FROM ({ISSUES_SQL}) WHERE severity = 'critical' AND field_name = 'Due Date')
+SELECT doc_id, issue_type, field_name, severity FROM i WHERE r BETWEEN 31 AND 40""")
+def issues_pages_by_key(spark, sf_dir):
+    """The page after the last row of another one."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    paging.write_pages(serving.issues_of(core_issues(core_outcomes(spark, sf_dir))), folder, {"severity": "critical", "field_name": "Due Date"}, ["issue_type"])
+    last = paging.page(spark, folder, 2).collect()[-1].asDict()
+    return paging.page_after(spark, folder, last).select("doc_id", "issue_type", "field_name", "severity")
+
+
 @query("chart_bundle", f"""WITH {WITH_SCORES}, {EVALS}, k AS (SELECT doc_id, count_if(severity = 'critical') AS critical, count(*) AS total FROM ({ISSUES_SQL}) GROUP BY 1)
 SELECT e.doc_id, overall_score AS gauge, {_const_map(rules.STATUS_COLORS, 'overall_status')} AS color, coalesce(critical, 0) AS critical, coalesce(total, 0) AS total,
   [{", ".join(METRICS)}] AS scores FROM evals e LEFT JOIN k ON k.doc_id = e.doc_id""")

@@ -3,6 +3,8 @@
 On a cluster the caller's session is used as it is; nothing here is required.
 """
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "do
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session without one gets a new temporary folder; on a cluster that
+    would be a folder of one machine, so it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -97,14 +97,20 @@ def with_outcome(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return with_text(rows).withColumn("outcome", outcome)
 
 
+def split_outcomes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted files as documents, and every other file with its reason."""
+    left_out = rows.where("outcome <> 'accepted'").select("path", "filename", "size", F.col("outcome").alias("reason"))
+    return rows.where("outcome = 'accepted'").drop("outcome"), left_out
+
+
 def to_documents(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Accepted files as documents."""
-    return with_outcome(rows, limit).where("outcome = 'accepted'").drop("outcome")
+    return split_outcomes(with_outcome(rows, limit))[0]
 
 
 def rejected(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Quarantine: every file that ``to_documents`` leaves out, with the reason."""
-    return with_outcome(rows, limit).where("outcome <> 'accepted'").select("path", "filename", "size", F.col("outcome").alias("reason"))
+    return split_outcomes(with_outcome(rows, limit))[1]
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:

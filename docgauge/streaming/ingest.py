@@ -1,10 +1,13 @@
 """Continuous ingestion: new files are evaluated as they arrive.
 
-The query is stateless; its only state is the file log in the checkpoint. Each
-micro-batch runs the batch plan and the idempotent sink, so a batch replayed
-after a lost driver or executor overwrites its own output.
+The query is stateless; its only state is the file log in the checkpoint. The files of a
+micro-batch are read once: their texts and outcomes are written to a folder of the attempt,
+and both the evaluations and the rejected files come from there, so they agree. The sink
+commits a batch as a whole, so one replayed after a lost driver or executor replaces its
+own output.
 """
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -33,8 +36,10 @@ def start(spark: SparkSession, path: str, root: str, as_of: str | Callable[[], s
 
     def store(batch: DataFrame, batch_id: int) -> None:
         day = as_of() if callable(as_of) else as_of or datetime.now(timezone.utc).date().isoformat()
-        sinks.write_evaluations(evaluate(readers.to_documents(batch, limit), day, **options), root, batch_id)
-        sinks.write_rejected(readers.rejected(batch, limit), root, batch_id)
+        outcomes = sinks.staged(readers.with_outcome(batch, limit), f"{root}/_staged/{uuid.uuid4().hex}")
+        with outcomes as rows:
+            accepted, rejected = readers.split_outcomes(rows)
+            sinks.write_batch(evaluate(accepted, day, **options), root, batch_id, rejected)
 
     writer = file_stream(spark, path).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
