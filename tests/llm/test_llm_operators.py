@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import check_oracles
+import exact_passages
 from docgauge.llm import bpe, decontaminate, lm_scoring, pii, quality_model, quality_rules, sharding, simhash, token_counts, warc
 from docgauge.llm import queries as Q
 from docgauge.llm.pretokens import Splitter, library
@@ -376,10 +377,37 @@ def test_decontamination_finds_every_passage_in_a_fifth_of_edits(spark):
                 assert any(m[0] == key and m[3] <= most for m in found), (key, kind, places)
 
 
+def test_walks_find_what_the_exact_finder_finds(texts):
+    """All passages of the documents, copies in a row, and items of up to 400 words with a fifth of edits of each kind."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for k, n in enumerate((1, 2, 9, 40, 41, 130, 400))]
+    items.append((99, "the cat and the dog and the cat and the dog"))
+    made = [" ".join([items[3][1]] * 3), "", None, "the cat and the dog and the cat and the dog " * 3, "x " * 20_000 + items[2][1]]
+    for _, text in items[3:7]:
+        for kind in ("change", "add", "drop", "mixed"):
+            words = text.split()
+            made += ["lead in " + " ".join(edited(words, rng.sample(range(len(words)), len(words) // 5), kind, rng)) + " and out" for _ in range(8)]
+    walks, exact = decontaminate.Index(items), exact_passages.Exact(items)
+    found = walks.matches_of([t or "" for t in made])
+    pairs = [({m[0] for m in a}, {m[0] for m in exact.matches(t or "")}) for a, t in zip(found, made, strict=True)]
+    assert all(a <= b for a, b in pairs) and sum(map(len, (a for a, _ in pairs))) >= 0.97 * sum(len(b) for _, b in pairs)
+    assert [m[1:3] for m in found[0] if m[0] == 3] == [(0, 40), (40, 80), (80, 120)]
+    for a in found:  # passages of one item do not overlap
+        assert all(x[2] <= y[1] for x in a for y in a if x[0] == y[0] and x[1] < y[1])
+    bench = [tuple(r) for r in texts_of_benchmark()]
+    walks, exact = decontaminate.Index(bench), exact_passages.Exact(bench)
+    for found, text in zip(walks.matches_of(list(texts.values())), texts.values(), strict=True):
+        assert {m[0] for m in found} == {m[0] for m in exact.matches(text)}
+
+
+def texts_of_benchmark():
+    return duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+
+
 def test_stretches_make_up_the_item():
     for m in range(1, 80):
         for most in range(m):
-            cut = decontaminate.stretches(m, most)
+            cut = exact_passages.stretches(m, most)
             assert len(cut) == most + 1 and cut[0][0] == 0 and cut[-1][1] == m
             assert all(a < b for a, b in cut) and all(x[1] == y[0] for x, y in zip(cut, cut[1:], strict=False))
     with pytest.raises(ValueError, match="share"):
