@@ -42,10 +42,18 @@ def missing_groups(fields: Column, groups: dict[str, list[str]]) -> Column:
     return F.transform(absent, lambda r: r["v0"])
 
 
+def _absent_clauses(low: Column) -> Column:
+    return _absent({title_text(n): has(low, any_of(p)) for n, p in rules.CLAUSES.items()})
+
+
+def missing_clauses(text: Column, low: Column | None = None) -> Column:
+    """All standard clauses that are not found; the metric's text names the first five."""
+    return bind(lower_text(text) if low is None else low, _absent_clauses)
+
+
 def clause_completeness(text: Column, low: Column | None = None) -> Column:
     def judged(low: Column) -> Column:
-        present = {title_text(n): has(low, any_of(p)) for n, p in rules.CLAUSES.items()}
-        return found_of("standard clauses", len(present), _absent(present), 5)
+        return found_of("standard clauses", len(rules.CLAUSES), _absent_clauses(low), 5)
 
     return metric("contract", "Clause Completeness", bind(lower_text(text) if low is None else low, judged))
 
@@ -69,6 +77,11 @@ def signature_presence(fields: Column, text: Column, low: Column | None = None)
     return metric("contract", "Signature Presence", bind(lower_text(text) if low is None else low, judged))
 
 
+def missing_metadata(fields: Column) -> Column:
+    """All metadata that is not found; the metric's text names the first four."""
+    return missing_groups(fields, rules.CONTRACT_METADATA)
+
+
 def metadata_completeness(fields: Column) -> Column:
     groups = rules.CONTRACT_METADATA
     return metric(

@@ -16,6 +16,11 @@ from docgauge.functions.text import bind, flag
 from docgauge.operators.contract import found_of, missing_groups
 
 
+def missing_fields(fields: Column) -> Column:
+    """All fields that are not found; the metric's text names the first five."""
+    return missing_groups(fields, rules.INVOICE_FIELDS)
+
+
 def field_completeness(fields: Column) -> Column:
     groups = rules.INVOICE_FIELDS
     return metric(

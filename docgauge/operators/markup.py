@@ -21,52 +21,73 @@ def _names(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(1)), F.lower)
 
 
-def _occurrences(names: Column, name: Column) -> Column:
-    return F.size(names) - F.size(F.array_remove(names, name))
-
-
-def _tag_validity(text: Column) -> Column:
-    facts = F.struct(
-        _names(text, OPEN_TAG).alias("opened"),
+def _tag_counts(opened: Column, closed: Column) -> Column:
+    """array<struct<tag, open, close>> of the opened tags, in the order in which they first open.
+
+    Tags are sorted with their sign and place, so equal ones stand together and a run's
+    length is the distance to the start of the next: n log n in the number of tags.
+    """
+    row = lambda sign: lambda t, i: F.struct(t.alias("tag"), F.lit(sign).alias("opens"), i.alias("at"))
+
+    def runs(tags: Column) -> Column:
+        here, before = (lambda i: F.get(tags, i)), (lambda i: F.get(tags, i - 1))
+        first = F.filter(
+            F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 0) | (here(i)["tag"] != before(i)["tag"]) | (here(i)["opens"] != before(i)["opens"]))
+        return bind(first, lambda s: F.transform(s, lambda i, k: F.struct(
+            here(i).alias("of"), (F.coalesce(F.get(s, k + 1), F.size(tags)) - i).alias("n"))))
+
+    def counted(runs: Column) -> Column:
+        # the closing tags of a name stand right before its opening ones
+        close = lambda r, k: F.when(F.get(runs, k - 1)["of"]["tag"] == r["of"]["tag"], F.get(runs, k - 1)["n"]).otherwise(0)
+        both = F.transform(runs, lambda r, k: F.struct(
+            r["of"]["opens"].alias("opens"), r["of"]["at"].alias("at"), r["of"]["tag"].alias("tag"), r["n"].alias("open"),
+            F.when(k == 0, 0).otherwise(close(r, k)).alias("close")))
+        return F.transform(F.array_sort(F.filter(both, lambda t: t["opens"] == 1)), lambda t: F.struct(*[t[c].alias(c) for c in ("tag", "open", "close")]))
+
+    return bind(bind(F.sort_array(F.concat(F.transform(opened, row(1)), F.transform(closed, row(0)))), runs), counted)
+
+
+def _tag_facts(text: Column) -> Column:
+    return F.struct(
+        F.filter(_names(text, OPEN_TAG), lambda t: ~t.isin(rules.VOID_TAGS)).alias("opened"),
         _names(text, CLOSE_TAG).alias("closed"),
         hits(text, SELF_CLOSED_TAG).alias("self_closed"),
+        has(text, OPEN_TAG).alias("any"),
     )
 
-    def judged(f: Column) -> Column:
-        pairs = bind(
-            F.filter(f["opened"], lambda t: ~t.isin(rules.VOID_TAGS)),
-            lambda opened: F.struct(
-                F.size(opened).alias("n"),
-                F.transform(
-                    F.array_distinct(opened),
-                    lambda t: F.struct(
-                        t.alias("tag"), _occurrences(opened, t).alias("open"), _occurrences(f["closed"], t).alias("close")
-                    ),
-                ).alias("tags"),
-            ),
-        )
 
-        def scored(p: Column) -> Column:
-            wrong = F.filter(p["tags"], lambda t: t["open"] != t["close"])
-            mismatches = F.aggregate(wrong, F.lit(0), lambda acc, t: acc + F.abs(t["open"] - t["close"]))
-            n = p["n"] + f["self_closed"]
-            notes = F.array_join(
-                F.transform(F.slice(wrong, 1, 5),
-                            lambda t: F.format_string("<%s>: %d open, %d close", t["tag"], t["open"], t["close"])), "; ")
-            return finding(
-                F.greatest(F.lit(0.0), (1 - mismatches / F.greatest(n, F.lit(1))) * 100.0),
+def _mismatches(counts: Column) -> Column:
+    return F.transform(
+        F.filter(counts, lambda t: t["open"] != t["close"]),
+        lambda t: F.format_string("<%s>: %d open, %d close", t["tag"], t["open"], t["close"]))
+
+
+def mismatched_tags(text: Column) -> Column:
+    """All tags that open and close in different numbers; the metric's text names the first five."""
+    return bind(_tag_facts(text), lambda f: _mismatches(_tag_counts(f["opened"], f["closed"])))
+
+
+def _tag_validity(text: Column) -> Column:
+    def judged(f: Column) -> Column:
+        def scored(counts: Column) -> Column:
+            apart = F.aggregate(counts, F.lit(0), lambda acc, t: acc + F.abs(t["open"] - t["close"]))
+            n = F.size(f["opened"]) + f["self_closed"]
+            return bind(_mismatches(counts), lambda wrong: finding(
+                F.greatest(F.lit(0.0), (1 - apart / F.greatest(n, F.lit(1))) * 100.0),
                 F.concat(
                     F.format_string("Found %d tags, %d self-closing.", n, f["self_closed"]),
-                    F.when(F.size(wrong) == 0, " All tags properly matched.").otherwise(F.concat(F.lit(" Mismatches: "), notes)),
+                    F.when(F.size(wrong) == 0, " All tags properly matched.").otherwise(
+                        F.concat(F.lit(" Mismatches: "), F.array_join(F.slice(wrong, 1, 5), "; "))),
                 ),
-            )
+            ))
 
         return F.when(
-            (F.size(f["opened"]) == 0) & (f["self_closed"] == 0),
+            ~f["any"] & (f["self_closed"] == 0),
             finding(F.lit(50.0), F.lit("No markup tags found in document")),
-        ).otherwise(bind(pairs, scored))
+        ).otherwise(bind(_tag_counts(f["opened"], f["closed"]), scored))
 
-    return bind(facts, judged)
+    return bind(_tag_facts(text), judged)
 
 
 def max_depth(text: Column) -> Column:

@@ -57,12 +57,23 @@ def title(name: str) -> str:
 _CLAUSES = {title(n): sql_hit(LOW, p) for n, p in rules.CLAUSES.items()}
 
 
+def all_missing(tests: dict[str, str]) -> str:
+    """SQL of the names whose test fails, each on a line."""
+    return "concat_ws(chr(10), " + ", ".join(f"CASE WHEN NOT ({t}) THEN '{name}' END" for name, t in tests.items()) + ")"
+
+
+def listed(names):
+    """The whole list behind a shortened text, each entry on a line."""
+    return F.array_join(names, "\n")
+
+
 @query("contract_clauses", f"""
-SELECT doc_id, {sql_score('found * 10.0')} AS score, {sql_status('found * 10.0')} AS status,
+SELECT doc_id, {all_missing(_CLAUSES)} AS missing, {sql_score('found * 10.0')} AS score, {sql_status('found * 10.0')} AS status,
   {missing_text('found', 10, 'standard clauses', _CLAUSES, 5)} AS details
 FROM (SELECT *, {flags(*_CLAUSES.values())} AS found FROM {I.sql(I.CONTRACT_TEXT)})""")
 def contract_clauses(spark, sf_dir):
-    return shown(I.source(spark, sf_dir, I.CONTRACT_TEXT), ["doc_id"], contract.clause_completeness(F.col("text")), details=True)
+    docs = I.source(spark, sf_dir, I.CONTRACT_TEXT).withColumn("missing", listed(contract.missing_clauses(F.col("text"))))
+    return shown(docs, ["doc_id", "missing"], contract.clause_completeness(F.col("text")), details=True)
 
 
 _SIGNED = [sql_hit(LOW, [p]) for n, p in rules.SIGNATURE_INDICATORS.items()]
@@ -91,12 +102,19 @@ CONTRACT_FIELDS = ("orders", [
 ])
 
 
-@query("contract_metadata", scored("o_orderkey", "(" + flags(
-    "o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0", "o_orderkey % 3 = 0", "o_orderkey % 5 <> 0", "o_orderkey % 4 >= 2", "o_orderkey % 7 <> 0")
-    + ") / 7.0 * 100", "orders"))
+_METADATA = {title(n): "false" for n in rules.CONTRACT_METADATA}
+for _alias, _test in {"contract_id": "o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0", "start_date": "o_orderkey % 3 = 0", "client": "o_orderkey % 5 <> 0",
+                      "vendor": "o_orderkey % 4 >= 2", "fee": "o_orderkey % 7 <> 0"}.items():
+    for _name, _aliases in rules.CONTRACT_METADATA.items():
+        if _alias in _aliases:
+            _METADATA[title(_name)] = _test
+
+
+@query("contract_metadata", scored(f"o_orderkey, {all_missing(_METADATA)} AS missing", f"{flags(*_METADATA.values())} / {len(_METADATA)}.0 * 100", "orders"))
 def contract_metadata(spark, sf_dir):
-    docs = I.source(spark, sf_dir, CONTRACT_FIELDS)
-    return shown(docs, ["o_orderkey"], contract.metadata_completeness(V.variant_fields(F.try_parse_json("raw"))))
+    docs = I.source(spark, sf_dir, CONTRACT_FIELDS).withColumn("fields", V.variant_fields(F.try_parse_json("raw")))
+    docs = docs.withColumn("missing", listed(contract.missing_metadata(F.col("fields"))))
+    return shown(docs, ["o_orderkey", "missing"], contract.metadata_completeness(F.col("fields")))
 
 
 # ---------------------------------------------------------------- invoice
@@ -106,9 +124,13 @@ def _present(names: list[str]) -> str:
     return "(" + (" OR ".join(f"coalesce({n} <> '', false)" for n in known) or "false") + ")"
 
 
-@query("invoice_fields", scored("doc_id", flags(*[_present(a) for a in rules.INVOICE_FIELDS.values()]) + " / 12.0 * 100", "inv", f"WITH {INV}"))
+_FIELDS = {title(n): _present(a) for n, a in rules.INVOICE_FIELDS.items()}
+
+
+@query("invoice_fields", scored(f"doc_id, {all_missing(_FIELDS)} AS missing", flags(*_FIELDS.values()) + " / 12.0 * 100", "inv", f"WITH {INV}"))
 def invoice_fields(spark, sf_dir):
-    return shown(I.invoices(spark, sf_dir), ["doc_id"], invoice.field_completeness(F.col("fields")))
+    docs = I.invoices(spark, sf_dir).withColumn("missing", listed(invoice.missing_fields(F.col("fields"))))
+    return shown(docs, ["doc_id", "missing"], invoice.field_completeness(F.col("fields")))
 
 
 _EXT = "CASE o_orderkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.JPG' ELSE '.png' END"
@@ -396,9 +418,9 @@ _OPENED = r"list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\b[^
 _CLOSED = r"list_transform(regexp_extract_all(html, '</([a-zA-Z][a-zA-Z0-9]*)>', 1), lambda t: lower(t))"
 _SELF = r"len(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*/\s*>'))"
 _VOID = "(" + ", ".join(f"'{t}'" for t in rules.VOID_TAGS) + ")"
-_TAGS = f"""(SELECT p.page_id, n_open, n_self, coalesce(wrong, 0) AS wrong, coalesce(n, 0) AS n FROM
+_TAGS = f"""(SELECT p.page_id, n_open, n_self, coalesce(wrong, 0) AS wrong, coalesce(n, 0) AS n, coalesce(apart, '') AS mismatched FROM
   (SELECT page_id, len({_OPENED}) AS n_open, {_SELF} AS n_self FROM pages) p LEFT JOIN (
-  SELECT page_id, sum(o) AS n, sum(abs(o - c)) AS wrong FROM (
+  SELECT page_id, sum(o) AS n, sum(abs(o - c)) AS wrong, string_agg('<' || tag || '>: ' || o || ' open, ' || c || ' close', chr(10) ORDER BY tag) FILTER (WHERE o <> c) AS apart FROM (
     SELECT page_id, tag, sum(o) AS o, sum(c) AS c FROM (
       SELECT page_id, unnest({_OPENED}) AS tag, 1 AS o, 0 AS c FROM pages UNION ALL SELECT page_id, unnest({_CLOSED}), 0, 1 FROM pages)
     WHERE tag NOT IN {_VOID} GROUP BY 1, 2 HAVING sum(o) > 0) GROUP BY 1) g ON g.page_id = p.page_id)"""
@@ -409,9 +431,10 @@ def _pages(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages"))
 
 
-@query("markup_tags", scored("page_id", TAG_RAW, _TAGS))
+@query("markup_tags", scored("page_id, mismatched", TAG_RAW, _TAGS))
 def markup_tags(spark, sf_dir):
-    return shown(_pages(spark, sf_dir), ["page_id"], markup.tag_validity(F.col("html")))
+    pages = _pages(spark, sf_dir).withColumn("mismatched", listed(F.sort_array(markup.mismatched_tags(F.col("html")))))
+    return shown(pages, ["page_id", "mismatched"], markup.tag_validity(F.col("html")))
 
 
 _DEPTHS = rf"""(SELECT page_id, max(s - least(0, low)) AS deepest FROM (

@@ -268,3 +268,14 @@ def test_record_profile_with_a_hot_group(spark):
     assert got.keys() == want.keys()
     for g in want:
         assert abs(got[g][0] - want[g][0]) < 0.11 and abs(got[g][1] - want[g][1]) < 0.11, g
+
+
+def test_tag_counts_of_many_names(spark):
+    """100,000 tags of 10,000 names, every tenth left open; the whole list, and the text's five in order of appearance."""
+    page = "".join(f"<t{k % 10_000}>x" + ("" if k % 10_000 % 10 == 0 else f"</t{k % 10_000}>") for k in range(100_000)) + "<br></zz>"
+    df = spark.createDataFrame([(page,), ("plain",), (None,), ("<br>",), ("<b></b></b><i>",)], "html string")
+    rows = df.select(markup.tag_validity(F.col("html")).alias("m"), markup.mismatched_tags(F.col("html")).alias("wrong")).collect()
+    assert len(rows[0].wrong) == 1000 and rows[0].wrong[1] == "<t10>: 10 open, 0 close"
+    assert rows[0].m.score == 90.0 and rows[0].m.details.endswith("Mismatches: " + "; ".join(rows[0].wrong[:5]))
+    assert [r.m.score for r in rows[1:]] == [50.0, 50.0, 100.0, 0.0]
+    assert rows[4].wrong == ["<b>: 1 open, 2 close", "<i>: 1 open, 0 close"]
