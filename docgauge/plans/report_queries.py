@@ -296,7 +296,8 @@ EVAL_SQL = f"""WITH nd AS {NORMAL}, td AS {TYPED},
      JOIN (SELECT doc_id, {sql_score(OFFENSIVE_RAW)} AS off_score FROM {offensive_sql('doc_id', SOCIAL_DOCS)}) o ON o.doc_id = l.doc_id
      JOIN (SELECT doc_id, {sql_score(SPAM_RAW)} AS spam_score FROM {spam_sql('doc_id', SOCIAL_DOCS)}) p ON p.doc_id = l.doc_id),
  cs AS (SELECT doc_id, document_type, {sql_score(_COMPLETE)} AS completeness, {sql_score(_VALID)} AS validity, {sql_score(_ACC)} AS accuracy FROM td)
-SELECT c.doc_id, document_type, completeness, validity, accuracy, type_specific_score, {sql_score("completeness * 0.25::DOUBLE + validity * 0.2::DOUBLE + 100 * 0.2::DOUBLE + accuracy * 0.2::DOUBLE + 100 * 0.1::DOUBLE + 100 * 0.05::DOUBLE")} AS overall_score,
+SELECT c.doc_id, document_type, completeness, validity, 100.0::DOUBLE AS consistency, accuracy, 100.0::DOUBLE AS timeliness, 100.0::DOUBLE AS uniqueness,
+  type_specific_score, {sql_score("completeness * 0.25::DOUBLE + validity * 0.2::DOUBLE + 100 * 0.2::DOUBLE + accuracy * 0.2::DOUBLE + 100 * 0.1::DOUBLE + 100 * 0.05::DOUBLE")} AS overall_score,
   {sql_status(sql_score("completeness * 0.25::DOUBLE + validity * 0.2::DOUBLE + 100 * 0.2::DOUBLE + accuracy * 0.2::DOUBLE + 100 * 0.1::DOUBLE + 100 * 0.05::DOUBLE"))} AS overall_status
 FROM cs c LEFT JOIN ts t ON t.doc_id = c.doc_id"""
 
@@ -310,8 +311,7 @@ def evaluate_documents(spark, sf_dir):
     """Flagship: evaluate every document and show its scores."""
     ev = evaluate(documents(spark, sf_dir), "2024-06-01")
     return ev.select(
-        "doc_id", "document_type", *[_metric_score(n) for n in ("completeness", "validity", "accuracy")],
-        "type_specific_score", "overall_score", "overall_status")
+        "doc_id", "document_type", *[_metric_score(n) for n in METRICS], "type_specific_score", "overall_score", "overall_status")
 
 
 def invoice_evaluations(spark, sf_dir):
@@ -363,9 +363,16 @@ FILE_NAME = "'invoice-' || doc_id || '.txt'"
 EVALS = f"evals AS (SELECT doc_id, {FILE_NAME} AS filename, 'invoice' AS document_type, {OVERALL} AS overall_score, {sql_status(OVERALL)} AS overall_status, * EXCLUDE (doc_id) FROM scores)"
 
 
-@query("evaluate_invoices", f"""WITH {WITH_SCORES}, {EVALS} SELECT doc_id, filename, document_type, overall_score, overall_status FROM evals""")
+@query("evaluate_invoices", f"""WITH {WITH_SCORES}, {EVALS}, k AS (SELECT doc_id, count(*) AS n_issues, count_if(severity = 'critical') AS n_critical
+  FROM ({ISSUES_SQL}) GROUP BY 1)
+SELECT e.doc_id, filename, document_type, {", ".join(METRICS)}, coalesce(n_issues, 0) AS n_issues, coalesce(n_critical, 0) AS n_critical,
+  overall_score, overall_status FROM evals e LEFT JOIN k ON k.doc_id = e.doc_id""")
 def evaluate_invoices(spark, sf_dir):
-    return invoice_evaluations(spark, sf_dir).select("doc_id", "filename", "document_type", "overall_score", "overall_status")
+    """Every invoice with its six scores and how many issues stand behind them."""
+    ev = invoice_evaluations(spark, sf_dir)
+    return ev.select(
+        "doc_id", "filename", "document_type", *[_metric_score(m) for m in METRICS], F.size("issues").cast("long").alias("n_issues"),
+        S.count_severity(F.col("issues"), "critical").cast("long").alias("n_critical"), "overall_score", "overall_status")
 
 
 @query("evaluation_by_id", f"""WITH {WITH_SCORES}, {EVALS} SELECT e.doc_id, overall_score, overall_status, issue_type, field_name, severity
