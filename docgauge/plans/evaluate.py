@@ -187,10 +187,12 @@ def with_semantic(documents: DataFrame, replies: DataFrame) -> DataFrame:
 
     A reply that cannot be read counts as none: such documents have no fields and get
     the fallback texts. Texts that a reply leaves out stay empty, so that the local
-    ones are used. Columns of the documents with these names are replaced.
+    ones are used. Of several replies for a document the last in text order counts, so
+    each document stays one row. Columns of the documents with these names are replaced.
     """
     # parsed above the join: below it, the optimizer would derive filters from the whole parse
-    parsed = documents.join(replies.select("doc_id", F.col("reply").alias("_reply")), "doc_id", "left").withColumn(
+    one_each = replies.groupBy("doc_id").agg(F.max("reply").alias("_reply"))
+    parsed = documents.join(one_each, "doc_id", "left").withColumn(
         "p", parse_semantic_payload(F.col("_reply")))
     given = F.col("p").isNotNull()
     text = lambda name, fallback: F.when(given, F.coalesce(F.col(f"p.{name}"), F.lit(""))).otherwise(fallback)

@@ -93,6 +93,8 @@ def test_semantic_replies_join_and_fall_back(spark):
     assert rows[2].document_type == "unknown" and rows[2].semantic is None
     ev = {r.doc_id: r for r in evaluate(with_semantic(docs, replies), "2024-01-01", families=("general",)).collect()}
     assert next(m.score for m in ev[1].metrics if m.name == "Validity") == 85.0
+    twice = with_semantic(docs, replies.union(replies).union(replies.where("doc_id = 2").selectExpr("doc_id", "'another'"))).collect()
+    assert sorted(r.doc_id for r in twice) == [1, 2]
 
 
 def test_files_batch_and_stream_agree(spark, files):
