@@ -69,17 +69,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     The sample (ids and labels) is small by its limit and goes to all tasks; features
     are made where the texts are, and one task trains on the sample's sparse rows.
-    Labels that are null or of unknown documents are not used. No labels: zero weights.
+    An id counts once: with the label that most of its label rows give, and with one of
+    its texts (least hash, then least text), chosen before rows meet, so that an id of
+    many rows fills no task. Not used: ids whose label rows are tied, null labels and
+    ids, labels of unknown documents. Null texts count as empty, other columns are not
+    looked at. No labels or no documents: zero weights.
     """
-    marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
-    marks = marks.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).dropDuplicates(["id"])
+    df, at = by_position(labels)
+    marks = df.select(F.col(at["doc_id"]).alias("id"), (F.col(at["quality"]).cast("int") > 0).cast("int").alias("label"))
+    marks = marks.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    marks = marks.groupBy("id").agg((2 * F.sum("label") - F.count("*")).alias("lead")).where("lead <> 0")
+    marks = marks.select("id", (F.col("lead") > 0).cast("int").alias("label"))
     # the share of hashes that holds the sample, so that few rows are ranked
     share = min(1.0, 1.2 * sample / max(1, marks.count()))
     turn = F.xxhash64(F.col("id").cast("string"))
     marks = marks.where(F.pmod(turn, F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(turn, "id").limit(sample)
     df, at = by_position(docs)
     df = df.select(F.col(at["doc_id"]).alias("id"), F.coalesce(F.col(at["text"]).cast("string"), F.lit("")).alias("text"))
-    rows = df.join(F.broadcast(marks), "id").select(F.xxhash64(F.col("id").cast("string")).alias("turn"), "text", "label")
+    rows = df.join(F.broadcast(marks), "id").groupBy("id", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    rows = rows.select(F.xxhash64(F.col("id").cast("string")).alias("turn"), F.col("first.text").alias("text"), "label")
 
     def sparse(batches):
         import pyarrow as pa

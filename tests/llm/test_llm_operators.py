@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -292,6 +293,59 @@ def test_classifier_on_the_held_out_fold(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_training_matches_plain_updates(spark):
+    """FTRL-proximal written coordinate by coordinate, over dictionaries."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    rows = [(*quality_model.features(r["text"]), r["quality"]) for r in rows.orderBy("doc_id").limit(60).collect()]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality_model.L1:
+            return 0.0
+        pull = (quality_model.BETA + math.sqrt(n[i])) / quality_model.ALPHA + quality_model.L2
+        return -(z[i] - math.copysign(quality_model.L1, z[i])) / pull
+
+    for _ in range(2):
+        for places, values, label in rows:
+            held = {i: weight(i) for i in places.tolist()}
+            raw = sum(held[i] * x for i, x in zip(places.tolist(), values.tolist(), strict=True))
+            loss = 1 / (1 + math.exp(-raw)) - label
+            for i, x in zip(places.tolist(), values.tolist(), strict=True):
+                g = loss * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_model.ALPHA * held[i]
+                n[i] += g * g
+    weights = quality_model.train(rows, epochs=2)
+    assert np.allclose([weights[i] for i in n], [weight(i) for i in n], atol=1e-6)
+    assert np.count_nonzero(weights) == sum(weight(i) != 0 for i in n) > 100
+    # scores are the logistic of the plain sparse product
+    few = [(k, t) for k, t in enumerate(["one two one two", "", None, "der Wert, der zählt!"])]
+    scored = quality_model.score(spark.createDataFrame(few, "doc_id long, text string"), weights)
+    for r in scored.collect():
+        places, values = quality_model.features(few[r["doc_id"]][1] or "")
+        raw = sum(float(weights[i]) * x for i, x in zip(places.tolist(), values.tolist(), strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-raw))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_labels_that_disagree_and_ids_that_repeat(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, f"{'good fine' if k % 2 else 'bad poor'} text {k}", k) for k in ids], "doc_id long, text string, quality int")
+    votes = [(k, k % 2) for k in ids]
+    plain = quality_model.fit(docs, spark.createDataFrame(votes, "doc_id long, quality int"))
+    # two votes against one change nothing; tied, null and unknown ones are not used
+    more = votes + votes + [(k, 1 - k % 2) for k in ids] + [(None, 1), (ids[0], None), (10**6, 1)]
+    for parts in (1, 3, 7):
+        marks = spark.createDataFrame(more, "doc_id long, quality int").repartition(parts)
+        assert (quality_model.fit(docs, marks) == plain).all()
+    tied = spark.createDataFrame(votes + [(k, 1 - q) for k, q in votes if k >= 200], "doc_id long, quality int")
+    half = spark.createDataFrame([v for v in votes if v[0] < 200], "doc_id long, quality int")
+    assert (quality_model.fit(docs, tied) == quality_model.fit(docs, half)).all()
+    # an id of many rows counts once, with a text that does not hang on their order
+    hot = docs.unionByName(spark.range(3000).selectExpr(f"{ids[0]}L AS doc_id", "concat('row ', id % 50) AS text", "0 AS quality"))
+    marks = spark.createDataFrame(votes, "doc_id long, quality int")
+    assert (quality_model.fit(hot.repartition(2), marks) == quality_model.fit(hot.repartition(9), marks)).all()
+    assert not quality_model.fit(docs.limit(0), marks).any() and not quality_model.fit(docs, marks.limit(0)).any()
+
+
 def test_rows_of_one_id_fill_no_chunk(spark):
     same, other = "the very same text of one id " * 4, "a text without any id " * 5
     rows = [(1, same)] * 600 + [(None, other)] * 600 + [(2, f"text {k} of another id with many rows") for k in range(2000)]
