@@ -15,13 +15,15 @@ from docgauge.functions.scoring import clamp_score, share
 from docgauge.functions.text import bind, flag, literal, literal_map, lower_text, non_blank, rx, strip, title, title_text
 
 
-def _issue(name: Column, kind: str, description: Column, severity) -> Column:
+def _issue(name: Column, kind: str, description: Column, severity, value: Column | None = None) -> Column:
+    """An issue record; ``value`` is the whole value where the description shows 50 characters of it."""
     severity = severity if isinstance(severity, Column) else F.lit(severity)
     return F.struct(
         name.alias("field_name"),
         F.lit(kind).alias("issue_type"),
         description.alias("description"),
         severity.alias("severity"),
+        (F.lit(None).cast("string") if value is None else value).alias("value"),
     )
 
 
@@ -136,7 +138,7 @@ def validity(fields: Column) -> Column:
                     1,
                     flag(ok),
                     F.when(~ok, _issue(title(b["key"]), "Invalid Format", description,
-                                       F.when(b["kind"] == "amount", "critical").otherwise("warning"))),
+                                       F.when(b["kind"] == "amount", "critical").otherwise("warning"), b["value"])),
                 ),
             )
 
@@ -287,6 +289,7 @@ def uniqueness(fields: Column, line_items: Column) -> Column:
             "Duplicate Value",
             F.concat(F.lit("Same value '"), F.substring(g["value"], 1, 50), F.lit("' found in multiple fields")),
             "warning",
+            g["value"],
         )
 
     def outcome(b: Column) -> Column:
@@ -339,7 +342,7 @@ def _accuracy(fields: Column, low: Column) -> Column:
                     F.when(b["credit"] == 0.0, _issue(
                         label, "Unverifiable Value",
                         F.concat(F.lit("Extracted value '"), F.substring(v, 1, 50),
-                                 F.lit("' could not be verified in source text")), "warning")),
+                                 F.lit("' could not be verified in source text")), "warning", v)),
                     F.when(b["amount"] < 0, _issue(
                         label, "Implausible Value",
                         F.concat(F.lit("Negative amount ("), b["amount"].cast("string"), F.lit(") detected")), "warning"))

@@ -8,5 +8,6 @@ def load():
     import docgauge.plans.core_queries  # noqa: F401
     import docgauge.plans.family_queries  # noqa: F401
     import docgauge.plans.report_queries  # noqa: F401
+    import docgauge.plans.whole_queries  # noqa: F401
 
     return catalog

@@ -110,18 +110,18 @@ CORE_SQL = {
       CAST(shown + repeated_item AS BIGINT) AS n_issues, CAST(0 AS BIGINT) AS n_critical FROM c""",
 }
 
-# one row per issue: doc_id, issue_type, field_name, severity
+# one row per issue: doc_id, issue_type, field_name, severity and the whole value where the text names one
 ISSUES_SQL = " UNION ALL ".join([
     f"(WITH {COMPLETENESS} SELECT doc_id, 'Missing Field' AS issue_type, {TITLES} AS field_name, "
-    f"CASE WHEN name IN ({_CRITICAL}) THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE missing)",
-    f"(WITH {VALIDITY} SELECT doc_id, 'Invalid Format', {TITLES}, CASE WHEN kind = 'amount' THEN 'critical' ELSE 'warning' END FROM c WHERE NOT ok)",
-    f"(WITH {CONSISTENCY} SELECT doc_id, 'Inconsistent Value', 'Total Amount', 'critical' FROM j WHERE sum_due AND NOT sum_ok AND total IS NOT NULL)",
-    f"(WITH {CONSISTENCY} SELECT doc_id, 'Logical Inconsistency', 'Due Date', 'critical' FROM j WHERE out_of_order)",
-    f"(WITH {ACCURACY} SELECT doc_id, 'Unverifiable Value', {TITLES}, 'warning' FROM c WHERE credit = 0)",
-    f"(WITH {ACCURACY} SELECT doc_id, 'Implausible Value', {TITLES}, 'warning' FROM c WHERE amount_due AND amount < 0)",
-    f"(WITH {TIMELINESS} SELECT doc_id, problem, {TITLES}, CASE WHEN problem = 'Expired Date' THEN 'critical' ELSE 'warning' END FROM c WHERE problem IS NOT NULL)",
-    f"(WITH {UNIQUENESS} SELECT doc_id, 'Duplicate Entry', 'Line Items', 'warning' FROM c WHERE repeated_item = 1)",
-    f"(WITH {FIELD_ROWS} SELECT doc_id, 'Duplicate Value', array_to_string(list({TITLES} ORDER BY pos), ', '), 'warning' "
+    f"CASE WHEN name IN ({_CRITICAL}) THEN 'critical' ELSE 'warning' END AS severity, NULL::VARCHAR AS value FROM r WHERE missing)",
+    f"(WITH {VALIDITY} SELECT doc_id, 'Invalid Format', {TITLES}, CASE WHEN kind = 'amount' THEN 'critical' ELSE 'warning' END, v FROM c WHERE NOT ok)",
+    f"(WITH {CONSISTENCY} SELECT doc_id, 'Inconsistent Value', 'Total Amount', 'critical', NULL FROM j WHERE sum_due AND NOT sum_ok AND total IS NOT NULL)",
+    f"(WITH {CONSISTENCY} SELECT doc_id, 'Logical Inconsistency', 'Due Date', 'critical', NULL FROM j WHERE out_of_order)",
+    f"(WITH {ACCURACY} SELECT doc_id, 'Unverifiable Value', {TITLES}, 'warning', v FROM c WHERE credit = 0)",
+    f"(WITH {ACCURACY} SELECT doc_id, 'Implausible Value', {TITLES}, 'warning', NULL FROM c WHERE amount_due AND amount < 0)",
+    f"(WITH {TIMELINESS} SELECT doc_id, problem, {TITLES}, CASE WHEN problem = 'Expired Date' THEN 'critical' ELSE 'warning' END, NULL FROM c WHERE problem IS NOT NULL)",
+    f"(WITH {UNIQUENESS} SELECT doc_id, 'Duplicate Entry', 'Line Items', 'warning', NULL FROM c WHERE repeated_item = 1)",
+    f"(WITH {FIELD_ROWS} SELECT doc_id, 'Duplicate Value', array_to_string(list({TITLES} ORDER BY pos), ', '), 'warning', lower(v) "
     "FROM (SELECT *, list_position([" + ", ".join(f"'{n}'" for n in I.INVOICE_FIELDS) + "], name) AS pos FROM f WHERE length(v) > 3) "
     "GROUP BY doc_id, lower(v) HAVING count(*) > 1 AND NOT (count(*) = 2 AND bool_or(contains(name, 'name'))))",
 ])

@@ -26,11 +26,12 @@ def prepare(documents: DataFrame) -> DataFrame:
 
     Required: doc_id, filename, text. Optional: raw (file content before
     extraction), document_type (supplied type), fields (field map), line_items,
-    semantic (struct of six scores), supplied_summary, supplied_risk,
+    semantic (struct of six scores), reasoning (map of metric to text), supplied_summary, supplied_risk,
     supplied_recommendations (used unless empty), created_at.
     """
     have = set(documents.columns)
     col = lambda name, default: F.col(name) if name in have else default
+    no_reasoning = F.create_map().cast("map<string,string>")
     base = documents.select(
         "doc_id",
         "filename",
@@ -41,6 +42,7 @@ def prepare(documents: DataFrame) -> DataFrame:
         F.coalesce(col("fields", V.no_fields()), V.no_fields()).alias("fields"),
         col("line_items", V.no_line_items()).alias("line_items"),
         col("semantic", F.lit(None).cast("struct<completeness:double>")).alias("semantic"),
+        F.coalesce(col("reasoning", no_reasoning), no_reasoning).alias("reasoning"),
         col("mean_conf", F.lit(None).cast("double")).alias("mean_conf"),
         col("blocks", F.lit(0)).alias("blocks"),
         col("created_at", F.lit(None).cast("timestamp_ntz")).alias("created_at"),
@@ -115,13 +117,16 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
     scores = {n: F.col(f"score_{n}") for n in rules.CORE_METRICS}
     issues_of = {n: F.col(f"core_{n}.issues") for n in rules.CORE_METRICS}
     fixed = literal([(n, n.capitalize(), rules.CORE_DESCRIPTIONS[n], rules.CORE_WEIGHTS[n]) for n in rules.CORE_METRICS])
+    # why a service gave its score; empty without a reply
+    reasons = F.array(*[F.coalesce(F.col("reasoning")[n], F.lit("")) for n in rules.CORE_METRICS])
     judged = F.arrays_zip(
-        fixed.alias("rule"), F.array(*scores.values()).alias("score"), F.array(*issues_of.values()).alias("issues")
+        fixed.alias("rule"), F.array(*scores.values()).alias("score"), F.array(*issues_of.values()).alias("issues"),
+        reasons.alias("reasoning"),
     )
     metric_rows = F.transform(judged, lambda m: F.struct(
         m["rule"]["v1"].alias("name"), m["score"].alias("score"), m["rule"]["v2"].alias("description"),
         S.status_message(m["rule"]["v0"], m["score"], m["issues"]).alias("status_message"),
-        S.status_of(m["score"]).alias("status"), m["rule"]["v3"].alias("weight"),
+        S.status_of(m["score"]).alias("status"), m["rule"]["v3"].alias("weight"), m["reasoning"].alias("reasoning"),
     ))
     built = blended.select(
         "doc_id", "filename", "document_type", "family", "created_at", "type_specific_metrics",
@@ -171,6 +176,7 @@ def parse_semantic_payload(payload: Column) -> Column:
             V.variant_fields(b["p"]["fields"]).alias("fields"),
             V.variant_line_items(b["p"]["fields"]).alias("line_items"),
             F.struct(*[c.alias(n) for n, c in given.items()]).alias("semantic"),
+            b["p"]["metric_reasoning"].alias("reasoning"),
             b["p"]["executive_summary"].alias("executive_summary"),
             b["p"]["risk_summary"].alias("risk_summary"),
             b["p"]["recommendations"].alias("recommendations"),
@@ -183,7 +189,7 @@ def parse_semantic_payload(payload: Column) -> Column:
 
 
 def with_semantic(documents: DataFrame, replies: DataFrame) -> DataFrame:
-    """Left-join parsed replies (doc_id, reply): type, fields, line items, scores and texts.
+    """Left-join parsed replies (doc_id, reply): type, fields, line items, scores, reasons and texts.
 
     A reply that cannot be read counts as none: such documents have no fields and get
     the fallback texts. Texts that a reply leaves out stay empty, so that the local
@@ -199,6 +205,7 @@ def with_semantic(documents: DataFrame, replies: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif(F.col("p.document_type"), F.lit("")), F.lit("unknown"))
     added = {
         "document_type": kind, "fields": F.col("p.fields"), "line_items": F.col("p.line_items"), "semantic": F.col("p.semantic"),
+        "reasoning": F.col("p.reasoning"),
         "supplied_summary": text("executive_summary", rules.FALLBACK_SUMMARY),
         "supplied_risk": text("risk_summary", rules.FALLBACK_RISK),
         "supplied_recommendations": F.when(given, F.col("p.recommendations")).otherwise(F.array(*map(F.lit, rules.FALLBACK_RECOMMENDATIONS))),

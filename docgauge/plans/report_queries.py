@@ -117,10 +117,10 @@ def issues_by_metric(spark, sf_dir):
     return serving.issues_by_metric(serving.issues_of(core_issues(core_outcomes(spark, sf_dir))))
 
 
-@query("issue_rows", f"SELECT doc_id, issue_type, field_name, severity FROM ({ISSUES_SQL})")
+@query("issue_rows", f"SELECT doc_id, issue_type, field_name, severity, value FROM ({ISSUES_SQL})")
 def issue_rows(spark, sf_dir):
     issues = serving.issues_of(core_issues(core_outcomes(spark, sf_dir)))
-    return issues.select("doc_id", "issue_type", "field_name", "severity")
+    return issues.select("doc_id", "issue_type", "field_name", "severity", "value")
 
 
 _CLEAN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in rules.CLEAN_MESSAGES.items()) + "}[metric]"
@@ -302,8 +302,12 @@ SELECT c.doc_id, document_type, completeness, validity, 100.0::DOUBLE AS consist
 FROM cs c LEFT JOIN ts t ON t.doc_id = c.doc_id"""
 
 
-def _metric_score(name: str):
-    return F.get(F.filter("metrics", lambda m: m["name"] == name.capitalize()), F.lit(0))["score"].alias(name)
+def _metric(name: str):
+    return F.get(F.filter("metrics", lambda m: m["name"] == name.capitalize()), F.lit(0))
+
+
+def metric_score(name: str):
+    return _metric(name)["score"].alias(name)
 
 
 @query("evaluate_documents", EVAL_SQL)
@@ -311,7 +315,7 @@ def evaluate_documents(spark, sf_dir):
     """Flagship: evaluate every document and show its scores."""
     ev = evaluate(documents(spark, sf_dir), "2024-06-01")
     return ev.select(
-        "doc_id", "document_type", *[_metric_score(n) for n in METRICS], "type_specific_score", "overall_score", "overall_status")
+        "doc_id", "document_type", *[metric_score(n) for n in METRICS], "type_specific_score", "overall_score", "overall_status")
 
 
 def invoice_evaluations(spark, sf_dir):
@@ -333,6 +337,7 @@ def invoice_replies(spark, sf_dir):
         F.struct((F.col("doc_id") % 101).alias("completeness"), F.lit(55.5).alias("accuracy")).alias("semantic_evaluation"),
         F.when(told, F.concat(F.lit("Supplied "), F.col("doc_id").cast("string"))).otherwise("").alias("executive_summary"),
         F.when(told, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array().cast("array<string>")).alias("recommendations"),
+        F.struct(F.concat(F.lit("because of "), F.col("doc_id").cast("string")).alias("accuracy")).alias("metric_reasoning"),
     ), {"ignoreNullFields": "false"})
     fenced = F.concat(F.lit("```json\n"), payload, F.lit("\n```"))
     return df.select("doc_id", F.when(F.col("doc_id") % 5 == 4, "sorry").otherwise(fenced).alias("reply"))
@@ -347,16 +352,18 @@ _REPLIED = ", ".join(
 @query("evaluate_replies", f"""WITH {WITH_SCORES}, r AS (SELECT doc_id, {_REPLIED} FROM scores)
 SELECT *, {OVERALL} AS overall_score, 'invoice' AS document_type,
   CASE WHEN doc_id % 5 = 4 THEN '{rules.FALLBACK_SUMMARY}' WHEN doc_id % 3 = 0 THEN 'Supplied ' || doc_id ELSE 'local' END AS summary,
-  CASE WHEN doc_id % 5 = 4 THEN '{"|".join(rules.FALLBACK_RECOMMENDATIONS)}' WHEN doc_id % 3 = 0 THEN 'first|second' ELSE 'local' END AS advice FROM r""")
+  CASE WHEN doc_id % 5 = 4 THEN '{"|".join(rules.FALLBACK_RECOMMENDATIONS)}' WHEN doc_id % 3 = 0 THEN 'first|second' ELSE 'local' END AS advice,
+  CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'because of ' || doc_id END AS accuracy_reasoning, '' AS validity_reasoning FROM r""")
 def evaluate_replies(spark, sf_dir):
     """Documents without fields of their own, evaluated from the replies of a scoring service."""
     docs = I.invoices(spark, sf_dir).select("doc_id", "filename", "text")
     ev = evaluate(with_semantic(docs, invoice_replies(spark, sf_dir)), I.AS_OF, families=("invoice",))
     ours = F.col("executive_summary").rlike("^(Quality analysis of|The )")
     return ev.select(
-        "doc_id", "document_type", *[_metric_score(m) for m in METRICS], "overall_score",
+        "doc_id", "document_type", *[metric_score(m) for m in METRICS], "overall_score",
         F.when(ours, "local").otherwise(F.col("executive_summary")).alias("summary"),
-        F.when(ours, "local").otherwise(F.array_join("recommendations", "|")).alias("advice"))
+        F.when(ours, "local").otherwise(F.array_join("recommendations", "|")).alias("advice"),
+        *[_metric(n)["reasoning"].alias(f"{n}_reasoning") for n in ("accuracy", "validity")])
 
 
 FILE_NAME = "'invoice-' || doc_id || '.txt'"
@@ -371,7 +378,7 @@ def evaluate_invoices(spark, sf_dir):
     """Every invoice with its six scores and how many issues stand behind them."""
     ev = invoice_evaluations(spark, sf_dir)
     return ev.select(
-        "doc_id", "filename", "document_type", *[_metric_score(m) for m in METRICS], F.size("issues").cast("long").alias("n_issues"),
+        "doc_id", "filename", "document_type", *[metric_score(m) for m in METRICS], F.size("issues").cast("long").alias("n_issues"),
         S.count_severity(F.col("issues"), "critical").cast("long").alias("n_critical"), "overall_score", "overall_status")
 
 

@@ -7,6 +7,8 @@ ISSUE = T.StructType([
     T.StructField("issue_type", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("severity", T.StringType()),
+    # the whole value that the description may show shortened
+    T.StructField("value", T.StringType()),
 ])
 ISSUES = T.ArrayType(ISSUE)
 
