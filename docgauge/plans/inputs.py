@@ -96,6 +96,16 @@ PART_XML = ("part", [
      "' </brand><empty/><type><![CDATA[', p_type, ']]></type><note>caf&#233; &#x2014; &amp;lt; it&#146;s</note></part>')", "xml"),
 ])
 
+# attributes, repeated and nested elements; some rows end early, some lack elements
+PART_RECORDS = ("part", [
+    ("p_partkey", "p_partkey"),
+    ("concat('<part id=\"', cast(p_partkey AS string), '\" kind=\"', p_type, '\"><name>', p_name, ' &amp; co</name>', "
+     + when("p_partkey % 2 = 0", "<tag>even</tag>") + ", '<tag>', p_brand, '</tag>', "
+     + when("p_partkey % 3 = 0", "<tag>third</tag>") + ", "
+     "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('<size unit=\"cm\">', cast(p_size AS string), '</size>') END, "
+     "CASE WHEN p_partkey % 7 = 0 THEN '<box><no>7</no></box>' WHEN p_partkey % 9 = 1 THEN '<box><no>9' ELSE '' END, '</part>')", "xml"),
+])
+
 PART_CELLS = ("part", [
     ("p_partkey", "p_partkey"), ("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"),
 ])

@@ -11,6 +11,7 @@ from docgauge.operators import classify, core, records
 from docgauge.plans import inputs as I
 from docgauge.plans.catalog import query, table
 from docgauge.sources import readers
+from docgauge.sources import xml_records as xml
 
 
 def sql_list(values) -> str:
@@ -115,6 +116,29 @@ def xml_to_text(spark, sf_dir):
     return I.source(spark, sf_dir, I.PART_XML).select("p_partkey", X.xml_to_text(F.col("xml")).alias("text"))
 
 
+PART_SCHEMA = "_id long, _kind string, name string, tag array<string>, size struct<_unit:string,_VALUE:int>, box struct<no:array<int>>"
+_CUT = "p_partkey % 9 = 1 AND p_partkey % 7 <> 0"
+_TAGS_OF_PART = "concat_ws(',', CASE WHEN p_partkey % 2 = 0 THEN 'even' END, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'third' END)"
+
+
+@query("xml_records", f"""
+SELECT p_partkey, {_CUT} AS broken, CASE WHEN NOT ({_CUT}) THEN p_partkey END AS id, CASE WHEN NOT ({_CUT}) THEN p_type END AS kind,
+  CASE WHEN NOT ({_CUT}) THEN p_name || ' & co' END AS name, CASE WHEN NOT ({_CUT}) THEN {_TAGS_OF_PART} END AS tags,
+  CASE WHEN NOT ({_CUT}) AND p_partkey % 5 <> 0 THEN CAST(p_size AS INTEGER) END AS size, CASE WHEN NOT ({_CUT}) AND p_partkey % 5 <> 0 THEN 'cm' END AS unit,
+  CASE WHEN NOT ({_CUT}) AND p_partkey % 7 = 0 THEN 7 END AS boxed, CASE WHEN {_CUT} THEN 0 ELSE 4 + CAST(p_partkey % 5 <> 0 AS BIGINT) + CAST(p_partkey % 7 = 0 AS BIGINT) END AS n_fields,
+  concat_ws(chr(10), p_name || ' & co', replace({_TAGS_OF_PART}, ',', chr(10)), CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS VARCHAR) END,
+    CASE WHEN p_partkey % 7 = 0 THEN '7' WHEN p_partkey % 9 = 1 THEN '9' END) AS text FROM part""")
+def xml_records(spark, sf_dir):
+    """Parts as XML documents read under a schema; those that end early keep their text."""
+    rows = xml.with_records(I.source(spark, sf_dir, I.PART_RECORDS), "xml", PART_SCHEMA)
+    n_fields = F.coalesce(F.size(xml.record_fields("record", PART_SCHEMA)), F.lit(0))
+    return rows.select(
+        "p_partkey", "broken", F.col("record._id").alias("id"), F.col("record._kind").alias("kind"), "record.name",
+        F.when(~F.col("broken"), F.array_join("record.tag", ",")).alias("tags"), F.col("record.size._VALUE").alias("size"),
+        F.col("record.size._unit").alias("unit"), F.get("record.box.no", F.lit(0)).alias("boxed"),
+        F.when(F.col("broken"), 0).otherwise(n_fields).cast("long").alias("n_fields"), "text")
+
+
 SQL_UNESCAPE = "x"
 # every named reference by its code point, the ampersand's last
 for _name, _point in [*((n, p) for n, p in name2codepoint.items() if n != "amp"), ("#39", 39), ("apos", 39), ("amp", 38)]:
