@@ -26,7 +26,8 @@ def prepare(documents: DataFrame) -> DataFrame:
 
     Required: doc_id, filename, text. Optional: raw (file content before
     extraction), document_type (supplied type), fields (field map), line_items,
-    semantic (struct of six scores), reasoning (map of metric to text), supplied_summary, supplied_risk,
+    semantic (struct of six scores), reasoning (map of metric to text),
+    lang_share (share of English lines, by a detector of your own), supplied_summary, supplied_risk,
     supplied_recommendations (used unless empty), created_at.
     """
     have = set(documents.columns)
@@ -45,6 +46,7 @@ def prepare(documents: DataFrame) -> DataFrame:
         F.coalesce(col("reasoning", no_reasoning), no_reasoning).alias("reasoning"),
         col("mean_conf", F.lit(None).cast("double")).alias("mean_conf"),
         col("blocks", F.lit(0)).alias("blocks"),
+        *([F.col("lang_share").cast("double").alias("lang_share")] if "lang_share" in have else []),
         col("created_at", F.lit(None).cast("timestamp_ntz")).alias("created_at"),
         col("supplied_summary", F.lit(None).cast("string")).alias("supplied_summary"),
         col("supplied_risk", F.lit(None).cast("string")).alias("supplied_risk"),
@@ -60,20 +62,24 @@ def prepare(documents: DataFrame) -> DataFrame:
     return records.with_type_checks(routed, "payload", "raw")
 
 
-def type_metrics(binding: str = "raw", detect_language: bool = True, families=None) -> Column:
+def type_metrics(binding: str = "raw", detect_language: bool = True, families=None, given_share: bool = False) -> Column:
     """Metrics of the row's family, as an array of metric records.
 
+    The share of English lines is the column ``lang_share`` if it is given, else it
+    comes from function words.
+
     ``families`` limits the plan to the families a corpus is known to hold; a
     row of any other family stops the job.
     """
     text, low = F.col("text"), F.col("low")
+    share = F.col("lang_share") if given_share else social.english_share(text)
     source = lambda family: F.col("raw") if binding == "raw" and family in FAMILIES_ON_RAW else text
     by_family = {
         "contract": lambda: contract.metrics(F.col("fields"), text, low),
         "invoice": lambda: invoice.metrics(
             F.col("fields"), F.col("line_items"), F.col("ext"), F.col("mean_conf"), F.col("blocks")),
         "json": lambda: records.metrics(F.col("payload"), F.col("type_checks")),
-        "social_media": lambda: social.metrics(text, social.english_share(text) if detect_language else None, low),
+        "social_media": lambda: social.metrics(text, share if detect_language else None, low),
         "tabular": lambda: tabular.metrics(source("tabular")),
         "markup": lambda: markup.metrics(source("markup")),
         "email": lambda: mail.metrics(source("email")),
@@ -111,7 +117,7 @@ def evaluate(documents: DataFrame, as_of: str, binding: str = "raw", missing_sem
         F.col("fields"), F.col("line_items"), F.col("text"), F.col("document_type"), F.lit(as_of), F.col("low")
     )
     scored = docs.withColumns({f"core_{n}": c for n, c in outcomes.items()}).withColumn(
-        "type_specific_metrics", type_metrics(binding, detect_language, families)
+        "type_specific_metrics", type_metrics(binding, detect_language, families, "lang_share" in documents.columns)
     )
     blended = scored.withColumns({f"score_{n}": _blended(n, missing_semantic, supplied) for n in rules.CORE_METRICS})
     scores = {n: F.col(f"score_{n}") for n in rules.CORE_METRICS}

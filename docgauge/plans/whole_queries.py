@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from docgauge import rules
 from docgauge.functions import scoring as S
 from docgauge.functions import values as V
+from docgauge.operators import language
 from docgauge.plans import inputs as I
-from docgauge.plans.catalog import ORACLES, query
+from docgauge.plans.catalog import ORACLES, query, table
 from docgauge.plans.core_queries import ISSUES_SQL, SCORES_SQL, sql_round, sql_score, sql_status
 from docgauge.plans.evaluate import evaluate
 from docgauge.plans.family_queries import BODY_RAW, body_sql, flags
@@ -153,3 +154,52 @@ def evaluate_families(spark, sf_dir):
         S.type_score(F.col("type_specific_metrics"), weighted=True).alias("weighted_type_score"), "overall_score", "overall_status",
         F.size("issues").cast("long").alias("n_issues"), S.count_severity(F.col("issues"), "critical").cast("long").alias("n_critical"),
         F.size("insights").cast("long").alias("n_insights"), S.count_severity(F.col("insights"), "critical").cast("long").alias("n_critical_insights"))
+
+
+# ---------------------------------------------------------------- language of lines and documents
+
+# every document is judged by profiles learned from the other half of the ids
+LANGUAGES_SQL = r"""
+  g AS (SELECT doc_id, lang, line, unnest(list_filter(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)), lambda x: substr(x, 2, 1) <> ' ')) AS gram
+    FROM (SELECT doc_id, lang, line, ' ' || regexp_replace(lower(part), '\P{L}+', ' ', 'g') || ' ' AS p FROM lines)),
+  prof AS (SELECT fold, lang, gram, 301 - r AS weight FROM (
+    SELECT *, row_number() OVER (PARTITION BY fold, lang ORDER BY n DESC, gram) AS r FROM (
+      SELECT doc_id % 2 AS fold, lang, gram, count(*) AS n FROM g GROUP BY 1, 2, 3)) WHERE r <= 300),
+  sums AS (SELECT g.doc_id, line, p.lang AS language, sum(weight) AS s FROM g JOIN prof p ON p.gram = g.gram AND p.fold = 1 - g.doc_id % 2 GROUP BY 1, 2, 3),
+  best AS (SELECT doc_id, line, language FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY s DESC, language) = 1),
+  whole AS (SELECT doc_id, language FROM (SELECT doc_id, language, sum(s) AS s FROM sums GROUP BY 1, 2)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, language) = 1),
+  d AS (SELECT l.doc_id, any_value(lang) AS lang, count(*) AS n_lines, avg(CASE WHEN b.language = 'en' THEN 1.0 ELSE 0.0 END) AS lang_share
+    FROM lines l LEFT JOIN best b ON b.doc_id = l.doc_id AND b.line = l.line GROUP BY 1)"""
+LINES_SQL = r"""lines AS (SELECT * FROM (SELECT doc_id, lang, unnest(parts) AS part, generate_subscripts(parts, 1) AS line FROM (
+    SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)) WHERE regexp_matches(part, '\S'))"""
+
+
+def detected_languages(spark, sf_dir):
+    """Language and share of English lines of each document, learned from the documents of the other fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    folds = [docs.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    out = []
+    for here, other in (folds, folds[::-1]):
+        profiles = language.learn_profiles(other, "lang", "text")
+        lines = language.line_languages(here, "doc_id", "text", profiles)
+        names = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").collect()]
+        out.append(language.document_languages(lines, "doc_id", names))
+    return out[0].unionByName(out[1])
+
+
+@query("document_languages", f"""WITH {LINES_SQL}, {LANGUAGES_SQL}
+SELECT d.doc_id, n_lines, lang_share, coalesce(language, 'und') AS language FROM d LEFT JOIN whole w ON w.doc_id = d.doc_id""")
+def document_languages(spark, sf_dir):
+    return detected_languages(spark, sf_dir)
+
+
+@query("language_accuracy", f"""WITH {LINES_SQL}, {LANGUAGES_SQL}
+SELECT lang, count(*) AS n, count_if(language = lang) AS n_right, round(count_if(language = lang) / CAST(count(*) AS DOUBLE), 4) AS accuracy
+FROM d LEFT JOIN whole w ON w.doc_id = d.doc_id GROUP BY lang""")
+def language_accuracy(spark, sf_dir):
+    """How many documents of each language are found to be in it."""
+    marks = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    right = F.count_if(F.coalesce(F.col("language") == F.col("lang"), F.lit(False)))
+    return detected_languages(spark, sf_dir).join(marks, "doc_id").groupBy("lang").agg(
+        F.count("*").alias("n"), right.alias("n_right"), F.round(right / F.count("*"), 4).alias("accuracy"))
