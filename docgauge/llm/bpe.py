@@ -6,9 +6,11 @@ applies the merge gadget: the state that u-arcs lead to is copied without its v-
 (u followed by v is never correct again), the u-arcs move to the copy, and every
 state with a u-arc gets an arc for uv that leads where the v-arc led. Since all arcs
 of a token lead to one state, states are kept as differences: what arc was lost at
-which merge. Every prefix of a word has one correct tokenization, so a byte offset of a
-word carries one state at most and encoding walks the transition table forward;
-decoding emits the labels of the arcs.
+which merge. The transition table over tokens, of which a vocabulary has more entries
+than fit, is filled from the differences where a word first needs an entry; the table
+over the bytes of the labels is whole. Every prefix of a word has one correct
+tokenization, so each byte offset of a word has one state, and encoding is one walk
+forward without backtracking; decoding emits the labels of the arcs.
 """
 
 import hashlib
@@ -69,7 +71,8 @@ class Automaton:
 
     def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
         """Merge k: the state of u loses its v-arc; states with a u-arc gain a uv-arc."""
-        if self.has_arc(u, v):  # else v never follows u, and the merge never applies
+        parts = all(self.ids.get(self.labels[t]) == t for t in (u, v))
+        if parts and self.has_arc(u, v):  # else v never follows u, and the merge never applies
             self.lacking[u, v] = k
             self.made[uv] = (k, u, v)
             self.ids[self.labels[uv]] = uv
@@ -102,18 +105,8 @@ class Automaton:
                 since = part[0] - 1
             u = part[2]
 
-    def _from(self, word: bytes, start: int) -> list[tuple[int, int]]:
-        """(end, token) of every token that the word has at an offset, the longest last."""
-        step, ends, node, out = self.step.get, self.ends, 0, []
-        for at in range(start, len(word)):
-            node = step(node << 8 | word[at])
-            if node is None:
-                break
-            if ends[node] >= 0:
-                out.append((at + 1, ends[node]))
-        return out
-
     def _follows(self, u: int, t: int) -> bool:
+        """The entry of (u, t) in the transition table, filled in at its first use."""
         key = u << 32 | t
         known = self.arcs.get(key)
         if known is None:
@@ -123,32 +116,31 @@ class Automaton:
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word.
+        """The tokens of one pre-split word, in one walk forward.
 
-        Depth first over the table, longer arcs first; an offset that led nowhere is
-        not entered again, since no other path reaches it.
+        ``last[e]`` is the state after the bytes up to e, the last token of their only
+        correct tokenization. From each state the arcs for the tokens that the word has
+        there are taken, and every one that exists sets the state at its end for good.
         """
         whole = self.ids.get(word)
         if whole is not None:  # the start state lacks no arc
             return [whole]
-        n, dead = len(word), set()
-        path: list[int] = []
-        starts = [0]
-        choices = [self._from(word, 0)]
-        while starts[-1] < n:
-            left = choices[-1]
-            while left:
-                end, token = left.pop()
-                if end not in dead and (not path or self._follows(path[-1], token)):
-                    path.append(token)
-                    starts.append(end)
-                    choices.append(self._from(word, end) if end < n else [])
+        step, ends, follows, n = self.step.get, self.ends, self._follows, len(word)
+        last = [-1] * (n + 1)
+        for at in range(n):
+            state, node = last[at], 0
+            for end in range(at, n):
+                node = step(node << 8 | word[end])
+                if node is None:
                     break
-            else:
-                dead.add(starts.pop())
-                choices.pop()
-                path.pop()
-        return path
+                token = ends[node]
+                if token >= 0 and last[end + 1] < 0 and (at == 0 or follows(state, token)):
+                    last[end + 1] = token
+        out, end = [], n
+        while end:
+            out.append(last[end])
+            end -= len(self.labels[last[end]])
+        return out[::-1]
 
 
 class Codec:

@@ -152,15 +152,45 @@ def test_automaton_accepts_the_merge_order():
     automaton = bpe.Automaton(letters, merges)
     for _ in range(300):
         word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode()
-        ids = [0 if c == 97 else 1 for c in word]
-        for u, v, uv in merges:  # one merge after the other, from the left
-            out, k = [], 0
-            while k < len(ids):
-                hit = ids[k:k + 2] == [u, v]
-                out.append(uv if hit else ids[k])
-                k += 2 if hit else 1
-            ids = out
-        assert automaton.encode(word) == ids, word
+        assert automaton.encode(word) == _merged([0 if c == 97 else 1 for c in word], merges), word
+
+
+def _merged(ids, merges):
+    """One merge after the other, each from the left."""
+    for u, v, uv in merges:
+        out, k = [], 0
+        while k < len(ids):
+            hit = ids[k:k + 2] == [u, v]
+            out.append(uv if hit else ids[k])
+            k += 2 if hit else 1
+        ids = out
+    return ids
+
+
+def test_automata_of_random_vocabularies():
+    rng, walked = random.Random(7), 0
+    for _ in range(3000):
+        letters = b"abc"[:rng.randint(1, 3)]
+        labels = {i: bytes([c]) for i, c in enumerate(letters)}
+        merges, seen = [], set(labels.values())
+        for _ in range(rng.randint(0, 14)):
+            u, v = rng.choice(list(labels)), rng.choice(list(labels))
+            if labels[u] + labels[v] not in seen:
+                merges.append((u, v, len(labels)))
+                seen.add(labels[u] + labels[v])
+                labels[len(labels)] = labels[u] + labels[v]
+        automaton = bpe.Automaton(labels, merges)
+        for _ in range(12):
+            word = bytes(rng.choice(letters) for _ in range(rng.randint(1, 24)))
+            want = _merged([letters.index(c) for c in word], merges)
+            assert automaton.encode(word) == want, (merges, word)
+            walked += len(want) > 1
+    assert walked > 20_000
+    long = b"ab" * 50_000 + b"c"
+    merges = [(0, 1, 3), (3, 3, 4), (4, 4, 5)]
+    labels = {0: b"a", 1: b"b", 2: b"c", 3: b"ab", 4: b"abab", 5: b"abababab"}
+    assert bpe.Automaton(labels, merges).encode(long) == _merged([0, 1] * 50_000 + [2], merges)
+    assert bpe.Automaton(labels, merges).encode(b"") == []
 
 
 # ---------------------------------------------------------------- language models
