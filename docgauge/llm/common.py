@@ -17,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where none is set (tests, one machine) a new temporary folder is set.
+    Only on one machine (tests) a new temporary folder is set where there is none; on a
+    cluster, whose executors would not find it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jsc.get() if jsc.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if jsc.isDefined():
+            folder = jsc.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -1,10 +1,13 @@
 """The pipeline against its stages done by hand."""
 
 import hashlib
+from types import SimpleNamespace
+
+import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from docgauge.llm import decontaminate, pii, simhash
+from docgauge.llm import common, decontaminate, pii, simhash
 from docgauge.llm import queries as Q
 from docgauge.llm.pretokens import library
 
@@ -44,3 +47,13 @@ def test_stages_keep_the_columns(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    nothing = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getCheckpointDir=lambda: nothing)
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: context)))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
