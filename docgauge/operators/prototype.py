@@ -53,7 +53,7 @@ def records(df: DataFrame, group: str, payload: str) -> DataFrame:
     Only sums and a distinct count are kept per group, so groups of any size
     are combined map-side.
     """
-    value = F.try_parse_json(F.col(payload))
+    value = V.parse_json(F.col(payload))
     parsed = df.select(F.col(group), V.variant_fields(F.when(is_object(value), value)).alias("r"))
     has_key = lambda k: F.map_contains_key("r", F.lit(k))
     text = lambda k: V.value_of(F.col("r"), k)

@@ -110,3 +110,10 @@ def test_mail_parts_inside_parts_and_encodings(spark):
     broken = "Content-Transfer-Encoding: base64\n\nnot base64!"
     assert column(spark, [nested, quoted, latin, broken], X.mail_to_text) == [
         "Subject: café au lait\nhello", "été 1=1 soft line = end", "café", "not base64!"]
+
+
+def test_json_is_whole_text(spark):
+    good = ["1", ' {"a":[1,{}]} ', "[1,2]", "null", '"x"', "[]"]
+    bad = ["", "1 2", "2024 report of", '"a" b', '{"a":1} x', "[1,2]]", "1] x", "1,0] x", "1,2", '{"a":1}\n{"a":2}', "{", "1]", "1,0]"]
+    assert all(v is not None for v in column(spark, good, lambda c: F.schema_of_variant(V.parse_json(c))))
+    assert column(spark, [*bad, None], lambda c: F.schema_of_variant(V.parse_json(c))) == [None] * (len(bad) + 1)
