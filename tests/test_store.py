@@ -125,3 +125,18 @@ def test_stream_reads_its_files_once(spark, tmp_path):
     assert accepted == {f"{k}.txt" for k in range(6) if k != 3}
     assert rejected == {"3.txt": "blank", "x.exe": "unsupported type"}
     assert not list((tmp_path / "out" / "_staged").iterdir())
+
+
+def test_pages_look_at_the_issues_once(spark, tmp_path):
+    from docgauge.operators import paging
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return (i, 0, f"type {i % 7}")
+
+    issues = spark.sparkContext.parallelize(range(300), 4).map(row).toDF("doc_id int, pos int, issue_type string")
+    paging.write_pages(issues, f"{tmp_path}/pages", sort=["issue_type"])
+    assert seen.value == 300
+    assert [r["doc_id"] for r in paging.page(spark, f"{tmp_path}/pages", 1).collect()] == [i * 7 for i in range(10, 20)]
