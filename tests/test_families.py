@@ -279,3 +279,11 @@ def test_tag_counts_of_many_names(spark):
     assert rows[0].m.score == 90.0 and rows[0].m.details.endswith("Mismatches: " + "; ".join(rows[0].wrong[:5]))
     assert [r.m.score for r in rows[1:]] == [50.0, 50.0, 100.0, 0.0]
     assert rows[4].wrong == ["<b>: 1 open, 2 close", "<i>: 1 open, 0 close"]
+
+
+def test_all_families_are_evaluated_by_one_plan(spark):
+    from docgauge.plans import load
+
+    plan = load().QUERIES["evaluate_families"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the parts are only put together below the deal; the evaluation stands above it, once
+    assert "RepartitionByExpression" in plan.split("Union")[0]
