@@ -22,11 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import by_position
+from docgauge.llm.common import by_position, give_back
 from docgauge.llm.pretokens import Splitter
 
-#: Words remembered by each Python worker; beyond it the memory starts anew.
+#: Words remembered by a task; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Rows that are encoded and returned at once.
+ROWS = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -191,6 +193,11 @@ class Codec:
         labels = self.labels
         return b"".join([labels[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
 
+    def forget(self) -> None:
+        """Drop all that was remembered of words."""
+        for known in (self.words, self.chunks, self.automaton.arcs):
+            known.clear()
+
 
 def _remember(known: dict, key: str, value: bytes) -> None:
     """Keep a result for short keys; a full memory starts anew."""
@@ -225,19 +232,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         own = codec(path)
-        for batch in batches:
-            counts, sums, back, held = [], [], [], []
-            for text in batch.column("text"):
-                packed = own.encode(text.as_py())
-                counts.append(len(packed) // 4)
-                sums.append(hashlib.sha256(packed).hexdigest())
-                back.append(hashlib.sha256(own.decode(packed).encode("utf-8")).hexdigest())
-                held.append(packed if keep_ids else None)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns, names = [*columns, pa.array(held, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(k, ROWS)
+                    counts, sums, back, held = [], [], [], []
+                    for text in part.column("text"):
+                        packed = own.encode(text.as_py())
+                        counts.append(len(packed) // 4)
+                        sums.append(hashlib.sha256(packed).hexdigest())
+                        back.append(hashlib.sha256(own.decode(packed).encode("utf-8")).hexdigest())
+                        held.append(packed if keep_ids else None)
+                    columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if keep_ids:
+                        columns, names = [*columns, pa.array(held, pa.binary())], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:  # Spark keeps the worker, and the memory it holds, for the tasks of other stages
+            own.forget()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

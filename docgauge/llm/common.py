@@ -40,6 +40,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Columns renamed ``c0, c1, ...`` so that no name clashes, and the first place of each name."""
     names = [f"c{i}" for i in range(len(df.columns))]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import back, by_position
+from docgauge.llm.common import back, by_position, give_back
 
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
@@ -333,9 +333,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text
             import pyarrow as pa
 
             index = Index(items, edits)
-            for batch in batches:
-                clean = [not found for found in _matches(index, batch.column(at[text_col]))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            try:
+                for batch in batches:
+                    clean = [not found for found in _matches(index, batch.column(at[text_col]))]
+                    yield batch.filter(pa.array(clean, pa.bool_()))
+            finally:
+                del index
+                give_back()
 
         df = df.mapInArrow(run, df.schema)
     return back(df, docs.columns)

@@ -145,6 +145,30 @@ def test_bpe_round_trip(spark, docs, texts, odd):
         assert own.decode(own.encode(text)) == text
 
 
+def test_bpe_workers_keep_no_words_after_a_task(spark, docs):
+    def left(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        known = [k for c in bpe._codecs.values() for k in (c.words, c.chunks, c.automaton.arcs)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(bpe._codecs)], pa.int64()), pa.array([sum(map(len, known))], pa.int64())], ["codecs", "words"])
+
+    encoded = bpe.encode(docs.repartition(4), FILE)
+    assert encoded.count() == docs.count()
+    rows = spark.range(0, 400, 1, 8).mapInArrow(left, "codecs long, words long").collect()  # the same workers, in a later stage
+    assert sum(r["codecs"] for r in rows) > 0
+    assert sum(r["words"] for r in rows) == 0
+
+
+def test_bpe_returns_rows_in_small_batches_in_order(spark):
+    rows = spark.range(0, bpe.ROWS * 2 + 3, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), cast(id % 5 AS int)) AS text")
+    got = bpe.encode(rows, FILE).collect()
+    assert [r["doc_id"] for r in got] == list(range(bpe.ROWS * 2 + 3))
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == expected_ids(f"w{r['doc_id']} " * (r["doc_id"] % 5))
+
+
 def test_automaton_accepts_the_merge_order():
     letters = {0: b"a", 1: b"b", 2: b"aa", 3: b"ab", 4: b"aaab"}
     rng = random.Random(1)
