@@ -20,6 +20,23 @@ def test_scores_build_no_issues(spark):
         assert "Missing Field" not in _plan(spark, name), name
 
 
+def test_invoices_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/orders.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    held = "spark.docgauge.scanPartitions"
+    number = spark.conf.get(held)
+    spark.conf.unset(held)
+    try:
+        docs = I.invoices(spark, str(tmp_path), apart=True)
+        sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        bands = sorted(map(tuple, load().QUERIES["score_bands"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set(held, number)
+    assert sum(sizes) == rows.count() and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 2 * min(sizes)
+    assert bands == sorted(map(tuple, load().QUERIES["score_bands"](spark, SF).collect()))
+
+
 def test_issue_queries_build_no_descriptions(spark):
     for name in ("issue_rows", "issues_by_metric", "severity_distribution", "risk_summary", "chart_bundle"):
         plan = _plan(spark, name)
