@@ -140,3 +140,22 @@ def test_pages_look_at_the_issues_once(spark, tmp_path):
     paging.write_pages(issues, f"{tmp_path}/pages", sort=["issue_type"])
     assert seen.value == 300
     assert [r["doc_id"] for r in paging.page(spark, f"{tmp_path}/pages", 1).collect()] == [i * 7 for i in range(10, 20)]
+
+
+def test_large_batches_shuffle_documents_not_evaluations(spark, tmp_path):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('f', id, '.txt') AS filename", "concat('Some words of text ', id) AS text")
+    ev = evaluate(sinks.dealt(docs), "2024-01-01", families=("general",))
+    placed = sinks._placed(ev, sinks.BUCKETS, by_bucket=True)
+    plan = placed._jdf.queryExecution().optimizedPlan()
+    assert "id_bucket" in plan.outputOrdering().toString()  # the writer adds no sort of evaluations
+    shuffled = plan.toString().split("Repartition")
+    assert len(shuffled) == 2 and "Missing Field" in shuffled[0] and "Missing Field" not in shuffled[1]
+    tasks = placed.select("id_bucket", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in tasks}) == len(tasks)  # one bucket to a task
+    roots = [f"file://{tmp_path}/{n}" for n in ("dealt", "other")]
+    sinks.write_batch(ev, roots[0], 1, by_bucket=True)
+    sinks.write_batch(ev, roots[1], 1, buckets=7, by_bucket=True)  # dealt for other buckets: only slower
+    want = sorted(map(str, evaluate(docs, "2024-01-01", families=("general",)).collect()))
+    for root in roots:
+        assert sorted(map(str, sinks.read_evaluations(spark, root).drop("batch_id").collect())) == want
+        assert [r.doc_id for r in sinks.lookup(spark, root, 70).collect()] == [70]
