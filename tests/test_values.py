@@ -117,3 +117,27 @@ def test_json_is_whole_text(spark):
     bad = ["", "1 2", "2024 report of", '"a" b', '{"a":1} x', "[1,2]]", "1] x", "1,0] x", "1,2", '{"a":1}\n{"a":2}', "{", "1]", "1,0]"]
     assert all(v is not None for v in column(spark, good, lambda c: F.schema_of_variant(V.parse_json(c))))
     assert column(spark, [*bad, None], lambda c: F.schema_of_variant(V.parse_json(c))) == [None] * (len(bad) + 1)
+
+
+def test_kinds_of_json_values_are_told_without_their_schema(spark):
+    values = {"null": False, '""': False, '" "': True, '"{}"': True, '"0"': True, '"null"': True, "false": False, "true": True, "0": False,
+              "-0": False, "0.0": False, "0e5": False, "1e-400": False, "12": True, "-3.5": True, "{}": False, '{"a":[]}': True, "[]": False, "[0]": True}
+    rows = spark.createDataFrame([(j,) for j in values], "j string").withColumn("v", F.parse_json("j"))
+    v = F.col("v")
+    out = rows.select("j", V._variant_truthy(v).alias("t"), V.is_object(v).alias("o"), V.is_array(v).alias("a"), F.size(V._variant_map(v)).alias("m"))
+    for r in out.collect():
+        assert r.t == values[r.j] and r.o == (r.m is not None) == r.j.startswith("{") and r.a == r.j.startswith("["), r
+    built = V.variant_fields(v), V.variant_line_items(v), V.is_object(v)
+    assert not [c for c in built if "schema_of_variant" in rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()]
+
+
+def test_a_reply_is_read_once_behind_its_fences(spark):
+    from docgauge.plans.evaluate import parse_semantic_payload
+
+    body = '{"document_type":"memo","fields":{"a":"x","line_items":[{"amount":"1"}]},"semantic_evaluation":{"accuracy":5}}'
+    replies = [body, f"```json\n{body}\n```", f" \t```{body}``` \n", f"\n\t{body}", f"[{body}]", '"{"', body + "}", "", None]
+    rows = spark.createDataFrame(list(enumerate(replies)), "i int, r string").select("i", parse_semantic_payload(F.col("r")).alias("p"))
+    got = {r.i: r.p for r in rows.collect()}
+    assert all(got[i].document_type == "memo" and got[i].fields["a"].text == "x" and len(got[i].line_items) == 1 for i in range(4))
+    assert not any(got[i] for i in range(4, 9))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("```json") == 1
