@@ -81,3 +81,19 @@ def test_words_are_looked_for_before_patterns_with_the_same_outcome(spark):
         assert all(r.a == r.b for r in both)
     parts = rows.select(general._parts(F.col("t"), r"\s+").alias("a"), F.size(stripped_parts(F.col("t"), rx(r"\s+"))).alias("b")).collect()
     assert all(r.a == r.b for r in parts)
+
+
+def test_families_shuffle_a_text_once_and_build_no_descriptions(spark):
+    plan = _plan(spark, "evaluate_families")
+    assert "not detected in document" not in plan and "could not be verified in source text" not in plan
+    below = plan.split("RepartitionByExpression", 1)[1]
+    assert " AS raw#" not in below
+
+
+def test_types_of_json_values(spark):
+    from docgauge.operators.records import type_name
+
+    named = {"null": "NoneType", "true": "bool", '""': "str", '"Infinity"': "str", '"{"': "str", "1": "int", "1.0": "float", "1e400": "float", "1e2": "float",
+             "12345678901234567890": "int", "0.5": "float", "{}": "dict", '{"a":1}': "dict", "[]": "list", "[{}]": "list"}
+    rows = spark.createDataFrame([(j,) for j in named], "j string").select("j", type_name(F.parse_json("j")).alias("t"))
+    assert {r.j: r.t for r in rows.collect()} == named
